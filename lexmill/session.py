@@ -51,3 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table has fewer input splits than there are cores.
+
+    A large table has many splits and passes through untouched; a small one (a single
+    parquet row group of long texts) would otherwise keep its token work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
