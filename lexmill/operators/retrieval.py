@@ -61,3 +61,167 @@ def posting_join_summary(docs: DataFrame, queries: DataFrame) -> DataFrame:
         F.sum("tf").alias("tf_total"),
         F.round(F.sum("mass"), 4).alias("mass"),
     )
+
+
+# Fusion constant, funnel widths, context budget, chunk separator.
+RRF_K = 60
+CANDIDATES_K = 20
+FINAL_K = 4
+CONTEXT_CHARS = 4000
+
+
+def lines_of(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Documents cut at newlines: (chunk_id, doc_id, idx, text); blank lines dropped, idx kept dense."""
+    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    rows = docs.select(doc_id, F.posexplode(parts).alias("idx", "text"))
+    return rows.withColumn("chunk_id", F.concat_ws("_", F.col(doc_id), F.col("idx")))
+
+
+def as_run(scores: DataFrame, name: str, query_id: str, unit: str, k: int) -> DataFrame:
+    """(query, run, unit, rank, score)."""
+    top = lx.top_k(scores, query_id, unit, k)
+    return top.select(query_id, F.lit(name).alias("run"), unit, "rank", "score")
+
+
+def fuse(runs: DataFrame, query_id: str, unit: str, k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of a long run table.
+
+    Grouping the union gives full-outer semantics; ranks stay available per run.
+    """
+    weight = F.lit(1.0)
+    for name, value in (weights or {}).items():
+        weight = F.when(F.col("run") == name, F.lit(float(value))).otherwise(weight)
+    dense = F.col("run").startswith("dense")
+    return runs.groupBy(query_id, unit).agg(
+        F.round(F.sum(weight / (F.lit(k) + F.col("rank"))), 6).alias("rrf"),
+        F.max(F.when(dense, F.col("score"))).alias("similarity"),
+        F.max(F.when(F.col("run") == "bm25", F.col("score"))).alias("bm25"),
+        F.array_join(
+            F.sort_array(F.collect_list(F.concat_ws("=", "run", "rank"))), ","
+        ).alias("ranks"),
+    )
+
+
+def ordered(df: DataFrame, query_id: str, *order: Column, name: str = "pos", k: int | None = None) -> DataFrame:
+    """Number rows per query; with ``k`` only the first k are kept (and shipped)."""
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
+    return out.where(F.col(name) <= k) if k else out
+
+
+def union_first_seen(runs: DataFrame, query_id: str, unit: str) -> DataFrame:
+    """Union of runs, each unit kept where it was seen first (run name, then rank)."""
+    return runs.groupBy(query_id, unit).agg(F.min(F.struct("run", "rank")).alias("first")).select(
+        query_id, unit, F.col("first.run").alias("run"), F.col("first.rank").alias("rank")
+    )
+
+
+def diversify(run: DataFrame, query_id: str, owner: str, max_per_owner: int = 1) -> DataFrame:
+    """At most N units per owner, order kept, renumbered. ``run`` is bounded by its depth per query."""
+    w = Window.partitionBy(query_id, owner).orderBy("rank")
+    kept = run.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_per_owner).drop("_n")
+    return ordered(kept, query_id, F.col("rank"), name="new_rank")
+
+
+def over_threshold(fused: DataFrame, t: float) -> DataFrame:
+    """Similarity threshold; rows without similarity or found lexically pass."""
+    keep = F.col("similarity").isNull() | (F.col("similarity") >= t) | (F.coalesce("bm25", F.lit(0.0)) != 0)
+    return fused.where(keep)
+
+
+def rerank(cands: DataFrame, query_id: str, unit: str, score: str, top_n: int, zero_last: bool = True) -> DataFrame:
+    """Second stage by an input score column; a score of zero sorts last as in ``score or -inf``."""
+    s = F.col(score)
+    key = F.when(s.isNull() | ((s == 0) & F.lit(zero_last)), F.lit(-1e9)).otherwise(s)
+    return ordered(cands, query_id, key.desc(), F.col("pos"), F.col(unit), name="final_rank", k=top_n)
+
+
+def blocks(hits: DataFrame, rank: str, body: Column, header: Column) -> DataFrame:
+    return hits.withColumn("block", F.concat(header, F.lit("\n"), F.trim(body)))
+
+
+def pack(hits: DataFrame, keys: list[str], rank: str, max_chars: int) -> DataFrame:
+    """Blocks within a character budget, at least one; lengths are positive, so the running
+    sum is monotone and stopping at the first overflow equals a filter."""
+    w = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    used = hits.withColumn("used", F.sum(F.length("block")).over(w))
+    return used.where((F.col("used") <= max_chars) | (F.col(rank) == 1))
+
+
+def prompts(packed: DataFrame, query_id: str, rank: str, question: str) -> DataFrame:
+    """One prompt per question: numbered blocks in rank order, then the question."""
+    body = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct(rank, "block"))), lambda b: b["block"]), "\n\n"
+    )
+    return packed.groupBy(query_id).agg(
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.concat(F.lit("<context>\n"), body, F.lit("\n</context>\n\n"), F.first(question)).alias("prompt"),
+    )
+
+
+def with_neighbours(hits: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame:
+    """Each hit with the chunks before and after it in the same document."""
+    around = hits.select(
+        query_id, "chunk_id", "doc_id", F.explode(F.array(F.col("idx") - 1, F.col("idx"), F.col("idx") + 1)).alias("idx")
+    )
+    near = around.join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+    return near.groupBy(query_id, "chunk_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda c: c["text"]), "\n\n").alias("expanded"),
+    )
+
+
+def parent_windows(rows: DataFrame, radius: int = 300) -> DataFrame:
+    """Adds ``window``: the parent text around ``text`` cut at blanks, or the chunk itself."""
+    r = rows.withColumn("_s", F.expr("locate(substr(text, 1, 50), parent)") - 1)
+    r = r.withColumn("_l", F.greatest(F.lit(0), F.col("_s") - radius))
+    r = r.withColumn("_r", F.least(F.length("parent"), F.col("_s") + F.length("text") + radius))
+    r = r.withColumn("_l", F.when(F.col("_l") > 0, F.expr("locate(' ', parent, _l + 1)")).otherwise(0))
+    r = r.withColumn("_w", F.expr("substr(parent, _l + 1, greatest(_r - _l, 0))"))
+    r = r.withColumn("_b", F.expr("locate(' ', reverse(_w))"))
+    cut = F.when(F.col("_r") >= F.length("parent"), F.col("_r")).when(
+        F.col("_b") > 0, F.col("_l") + F.length("_w") - F.col("_b")
+    ).otherwise(F.length("parent") - 1)
+    r = r.withColumn("_e", cut)
+    body = F.regexp_replace(F.expr("substr(parent, _l + 1, greatest(_e - _l, 0))"), r"^\s+|\s+$", "")
+    text = F.concat(
+        F.when(F.col("_l") > 0, "...").otherwise(""), body,
+        F.when(F.col("_e") < F.length("parent"), "...").otherwise(""),
+    )
+    return r.withColumn("window", F.when(F.col("_s") < 0, F.col("text")).otherwise(text)).drop(
+        "_s", "_l", "_r", "_w", "_b", "_e"
+    )
+
+
+# Interchangeable search backends: (docs, queries, doc id, query id) -> (query, doc, score).
+BACKENDS = {"bm25": lx.bm25_scores, "dense0": lx.tfidf_cosine}
+
+# Fixed value: list markers that precede a reformulated question.
+LIST_PREFIX = r"^\s*(?:[-–—•*]|\d{1,2}[.)])\s*"
+
+
+def query_variants(turns: DataFrame, n: int, max_len: int) -> DataFrame:
+    """The first user question of a dialogue and up to n reformulations taken from reply lines.
+
+    Lines lose their list marker; length, preamble and case-folded duplicates are checked.
+    """
+    first = (
+        turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.trim(F.min_by("text", "turn"), F.lit("\n ")).alias("q"))
+    )
+    lines = turns.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line")
+    )
+    v = lines.withColumn("v", F.trim(F.regexp_replace("line", LIST_PREFIX, "")))
+    ok = v.join(first, "conv_id").where(
+        F.length("v").between(6, max_len) & ~F.endswith("v", F.lit(":")) & (F.lower("v") != F.lower("q"))
+    )
+    uniq = ok.groupBy("conv_id", F.lower("v").alias("_k")).agg(F.min(F.struct("turn", "i", "v")).alias("f"))
+    picked = ordered(uniq, "conv_id", F.col("f"), name="n", k=n).select(
+        "conv_id", F.col("n").cast("long").alias("n"), F.col("f.v").alias("variant")
+    )
+    return first.select("conv_id", F.lit(0).cast("long").alias("n"), F.col("q").alias("variant")).unionByName(picked)
+
+
+def top_k_within(scores: DataFrame, keys: list[str], unit: str, k: int) -> DataFrame:
+    """Best k per combination of keys; filters belong before this step."""
+    w = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), F.col(unit))
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

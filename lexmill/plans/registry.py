@@ -17,6 +17,7 @@ _SQL: dict[str, str] = {}
 
 MODULES = (
     "lexical",
+    "ranking",
     "telemetry",
     "access",
     "vectors",
@@ -43,6 +44,7 @@ def query(name: str, sql: str | None = None):
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__module_name__ = fn.__module__
         _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql

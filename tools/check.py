@@ -40,7 +40,7 @@ def main() -> int:
     want = sys.argv[2:]
     mods = [w[4:] for w in want if w.startswith("mod:")]
     want = [w for w in want if not w.startswith("mod:")]
-    for m in mods or MODULES:
+    for m in mods or MODULES:  # importing one module may pull in others
         importlib.import_module(f"lexmill.plans.{m}")
     queries, sqls = dict(_QUERIES), dict(_SQL)
     con = duckdb.connect()
@@ -52,6 +52,8 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     bad = []
     for name, fn in queries.items():
+        if mods and not any(fn.__module_name__.endswith(m) for m in mods):
+            continue
         if want and not any(name.startswith(w) for w in want):
             continue
         t0 = time.time()
