@@ -50,11 +50,9 @@ def visible(docs: DataFrame, who: DataFrame, cond: Column) -> DataFrame:
     The tenant is an equality, so this is an equi-join; the rest filters its output. A row
     without a tenant takes the tenant of whoever asks and is matched to every tenant.
     """
-    tenants = who.select("tenant_id").distinct()
-    owned = docs.where(F.col("doc_tenant").isNotNull())
-    shared = docs.where(F.col("doc_tenant").isNull()).withColumn("_all", F.lit(1))
-    free = shared.join(tenants.withColumn("_all", F.lit(1)), "_all").drop("_all").withColumnRenamed("tenant_id", "_t")
-    pairs = owned.withColumn("_t", F.col("doc_tenant")).unionByName(free)
+    tenants = who.agg(F.collect_set("tenant_id").alias("t")).scalar()
+    owner = F.when(F.col("doc_tenant").isNull(), tenants).otherwise(F.array("doc_tenant"))
+    pairs = docs.withColumn("_t", F.explode(owner))
     return pairs.join(who, pairs["_t"] == who["tenant_id"]).drop("_t").where(cond)
 
 

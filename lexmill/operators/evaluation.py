@@ -113,12 +113,12 @@ def search_request_contract(rows: DataFrame, known: list[str]) -> DataFrame:
     return rows.withColumn("codes", codes).withColumn("valid", F.col("codes") == "")
 
 
-def permission_categories(run: DataFrame, seen: DataFrame, gold: DataFrame, roles: DataFrame) -> DataFrame:
+def permission_categories(run: DataFrame, seen: DataFrame, gold: DataFrame, roles: list[str]) -> DataFrame:
     """Per role: hits, search misses, correct denials and leaks over the questions with gold.
 
     ``roles`` is the fixed list of principals; every gold pair is judged for each of them.
     """
-    names = F.array(*[F.lit(r.role) for r in roles.collect()])
+    names = F.array(*[F.lit(r) for r in roles])
     pairs = gold.select("item_id", "doc_id", F.explode(names).alias("role"))
     can = seen.select("role", "doc_id").distinct().withColumn("can", F.lit(True))
     got = run.select("role", "item_id", "doc_id").withColumn("got", F.lit(True))

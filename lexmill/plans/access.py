@@ -151,7 +151,7 @@ def t2a(spark, sf):
 SELECT role, CASE WHEN leak THEN 'leak' WHEN hit THEN 'hit' WHEN readable THEN 'search_miss' ELSE 'correct_denial' END AS category, count(*) AS n FROM gv GROUP BY ALL""")
 def a16(spark, sf):
     run, seen, gold = acl_run(spark, sf)
-    return ev.permission_categories(run, seen, gold, ac.principals(spark).select("role"))
+    return ev.permission_categories(run, seen, gold, ROLES)
 
 
 @query("j10_access_matrix", f"""WITH {SQL_ACL} SELECT d.doc_id, """ + ", ".join(
