@@ -24,7 +24,7 @@ def code_tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? followed by white space; blanks dropped."""
     flat = F.regexp_replace(text, "\n", " ")
-    parts = F.transform(F.split(flat, r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 

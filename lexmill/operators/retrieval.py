@@ -72,7 +72,7 @@ CONTEXT_CHARS = 4000
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Documents cut at newlines: (chunk_id, doc_id, idx, text); blank lines dropped, idx kept dense."""
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rows = docs.select(doc_id, F.posexplode(parts).alias("idx", "text"))
     return rows.withColumn("chunk_id", F.concat_ws("_", F.col(doc_id), F.col("idx")))
 
