@@ -133,3 +133,53 @@ def permission_categories(run: DataFrame, seen: DataFrame, gold: DataFrame, role
         F.when(F.col("leak"), "leak").when(F.col("hit"), "hit").when(F.col("readable"), "search_miss").otherwise("correct_denial")
     )
     return per.groupBy("role", cat.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def generation_metrics(claims: DataFrame) -> DataFrame:
+    """Faithfulness, coverage and refusals from judged claims (answer_id, supported, covered, refused, answerable)."""
+    a = claims.groupBy("answer_id").agg(
+        F.first("refused").alias("refused"), F.first("answerable").alias("answerable"),
+        F.avg("supported").alias("s"), F.avg("covered").alias("c"),
+    )
+    ans, ref = F.col("answerable"), F.col("refused")
+    faith = F.when(ans & ~ref, F.col("s"))
+    cov = F.when(ans & ~ref, F.col("c")).when(ans, F.lit(0.0))
+    return a.agg(
+        F.round(F.coalesce(F.avg(faith), F.lit(0.0)), 6).alias("faithfulness"),
+        F.round(F.coalesce(F.avg(cov), F.lit(0.0)), 6).alias("coverage"),
+        F.count_if(ans & ref).alias("false_refusals"), F.count_if(ans).alias("n_answerable"),
+        F.count_if(~ans & ref).alias("right_refusals"), F.count_if(~ans).alias("n_traps"),
+    )
+
+
+def grade(key: DataFrame, given: DataFrame, item: str, student: Column, bands: tuple) -> DataFrame:
+    """Skipped, correct and wrong answers per student, and the band of the whole-number percentage."""
+    j = key.join(given, item, "left")
+    g = j.groupBy(student).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("given").isNull()).alias("skipped"),
+        F.count_if(F.col("given") == F.col("answer")).alias("correct"),
+        F.count_if(F.col("given") != F.col("answer")).alias("wrong"),
+    )
+    pct = F.expr("correct * 100 div n")
+    table = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(b).alias("band")) for lo, hi, b in bands])
+    return g.withColumn("_p", pct).withColumn(
+        "band", F.element_at(F.filter(table, lambda b: F.col("_p").between(b["lo"], b["hi"])), 1)["band"]
+    ).drop("_p")
+
+
+def inventory_drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Status of every item of two inventories: same, drifted, missing or unexpected."""
+    j = expected.withColumnRenamed("digest", "_e").join(actual.withColumnRenamed("digest", "_a"), key, "full_outer")
+    status = (
+        F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected")
+        .when(F.col("_a") == F.col("_e"), "same").otherwise("drifted")
+    )
+    return j.select(key, status.alias("status"))
+
+
+def promotion(status: Column, score: Column, min_score: float) -> Column:
+    """What to do with an item: only changed content with a sufficient score is promoted."""
+    return (
+        F.when(status == "missing", "stop").when(status == "same", "nothing_to_do")
+        .when(status == "drifted", F.when(score >= min_score, "promote").otherwise("hold")).otherwise("review")
+    )
