@@ -94,7 +94,7 @@ def f43(spark, sf):
 
 SQL_Q = """a AS (SELECT conv_id, turn - 1 AS turn, text || CASE WHEN turn % 4 = 1 THEN '  <quote>' ELSE '' END AS t0, turn AS reply FROM conversations WHERE role = 'assistant'),
 u AS (SELECT conv_id, turn, text AS context FROM conversations WHERE role = 'user'),
-an AS (SELECT a.conv_id, a.reply, coalesce(context, '') AS context, CASE WHEN contains(t0, '<quote>') THEN t0 || upper(substr(coalesce(context, 'none'), 5, 30)) || CASE WHEN a.conv_id % 3 = 0 THEN ' zzqq' ELSE '' END || '</quote>  [' || a.reply || ']' ELSE t0 END AS answer
+an AS (SELECT a.conv_id, a.reply, coalesce(context, '') AS context, CASE WHEN contains(t0, '<quote>') THEN t0 || replace(substr(coalesce(context, 'none'), 5, 30), ' ', ', ') || CASE WHEN a.conv_id % 3 = 0 THEN ' zzqq' ELSE '' END || '</quote>  [' || a.reply || ']' ELSE t0 END AS answer
 FROM a LEFT JOIN u ON u.conv_id = a.conv_id AND u.turn = a.turn)"""
 QX = "regexp_extract(answer, '(?s)<quote>(.+?)</quote>', 1)"
 PL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), ' ')"
@@ -106,7 +106,7 @@ def quoted(spark, sf):
     a = t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("reply"), "text")
     j = a.join(u, ["conv_id", "turn"], "left").withColumn("ctx", F.coalesce("context", F.lit("none")))
     q = F.concat(
-        "text", F.lit("  <quote>"), F.upper(F.substring("ctx", 5, 30)), F.when(F.col("conv_id") % 3 == 0, " zzqq").otherwise(""),
+        "text", F.lit("  <quote>"), F.replace(F.substring("ctx", 5, 30), F.lit(" "), F.lit(", ")), F.when(F.col("conv_id") % 3 == 0, " zzqq").otherwise(""),
         F.lit("</quote>  ["), "reply", F.lit("]"))
     return j.select("conv_id", "turn", "reply", F.when(F.col("reply") % 4 == 1, q).otherwise(F.col("text")).alias("answer")), u
 
