@@ -220,3 +220,21 @@ def x7(spark, sf):
         rows = ck.chunk_rows(docs(spark, sf), ["doc_id"], chunker(F.col("text"))).select(F.lit(name).alias("chunker"), F.length("text").alias("n"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("chunker").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean_chars"))
+
+
+SQL_X3 = SQL_SENT.split("wi AS")[0] + f"""w3 AS (SELECT doc_id, list_transform(range(1, len(s)), lambda i: list_distinct(flatten(list_slice(m, greatest(i - 2, 1), i)))) AS a, list_transform(range(1, len(s)), lambda i: list_distinct(flatten(list_slice(m, i + 1, i + 3)))) AS b FROM sm)
+SELECT doc_id, round(coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN least(len(a[i]), len(b[i])) > 0 THEN len(list_intersect(a[i], b[i]))::DOUBLE / least(len(a[i]), len(b[i])) ELSE 0 END)), 0), 6) AS overlap_sum FROM w3"""
+
+
+def overlap_coefficient(a, b):
+    """Another similarity for the curve: shared items over the smaller set."""
+    small = F.least(F.size(a), F.size(b))
+    return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise(F.lit(0.0))
+
+
+@query("x3_pluggable_similarity", "WITH " + SQL_X3)
+def x3(spark, sf):
+    s = tx.once(docs(spark, sf), ["doc_id"], s=tx.sentences(F.col("text")))
+    s = tx.once(s, ["doc_id"], m=F.transform("s", lambda x: tx.stems(x)))
+    s = tx.once(s, ["doc_id"], c=ck.similarity_curve(F.col("m"), overlap_coefficient, 3))
+    return s.select("doc_id", F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 6).alias("overlap_sum"))

@@ -282,3 +282,15 @@ def f41(spark, sf):
     home = F.when(F.col("turn") % 5 != 0, "local").otherwise("queue")
     route = F.when(private | broke, home).when(F.length("text") > 800, "cloud-flagship").otherwise("cloud-mini")
     return c.select("conv_id", "turn", route.alias("route"))
+
+
+X6 = [("secret", n, p) for n, p in SEC] + [("injection", n, sq("(?i)" + p)) for n, _, p in ru.INJECTION_RULES] + [("pii", "EMAIL", EMAIL)]
+
+
+@query("x6_rule_registry_hits", f"WITH {SQL_ND} " + " UNION ALL ".join(f"SELECT '{f}' AS family, '{n}' AS rule, count(*) FILTER (regexp_matches(t, {p})) AS n_docs FROM nd" for f, n, p in X6))
+def x6(spark, sf):
+    """Rules are rows (family, rule, pattern); one pass counts the documents each one touches."""
+    rules = [("secret", n, p) for n, p in ru.SECRET_PATTERNS] + [("injection", n, f"(?iU){p}") for n, _, p in ru.INJECTION_RULES] + [("pii", *ru.PII_PATTERNS[0])]
+    d = hy.normalise(table(spark, sf, "documents"))
+    hits = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("rule"), F.regexp_like("text", F.lit(p)).alias("hit")) for f, n, p in rules])
+    return d.select(F.inline(hits)).groupBy("family", "rule").agg(F.count_if("hit").alias("n_docs"))

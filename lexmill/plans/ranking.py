@@ -305,3 +305,26 @@ r AS (SELECT conv_id, v, row_number() OVER (PARTITION BY conv_id ORDER BY pos) A
 SELECT conv_id, 0::BIGINT AS n, q AS variant FROM first_user UNION ALL SELECT conv_id, n, v FROM r WHERE n <= 3""")
 def u2(spark, sf):
     return rt.query_variants(table(spark, sf, "conversations"), 3, 160)
+
+
+@query("x2_interchangeable_rerankers", f"""WITH {SQL_T3}, len2 AS (SELECT fr.item_id, fr.doc_id, pos, 1000.0::DOUBLE / (1000 + n_chars) AS s FROM fr JOIN documents d ON d.doc_id = fr.doc_id WHERE pos <= 20),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, pos, doc_id) AS final_rank FROM len2)
+SELECT 'overlap' AS reranker, item_id, doc_id, final_rank FROM fin WHERE final_rank <= 4 UNION ALL SELECT 'brevity', item_id, doc_id, final_rank FROM l2 WHERE final_rank <= 4""")
+def x2(spark, sf):
+    """A reranker is any function that adds a score column to the candidates."""
+    d, q = docs_items(spark, sf)
+    cand = fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K)
+    size = table(spark, sf, "documents").select("doc_id", "n_chars")
+
+    def overlap(c):
+        second = lx.tfidf_overlap(d, q, "doc_id", "item_id").select("item_id", "doc_id", F.round("score", 9).alias("s"))
+        return c.join(second, ["item_id", "doc_id"], "left")
+
+    def brevity(c):
+        return c.join(size, "doc_id").withColumn("s", F.lit(1000.0) / (1000 + F.col("n_chars")))
+
+    out = None
+    for name, score in (("overlap", overlap), ("brevity", brevity)):
+        r = rt.rerank(score(cand), "item_id", "doc_id", "s", rt.FINAL_K).select(F.lit(name).alias("reranker"), "item_id", "doc_id", "final_rank")
+        out = r if out is None else out.unionByName(r)
+    return out
