@@ -105,9 +105,9 @@ def block_of(col: str, size: int = 4096) -> Column:
     return F.floor(F.col(col) / F.lit(size)).cast("long")
 
 
-def hour_of(col: str) -> Column:
-    """A bucket for timestamps."""
-    return F.date_trunc("hour", F.col(col))
+def hour_of(col: str, unit: str = "hour") -> Column:
+    """A bucket for timestamps; a finer ``unit`` splits denser keys further."""
+    return F.date_trunc(unit, F.col(col))
 
 
 def rank_values(
@@ -136,7 +136,7 @@ def rank_values(
     if keys:
         cut = hist.join(cuts, keys)
     else:
-        cut = hist.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        cut = hist.withColumn("n", cuts.select("n").scalar()).withColumn("_cuts", cuts.select("_cuts").scalar())
     cut = cut.withColumn(
         "_b", F.size(F.filter(F.col("_cuts"), lambda s: s < F.col(value)))
     ).drop("_cuts")

@@ -24,16 +24,20 @@ BM25_B = 0.75
 
 def token_rows(docs: DataFrame, id_col: str, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
     """(id, dl, term): one row per token; ``dl`` counts all tokens of the text."""
-    toks = docs.select(id_col, tokenizer(F.col(text)).alias("_t"))
+    toks = tx.once(docs, [id_col], _t=tokenizer(F.col(text)))
     return toks.select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
 
 
 def postings(docs: DataFrame, id_col: str, tokenizer: Tokenizer, terms: DataFrame | None = None) -> DataFrame:
-    """(id, dl, term, tf), optionally only for the given distinct ``terms``."""
+    """(id, dl, term, tf), optionally only for the given distinct ``terms``.
+
+    Rows are hashed by the text's id alone, so that counting terms per text and, after a
+    broadcast join with a query set, summing scores per (query, text) share one shuffle.
+    """
     rows = token_rows(docs, id_col, tokenizer)
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.repartition(id_col).groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, tokenizer: Tokenizer) -> DataFrame:
@@ -148,8 +152,8 @@ def bm25_scores(
     """
     q = query_terms(queries, query_id, tx.code_tokens)
     post = postings(docs, doc_id, tx.code_tokens, q.select("term").distinct())
-    corpus = bm25_corpus(docs)
-    n_docs, avgdl = corpus.select("n_docs").scalar(), corpus.select("avgdl").scalar()
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    avgdl = bm25_corpus(docs).select("avgdl").scalar()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", bm25_idf(n_docs, F.col("df")).alias("idf"))
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl
@@ -251,19 +255,22 @@ def contained_in(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id:
     short = p.where(F.size("_in") < 8).select(
         passage_id, "_p", F.xxhash64(F.substring("_p", 1, 2)).alias("_a")
     )
-    split = tx.once(
-        docs, [doc_id, "text"], t=F.regexp_extract_all(F.col("text"), F.lit(f"({tx.WORD})"), F.lit(1))
-    )
+    split = tx.once(docs, [doc_id], t=F.regexp_extract_all(F.col("text"), F.lit(f"({tx.WORD})"), F.lit(1)))
     grams = F.transform(tx.ngrams("t", 6), lambda g: F.xxhash64(F.array(*[g[f"g{k}"] for k in range(6)])))
-    by_words = split.select(doc_id, "text", F.explode(F.array_distinct(grams)).alias("_a"))
-    chars = tx.once(docs, [doc_id, "text"], t=F.split("text", ""))
+    by_words = split.select(doc_id, F.explode(F.array_distinct(grams)).alias("_a"))
+    chars = tx.once(docs, [doc_id], t=F.split("text", ""))
     twos = F.transform(tx.ngrams("t", 2), lambda g: F.xxhash64(F.concat(g["g0"], g["g1"])))
     ones = F.transform("t", lambda c: F.xxhash64(c))
-    by_chars = chars.select(
-        doc_id, "text", F.explode(F.array_distinct(F.concat(twos, ones))).alias("_a")
+    by_chars = chars.select(doc_id, F.explode(F.array_distinct(F.concat(twos, ones))).alias("_a"))
+    # only ids travel with the anchors; the texts join the few pairs that met
+    met = (
+        by_words.join(long.select(passage_id, "_a"), "_a")
+        .unionByName(by_chars.join(short.select(passage_id, "_a"), "_a"))
+        .select(passage_id, doc_id)
+        .distinct()
     )
-    hits = by_words.join(long, "_a").unionByName(by_chars.join(short, "_a"))
-    return hits.where(F.contains("text", "_p")).select(passage_id, doc_id).distinct()
+    texts = met.join(p.select(passage_id, "_p"), passage_id).join(docs.select(doc_id, "text"), doc_id)
+    return texts.where(F.contains("text", "_p")).select(passage_id, doc_id)
 
 
 def top_k(scores: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:

@@ -74,7 +74,8 @@ def nearest(
     schema = "query_id long, id long, score double"
     qcols = ["query_id", "vec", *(["allowed"] if tag else [])]
     vcols = ["id", "vec", *([F.col(tag).alias("tag")] if tag else [])]
-    v, q = vectors.select(*vcols), queries.select(*qcols)
+    # fresh column ids: the queries may be rows of the vector table itself
+    v, q = vectors.select(*vcols), queries.select(*qcols).toDF(*qcols)
     if tag:  # tags nobody asks for are not read; a table laid out by tag prunes partitions
         v = v.join(q.select(F.explode("allowed").alias("tag")).distinct(), "tag", "left_semi").select("id", "vec", "tag")
     head = q.limit(query_limit + 1).collect()
