@@ -24,39 +24,27 @@ def with_running_sums(
 ) -> DataFrame:
     """Add inclusive running sums per key in the given order.
 
-    ``bucket`` must be monotone in ``order``. Both shuffles hash on (keys, bucket); the
-    window that crosses buckets sees one row per bucket.
+    ``bucket`` must be monotone in ``order``. Key and bucket travel as one struct: it is
+    never null (null keys form a key of their own), and the join and the window inside a
+    bucket share its hash partitioning. The window across buckets sees one row per bucket.
     """
     keys = list(keys)
-    part = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_kb", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b")))
     for name, value in sums.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*part).agg(
-        *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
+    totals = rows.groupBy("_kb").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    across = (
+        Window.partitionBy(*[F.col(f"_kb.k{i}") for i in range(len(keys))])
+        .orderBy("_kb.b").rowsBetween(Window.unboundedPreceding, -1)
     )
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_b"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_p_{n}") for n in sums],
+        "_kb", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_p_{n}") for n in sums]
     )
-    inside = (
-        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = rows.join(
-        prefix,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        + [F.col("_bucket").eqNullSafe(F.col("_b"))],
-    )
-    for name in sums:
-        joined = joined.withColumn(
-            name, F.col(f"_p_{name}") + F.sum(f"_v_{name}").over(inside)
-        )
-    drop = ["_bucket", "_b", *[f"_k_{k}" for k in keys]]
+    inside = Window.partitionBy("_kb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(prefix, "_kb")
     for name in sums:
-        drop += [f"_v_{name}", f"_p_{name}"]
-    return joined.drop(*drop)
+        joined = joined.withColumn(name, F.col(f"_p_{name}") + F.sum(f"_v_{name}").over(inside))
+    return joined.drop("_kb", *[f"_{x}_{name}" for name in sums for x in "vp"])
 
 
 def with_position(
