@@ -9,7 +9,7 @@ from lexmill.operators import access as ac
 from lexmill.operators import evaluation as ev
 from lexmill.operators import lexical as lx
 from lexmill.operators import retrieval as rt
-from lexmill.plans.lexical import SQL_BM25, SQL_GOLD, docs_items, ranked
+from lexmill.plans.lexical import SQL_BM25, SQL_GOLD, docs_items
 from lexmill.plans.registry import query, table
 
 ROLES = [p[1] for p in ac.PRINCIPALS]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.operators import datasets as ds
-from lexmill.operators import retrieval as rt
 from lexmill.plans.registry import query, table
 
 ANCHORS = ("the ", "and ", "tion", "die ", "les ")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators import costs as co
 from lexmill.operators import dialogues as dg
-from lexmill.operators import evaluation as ev
 from lexmill.operators import triage as tr
 from lexmill.plans.lexical import W
 from lexmill.plans.registry import query, table

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import text as tx
 from lexmill.operators import evaluation as ev
 from lexmill.operators import lexical as lx
 from lexmill.operators import retrieval as rt
-from lexmill.plans.lexical import C, SQL_BM25, SQL_DENSE_RUN, SQL_GOLD, W, docs_items, ranked
+from lexmill.plans.lexical import C, SQL_BM25, SQL_DENSE_RUN, SQL_GOLD, docs_items, ranked
 from lexmill.plans.registry import query, table
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import ordered as od
 from lexmill.operators import costs as co
 from lexmill.operators import evaluation as ev
 from lexmill.operators import hygiene as hy

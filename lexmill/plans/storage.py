@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.embed import TfidfEmbedder
 from lexmill.operators import chunking as ck
 from lexmill.operators import lexical as lx
-from lexmill.plans.chunks import OUT, SQL_MDC, docs, markdown_docs
+from lexmill.plans.chunks import SQL_MDC, docs
 from lexmill.plans.lexical import SQL_WORD_POST, W
 from lexmill.plans.registry import query, table
 from lexmill.plans.scoring import SQL_OUT, outcomes

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import ordered as od
 from lexmill.operators import hygiene as hy
 from lexmill.operators import retrieval as rt
-from lexmill.operators import telemetry as tm
 from lexmill.plans.registry import query, table
-from lexmill.plans.telemetry import SQL_E, SQL_ROUTES, nr
+from lexmill.plans.telemetry import SQL_E, SQL_ROUTES
 from lexmill.session import scratch
 from lexmill.sources import sinks as sk
 from lexmill.streaming import jobs as sj

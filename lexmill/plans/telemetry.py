@@ -204,7 +204,7 @@ def w12(spark, sf):
         "user_id", "event_id", "stage", "ms", "slowest", F.round("share", 6).alias("share"))
 
 
-@query("f40_tokens_per_second", f"""WITH {SQL_E} SELECT event_id, round(k / (value / 10), 6) AS tps, round(k / greatest(value / 10 - 1, 1e-9::DOUBLE), 2) AS tps_floored FROM e""")
+@query("f40_tokens_per_second", f"""WITH {SQL_E} SELECT event_id, round(k / nullif(value / 10, 0), 6) AS tps, round(k / greatest(value / 10 - 1, 1e-9::DOUBLE), 2) AS tps_floored FROM e""")
 def f40(spark, sf):
     ns = F.col("value") / 10
     return events(spark, sf).select(
@@ -222,11 +222,11 @@ def a21(spark, sf):
 
 
 @query("a21_benchmark_speed", f"""WITH {SQL_E}, r AS (SELECT event_type AS model, k / (value / 10) AS s, row_number() OVER (PARTITION BY event_type ORDER BY k / (value / 10)) AS rn,
-count(*) OVER (PARTITION BY event_type) AS n FROM e)
+count(*) OVER (PARTITION BY event_type) AS n FROM e WHERE value > 0)
 SELECT model, any_value(n) AS n, round((max(s) FILTER (rn = (n - 1) // 2 + 1) + max(s) FILTER (rn = n // 2 + 1)) / 2, 6) AS median_tps,
 round(max(s) FILTER (rn = n // 2 + 1), 6) AS upper_median_tps, round(max(s) FILTER (rn = n // 10 + 1), 6) AS p10_tps FROM r GROUP BY model""")
 def a21s(spark, sf):
-    e = events(spark, sf).select(F.col("event_type").alias("model"), (F.col("k") / (F.col("value") / 10)).alias("s"))
+    e = events(spark, sf).select(F.col("event_type").alias("model"), F.try_divide(F.col("k"), F.col("value") / 10).alias("s"))
     r = od.rank_values(e, ["model"], "s", {
         "lo": F.floor((F.col("n") - 1) / 2) + 1, "hi": F.floor(F.col("n") / 2) + 1, "p10": F.floor(F.col("n") / 10) + 1})
     return r.select("model", "n", F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("median_tps"),
