@@ -182,7 +182,7 @@ def a33(spark, sf):
 
 @query("a34_cost_table", f"""WITH {SQL_PRICES}, {SQL_USE}, m AS (SELECT sum(tokens_in) / count(*) AS tokens_in, sum(tokens_out) / count(*) AS tokens_out FROM us), c AS (SELECT *, {USD} AS usd FROM m, pr),
 v AS (SELECT *, floor(60.0::DOUBLE / usd / 30) + 1 AS vol FROM c)
-SELECT model, round(usd * 1000, 6) AS per_1000, round(usd * 60000, 4) AS monthly, round(tokens_in / 1000000 * p_in / usd, 6) AS input_share, coalesce(CASE WHEN vol * tokens_out * 30 <= 8.0 * 86400 * 30 THEN vol END, -1)::BIGINT AS break_even FROM v""")
+SELECT model, round(usd * 1000, 6) AS per_1000, round(usd * 2000 * 30, 4) AS monthly, round(tokens_in / 1000000 * p_in / usd, 6) AS input_share, coalesce(CASE WHEN vol * tokens_out * 30 <= 8.0 * 86400 * 30 THEN vol END, -1)::BIGINT AS break_even FROM v""")
 def a34(spark, sf):
     total = usage(spark, sf).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count(F.lit(1)).alias("requests"))
     c = co.cost_table(total)
