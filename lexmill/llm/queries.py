@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import mix, sql
+from lexmill.llm import mix, secrets, sql
 from lexmill.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op5_pareto_mix,)
+    fns = (op4_secret_spans, op5_pareto_mix)
     return {f.__name__: f for f in fns}
 
 
