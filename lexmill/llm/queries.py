@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import mix, secrets, sql
+from lexmill.llm import bpe, mix, secrets, sql
 from lexmill.llm.common import table
 
 
@@ -14,12 +14,23 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op4_secret_spans, op5_pareto_mix)
+    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix)
     return {f.__name__: f for f in fns}
 
 
