@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, mix, secrets, sql
+from lexmill.llm import bpe, langid, mix, secrets, sql
 from lexmill.llm.common import table
 
 
@@ -29,8 +29,12 @@ def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix)
+    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits)
     return {f.__name__: f for f in fns}
 
 
