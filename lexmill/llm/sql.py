@@ -36,8 +36,8 @@ from t
 
 TOP_K = """
 with ok as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
     select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
     from ok q join ok c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
