@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, langid, mix, mtree, secrets, sql
+from lexmill.llm import bpe, langid, mix, mtree, secrets, sql, warc
 from lexmill.llm.common import table
 
 
@@ -34,14 +34,18 @@ def op6_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("bundle", "frame_offset")
+
+
 def op10_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op10_mtree_top5)
+    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op10_mtree_top5)
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": sql.MIX, "op10_mtree_top5": sql.TOP_K}
+    return {"op5_pareto_mix": sql.MIX, "op7_seekable_warc": sql.WARC, "op10_mtree_top5": sql.TOP_K}

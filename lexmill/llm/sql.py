@@ -46,3 +46,19 @@ with ok as (
 )
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
+
+WARC = """
+with p as (
+    select page_id, coalesce(html, '') as html from pages
+), d as (
+    select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as sha from p
+), g as (
+    select *, max(page_id) over (partition by sha, payload_bytes) as keeper from d
+)
+select page_id, payload_bytes::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(sha, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), '') as payload_digest,
+       case when page_id is not distinct from keeper then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from keeper then keeper end as refers_to
+from g
+"""
