@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-REMEMBERED = 120_000  # pieces in each of the two generations of the store
+REMEMBERED = 200_000  # pieces, and words, in each of the two generations of the stores
 END = "</w>"
 MARK = "\0"  # stands for END inside the automaton; no byte-level character equals it
 NEVER = 1 << 40
+PUNCTUATION = (".", ",", ";", ":", "!", "?")
 
 
 class Codec:
@@ -60,6 +61,7 @@ class Codec:
         for i in range(0xC0, 0x250):  # the bytes of two-byte letters, as the file's own splitter writes them
             for byte, char in zip(chr(i).encode(), "".join(w for w, _ in self.split(chr(i)))):
                 self.byte_level[byte] = char
+        self.edges: tuple[dict, dict] = ({}, {})
         self.matcher = ahocorasick.Automaton()
         for s in self.ids:
             if self._whole(s):
@@ -68,6 +70,7 @@ class Codec:
         self.matcher.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -77,17 +80,22 @@ class Codec:
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """Symbols on one edge of a token's merge tree, each with the rank of the merge that takes it away."""
-        out, gone = [], NEVER
-        while True:
-            out.append((token, gone))
-            if token not in self.parts:
-                return out
-            gone, token = self.parts[token][0], self.parts[token][side]
+        out = self.edges[side - 1].get(token)
+        if out is None:
+            out, gone, symbol = [], NEVER, token
+            while True:
+                out.append((symbol, gone))
+                if symbol not in self.parts:
+                    break
+                gone, symbol = self.parts[symbol][0], self.parts[symbol][side]
+            self.edges[side - 1][token] = out
+        return out
 
     def border_holds(self, left: str, right: str, own: str | None = None) -> bool:
+        rank, others = self.rank.get, self._edge(right, 1)
         for a, a_gone in self._edge(left, 2):
-            for b, b_gone in self._edge(right, 1):
-                r = self.rank.get((a, b))
+            for b, b_gone in others:
+                r = rank((a, b))
                 if r is not None and r < a_gone and r <= b_gone and not (own is not None and a == left and b == right):
                     return False
         return True
@@ -123,6 +131,11 @@ class Codec:
 
     def _words(self, text: str) -> list[str]:
         """Words in byte-level characters. Latin letters below U+0250 need no composing and lower-case one by one."""
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in PUNCTUATION and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
         if _LATIN.fullmatch(text):
             return [w.encode().decode("latin-1").translate(self.byte_level) for w in self.plain.findall(text.lower())]
         return [w for w, _ in self.split(self.normalise(text))]
@@ -133,10 +146,12 @@ class Codec:
     def _remembered(self, word: str) -> tuple[int, str, str]:
         got = self.known.get(word)
         if got is None:
-            ids = [self.ids[t] for t in self.word(word)]
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            got = self.before.get(word)
+            if got is None:
+                ids = [self.ids[t] for t in self.word(word)]
+                got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.before, self.known = self.known, {}
             if len(word) <= 64:
                 self.known[word] = got
         return got
@@ -151,6 +166,8 @@ class Codec:
 
     def piece(self, text: str) -> tuple[int, str, str]:
         """Of a piece without blanks: number of ids, ids joined by one space, decoded text."""
+        if not text:
+            return (0, "", "")
         got = self.young.get(text)
         if got is None:
             got = self.old.get(text)
@@ -172,14 +189,15 @@ class Codec:
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Of a whole text: number of ids, ids joined by one space, decoded text."""
-        young, piece = self.young, self.piece
-        got = []
-        for p in (text or "").split(" "):
-            if p:
-                g = young.get(p) or piece(p)
-                young = self.young
-                if g[0]:
-                    got.append(g)
+        pieces = (text or "").split(" ")
+        young = self.young
+        for p in set(pieces).difference(young):
+            self.piece(p)
+        if self.young is not young:  # the store has turned over meanwhile
+            got = [self.piece(p) for p in pieces if p]
+        else:
+            got = [young[p] if p in young else self.piece(p) for p in pieces if p]
+        got = [g for g in got if g[0]]
         return _joined(got)
 
 
