@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ REMEMBERED = 200_000  # pieces, and words, in each of the two generations of the
 END = "</w>"
 MARK = "\0"  # stands for END inside the automaton; no byte-level character equals it
 NEVER = 1 << 40
+PAIRS = 1_000_000  # pairs of tokens remembered
 PUNCTUATION = (".", ",", ";", ":", "!", "?")
 
 
@@ -68,7 +70,8 @@ class Codec:
                 key = s.removesuffix(END) + MARK if s.endswith(END) and s != END else s
                 self.matcher.add_word(key, (len(key), s))
         self.matcher.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_known = 0
         self.known: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
         self.young: dict[str, tuple] = {}
@@ -101,11 +104,13 @@ class Codec:
         return True
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            known = self.fits[(left, right)] = self.border_holds(left, right)
+        """Whether the border holds; remembered below the left token."""
+        known = self.after[left][right] = self.border_holds(left, right)
+        self.n_known += 1
+        if self.n_known > PAIRS:
+            self.n_known = 0
+            for pairs in self.after.values():
+                pairs.clear()
         return known
 
     def word(self, word: str) -> list[str]:
@@ -113,13 +118,20 @@ class Codec:
         marked = word + MARK
         n = len(marked)
         last: list[str | None] = [None] * (n + 1)
+        pairs: list[dict[str, bool] | None] = [None] * (n + 1)
         for end, (size, token) in self.matcher.iter(marked):
-            at = end + 1
-            if last[at] is not None or at == n - 1 and size == 0:
-                continue
-            start = at - size
-            if start == 0 or (last[start] is not None and self.compatible(last[start], token)):
-                last[at] = token
+            end += 1
+            if last[end] is None:
+                if size < end:
+                    after = pairs[end - size]
+                    if after is None:
+                        continue
+                    fits = after.get(token)
+                    if fits is None:
+                        fits = self.compatible(last[end - size], token)
+                    if not fits:
+                        continue
+                last[end], pairs[end] = token, self.after[token]
         out, at = [], n
         while at:
             token = last[at]
