@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, langid, mix, mtree, secrets, sql, tokenfile, warc
+from lexmill.llm import bpe, langid, mix, mtree, secrets, simhash, sql, tokenfile, warc
 from lexmill.llm.common import table
 
 
@@ -42,12 +42,19 @@ def op8_re_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = (op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op10_mtree_top5)
+    fns = (
+        op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
+        op10_mtree_top5,
+    )
     return {f.__name__: f for f in fns}
 
 
