@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, langid, mix, mtree, secrets, simhash, sql, tokenfile, warc
+from lexmill.llm import bpe, jaccard, langid, mix, mtree, secrets, simhash, sql, tokenfile, warc
 from lexmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -52,11 +56,11 @@ def op10_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
-        op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
+        op2_jaccard_regions, op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
         op10_mtree_top5,
     )
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": sql.MIX, "op7_seekable_warc": sql.WARC, "op10_mtree_top5": sql.TOP_K}
+    return {"op2_jaccard_regions": sql.JACCARD, "op5_pareto_mix": sql.MIX, "op7_seekable_warc": sql.WARC, "op10_mtree_top5": sql.TOP_K}

@@ -62,3 +62,27 @@ select page_id, payload_bytes::bigint as payload_bytes,
        case when page_id is distinct from keeper then keeper end as refers_to
 from g
 """
+
+JACCARD = r"""
+with recursive w as (
+    select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), s as (
+    select distinct doc_id, r, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as g
+    from (select doc_id, r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)
+), n as (
+    select doc_id, r, count(*) as n from s group by doc_id, r
+), c as (
+    select a.r as a, b.r as b, count(*) as common from s a join s b on a.g = b.g and a.r < b.r group by a.r, b.r
+), l as (
+    select a, b from c join n x on x.r = a join n y on y.r = b where 100 * common >= 90 * (x.n + y.n - common)
+), e as (
+    select a, b from l union all select b, a from l
+), reach as (
+    select r as a, r as b from w union select reach.a, e.b from reach join e on e.a = reach.b
+), m as (
+    select reach.a as r, min(w.doc_id) as component_id from reach join w on w.r = reach.b group by reach.a
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id
+from w join m on m.r = w.r left join n on n.r = w.r
+"""
