@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, jaccard, langid, mix, mtree, secrets, simhash, sql, tokenfile, warc
+from lexmill.llm import bpe, jaccard, langid, mix, mtree, ordinal, secrets, simhash, sql, tokenfile, warc
 from lexmill.llm.common import table
 
 
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.rate(docs, table(spark, sf_dir, "labels"), learn_from=~langid.held_out())
+
+
 def op2_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -56,7 +61,7 @@ def op10_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
-        op2_jaccard_regions, op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
+        op1_ordinal_quality, op2_jaccard_regions, op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
         op10_mtree_top5,
     )
     return {f.__name__: f for f in fns}
