@@ -174,7 +174,7 @@ def bytes_of(found) -> bytes:
 SCORES = T.StructType([T.StructField("p1", T.DoubleType()), T.StructField("p2", T.DoubleType())])
 
 
-def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: int = 2, least: float = 0.5,
+def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: int = 2, least: float = 0.3,
          learn_from=None, sample: int = SAMPLE) -> DataFrame:
     """One row per document: expected grade, tail probabilities, and whether ``P(grade >= tail)`` reaches ``least``.
 
