@@ -45,6 +45,8 @@ HASH_BITS = 17
 MAGIC = b"RPTK0001"
 BLOCK_ROW, DOC_ROW, FOOTER = struct.Struct("<qqqqi"), struct.Struct("<?qq"), struct.Struct("<qqi8s")
 REMEMBERED = 200_000  # pieces, and words, in each of the two generations of the stores
+PUNCTUATION = (".", ",", ";", ":", "!", "?")
+READERS = 2_000  # tasks that read shards, if there are so many
 # Fixed value: the pattern that cuts words in this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -86,7 +88,12 @@ class Encoder:
     def _learn(self, piece: str) -> None:
         got = self.old.get(piece)
         if got is None:
-            got = self._first(" " + piece)
+            if piece.isalpha():
+                got = self._word(" " + piece)
+            elif piece[-1:] in PUNCTUATION and piece[:-1].isalpha():
+                got = self._word(" " + piece[:-1]) + self._word(piece[-1])
+            else:
+                got = self._first(" " + piece)
         self.young[piece] = got
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -107,8 +114,9 @@ class Encoder:
                     self.before, self.known = self.known, {}
 
     def _first(self, piece: str) -> bytes:
-        if any(s in piece for s in self.special):
-            return self.whole([piece])[0]
+        for s in self.special:
+            if s in piece:
+                return self.whole([piece])[0]
         return b"".join([self._word(w) for w in self.words.findall(piece)])
 
 
@@ -313,7 +321,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def read(shards: DataFrame, folder: str) -> DataFrame:
     """A row per document of the shards, in whose order ``start`` counts."""
-    return shards.select("shard", "start").repartition(F.col("shard")).mapInPandas(_reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    tasks = max(1, min(shards.count(), READERS))  # the shards' few rows would else be merged into one task
+    return shards.select("shard", "start").repartition(tasks, "shard").mapInPandas(_reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
