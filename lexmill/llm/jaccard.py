@@ -75,8 +75,8 @@ def features(docs: DataFrame, keep: list[str], text_col: str, width: int) -> Dat
         for h in shingle_sets(texts.tolist(), width):
             c = _class(h)
             rows.append((c, _key(c) if c else None, len(h), np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)))
-        out = pd.DataFrame(rows, columns=["cls", "k", "n", "counts"])
-        return out.astype({"k": "Int64"})
+        cls, k, n, counts = zip(*rows) if rows else ([], [], [], [])
+        return pd.DataFrame({"cls": list(cls), "k": pd.array(k, "Int64"), "n": list(n), "counts": list(counts)})  # keys keep all 64 bits beside nulls
 
     kind = T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 

@@ -316,7 +316,8 @@ def _reader(folder: str):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    ids, start, n, crc = zip(*rows) if rows else ([], [], [], [])
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": list(start), "n_tokens": list(n), "ids_crc32": list(crc)})
 
 
 def read(shards: DataFrame, folder: str) -> DataFrame:

@@ -35,6 +35,7 @@ from lexmill.session import scratch
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0
 BUNDLE_BYTES = 256 << 20
 MIN_BYTES = 0
+READERS = 2_000  # tasks that read bundles, if there are so many
 DATE = "2000-01-01T00:00:00Z"  # the tables hold no time of capture
 INDEX = "record_id string, bundle string, frame_offset bigint, frame_bytes bigint, record_bytes bigint"
 
@@ -177,8 +178,9 @@ def _reader(folder: str):
 
 
 def _rows(out: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame_offset"])
-    return df.astype({"page_id": "Int64", "refers_to": "Int64"})
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame_offset"]
+    columns = dict(zip(names, zip(*out))) if out else {n: [] for n in names}
+    return pd.DataFrame({n: pd.array(c, "Int64") if n in ("page_id", "refers_to") else list(c) for n, c in columns.items()})
 
 
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, bundle string, frame_offset bigint"
@@ -221,13 +223,15 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
           bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write the archives and return the index: record id, bundle, frame offset and sizes."""
     records = plan_records(pages, id_col, payload_col, min_bytes)
+    records = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "keeper")})  # whole numbers beyond 2^53 survive beside nulls
     return written(records.mapInPandas(_writer(folder, bundle_bytes), INDEX), "warc-index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """Every record of the bundles that the index names, a task per bundle."""
     bundles = index.select("bundle").distinct()
-    return bundles.repartition(F.col("bundle")).mapInPandas(_reader(folder), READ)
+    tasks = max(1, min(bundles.count(), READERS))  # the few names would else be merged into one task
+    return bundles.repartition(tasks, "bundle").mapInPandas(_reader(folder), READ)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
