@@ -133,9 +133,12 @@ def rendered(spans_col: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per document: counts per base kind, the digest of the base spans, and all spans."""
     found = spans(docs, text_col, (id_col,), reach)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["ord"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     return found.select(
-        F.col(id_col).alias("doc_id"), *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"),
+        F.col(id_col).alias("doc_id"), *[number(k) for k in range(BASE)], F.sha2(rendered(F.col("base")), 256).alias("base_sha256"),
         rendered(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_linked"),
     )
 
