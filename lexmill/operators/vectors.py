@@ -1,8 +1,7 @@
 """Dense vectors: exact and cell-pruned nearest neighbours, k-means cells, recall.
 
-Scores are block matrix products inside Arrow batches; a batch sends on only its best k rows
-per query, so neither pairs nor vectors travel. A query set within ``QUERY_LIMIT`` rows goes to
-the tasks as one matrix; a larger one is cut into blocks that meet blocks of vectors.
+Vectors and queries are cut into blocks, per cell where cells prune; a block of vectors meets a block of queries in one
+matrix product, which sends on only the best k rows per query. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_LIMIT = 4096
 BLOCK = 4096
 
 
@@ -45,12 +43,12 @@ def group_means(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     return arr.select(key, F.transform("_m", lambda x: x / norm(F.col("_m"))).alias(vec))
 
 
-def _best(ids, sims, qids, k, mask=None) -> pd.DataFrame:
+def _best(ids, sims, qids, k) -> pd.DataFrame:
     """Best k rows per query column of a (rows x queries) score block."""
     out = []
     for c, q in enumerate(qids):
         col = np.round(sims[:, c], 12)
-        rows = np.arange(len(ids)) if mask is None else np.flatnonzero(mask[:, c])
+        rows = np.arange(len(ids))
         if len(rows) > k:
             cut = np.partition(col[rows], len(rows) - k)[len(rows) - k]
             rows = rows[col[rows] >= cut]
@@ -58,60 +56,39 @@ def _best(ids, sims, qids, k, mask=None) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
 
-def _mask(tags, allowed):
-    """Rows x queries: may this query see a row with this tag?"""
-    return np.stack([np.isin(tags, a) for a in allowed], axis=1)
-
-
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, query_limit: int = QUERY_LIMIT, tag: str | None = None
+    vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, keys: tuple[str, ...] = ("query_id",), block: int = BLOCK
 ) -> DataFrame:
-    """(query_id, id, score, rank): cosine top-k of unit vectors, ties by id.
+    """(keys, id, score, rank): cosine top-k of unit vectors, ties by id.
 
-    ``vectors(id, vec[, tag])``; ``queries(query_id, vec[, allowed])``. With ``tag`` a query
-    only sees rows whose tag is in its ``allowed`` array (cells to probe, a category).
+    ``vectors(id, vec[, tag])``; ``queries(keys, vec[, allowed])``. With ``tag`` a query only meets rows whose tag is in its
+    ``allowed`` array (cells to probe, a category): the join of blocks is on the tag, so other rows cost no product.
     """
-    schema = "query_id long, id long, score double"
-    qcols = ["query_id", "vec", *(["allowed"] if tag else [])]
-    vcols = ["id", "vec", *([F.col(tag).alias("tag")] if tag else [])]
+    group = F.col(tag).alias("tag") if tag else F.lit(0).alias("tag")
+    asked = F.explode(F.array_distinct("allowed")).alias("tag") if tag else F.lit(0).alias("tag")
     # fresh column ids: the queries may be rows of the vector table itself
-    v, q = vectors.select(*vcols), queries.select(*qcols).toDF(*qcols)
-    if tag:  # tags nobody asks for are not read; a table laid out by tag prunes partitions
-        v = v.join(q.select(F.explode("allowed").alias("tag")).distinct(), "tag", "left_semi").select("id", "vec", "tag")
-    head = q.limit(query_limit + 1).collect()
-    if len(head) <= query_limit:
-        qids = [r["query_id"] for r in head]
-        qm = np.array([r["vec"] for r in head], dtype="float64").T if head else None
-        allowed = [r["allowed"] for r in head] if tag else None
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and qids:
-                    sims = np.stack(pdf["vec"].to_numpy()).astype("float64") @ qm
-                    mask = _mask(pdf["tag"].to_numpy(), allowed) if tag else None
-                    yield _best(pdf["id"].to_numpy(), sims, qids, k, mask)
-
-        part = v.mapInPandas(score, schema)
-    else:
-        nv = int(v.count() // BLOCK + 1)
-        nq = int(q.count() // BLOCK + 1)
-        vb = v.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
-        )
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))
-        )
-
-        def block(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-            if not len(vp) or not len(qp):
-                return _best(np.array([], dtype="int64"), np.zeros((0, 0)), [], k)
-            sims = np.stack(vp["vec"].to_numpy()).astype("float64") @ np.stack(qp["vec"].to_numpy()).astype("float64").T
-            mask = _mask(vp["tag"].to_numpy(), list(qp["allowed"])) if tag else None
-            return _best(vp["id"].to_numpy(), sims, list(qp["query_id"]), k, mask)
-
-        part = vb.groupBy("vb", "qb").cogroup(qb.groupBy("vb", "qb")).applyInPandas(block, schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    v = vectors.select("id", "vec", group)
+    q = queries.select(F.struct(*keys).alias("key"), "vec", asked).toDF("key", "vec", "tag")
+    v_blocks = v.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("nv"))
+    q_blocks = q.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("nq"))
+    blocks = v_blocks.join(q_blocks, "tag")  # a row per cell that both sides have
+    vb = v.join(blocks, "tag").withColumn("vb", F.pmod(F.xxhash64("id"), "nv")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
+    qb = q.join(blocks, "tag").withColumn("qb", F.pmod(F.xxhash64("key"), "nq")).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)))
+
+    def product(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        if not len(vp) or not len(qp):
+            return pd.DataFrame({"n": [], "id": [], "score": []})
+        sims = np.stack(vp["vec"].to_numpy()).astype("float64") @ np.stack(qp["vec"].to_numpy()).astype("float64").T
+        return _best(vp["id"].to_numpy(), sims, list(qp["at"]), k).rename(columns={"query_id": "n"})
+
+    on = ["tag", "vb", "qb"]
+    # within a block pair a query is known by its key's JSON, which any key type has
+    qb = qb.withColumn("at", F.to_json("key")).select(*on, "at", "vec")
+    part = vb.select(*on, "id", "vec").groupBy(*on).cogroup(qb.groupBy(*on)).applyInPandas(product, "n string, id long, score double")
+    named = queries.select(F.struct(*keys).alias("key")).distinct().select(F.to_json("key").alias("n"), *[F.col(f"key.{c}").alias(c) for c in keys])
+    w = Window.partitionBy("n").orderBy(F.col("score").desc(), "id")
+    best = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(named, "n").select(*keys, "id", "score", "rank")
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -122,9 +122,8 @@ def ivf(spark, sf, nprobes):
     stored = vx.assign_cells(v, used)
     q = vx.probes(label_queries(v), cent, max(nprobes))
     q = q.withColumn("nprobe", F.explode(F.array(*map(F.lit, nprobes))))
-    q = q.select((F.col("query_id") * 1000 + F.col("nprobe")).alias("query_id"), "vec", F.slice("allowed", 1, F.col("nprobe")).alias("allowed"))
-    run = vx.nearest(stored, q, 10, tag="cell")
-    return v, run.select((F.col("query_id") % 1000).cast("int").alias("nprobe"), F.floor(F.col("query_id") / 1000).alias("query_id"), "id", "rank", "score")
+    q = q.select("query_id", "nprobe", "vec", F.slice("allowed", 1, F.col("nprobe")).alias("allowed"))
+    return v, vx.nearest(stored, q, 10, tag="cell", keys=("nprobe", "query_id"))
 
 
 @query("j2_cell_pruned_nearest_neighbours", f"WITH {SQL_IVF} SELECT query_id, id, rank, round(score, 6) AS score FROM iv WHERE nprobe = 4")

@@ -55,7 +55,7 @@ def test_both_vector_paths_agree_with_numpy(spark, monkeypatch):
     q = v.where("id < 20").withColumnRenamed("id", "query_id")
     monkeypatch.setattr(vx, "BLOCK", 64)
     one = {(r.query_id, r["rank"]): r.id for r in vx.nearest(v, q, 5).collect()}
-    two = {(r.query_id, r["rank"]): r.id for r in vx.nearest(v, q, 5, query_limit=7).collect()}
+    two = {(r.query_id, r["rank"]): r.id for r in vx.nearest(v, q, 5, block=7).collect()}
     want = {(i, k + 1): int(n) for i in range(20) for k, n in enumerate(np.argsort(-(x @ x[i]), kind="stable")[:5])}
     assert one == two == want
 
@@ -67,7 +67,7 @@ def test_masked_vector_paths_agree(spark, monkeypatch):
     q = v.where("id < 12").select(F.col("id").alias("query_id"), "vec", F.array((F.col("cell") + 1) % 5, F.lit(0)).alias("allowed"))
     monkeypatch.setattr(vx, "BLOCK", 50)
     a = sorted(map(tuple, vx.nearest(v, q, 4, tag="cell").select("query_id", "rank", "id").collect()))
-    b = sorted(map(tuple, vx.nearest(v, q, 4, query_limit=3, tag="cell").select("query_id", "rank", "id").collect()))
+    b = sorted(map(tuple, vx.nearest(v, q, 4, block=3, tag="cell").select("query_id", "rank", "id").collect()))
     assert a == b and len(a) == 48
 
 
