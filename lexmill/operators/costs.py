@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# US dollars per million tokens (input, output); replace with the current list.
-PRICES = (
-    ("mini", 0.15, 0.60),
-    ("flagship", 2.50, 10.00),
-    ("fast", 0.80, 4.00),
-    ("large", 3.00, 15.00),
-    ("budget", 0.27, 1.10),
-)
 LOCAL_MONTHLY_USD = 60.0
 LOCAL_TOKENS_PER_S = 8.0
 
 
-def priced(usage: DataFrame, prices: tuple = PRICES) -> DataFrame:
-    """Every usage row with every model of the price list and its cost."""
+Prices = Sequence[tuple[str, float, float]]  # model, US dollars per million tokens in and out
+
+
+def priced(usage: DataFrame, prices: Prices) -> DataFrame:
+    """Every usage row with every model of the price list and its cost. The list is short: it travels in the plan."""
     cells = F.array(
         *[F.struct(F.lit(m).alias("model"), F.lit(i).alias("p_in"), F.lit(o).alias("p_out")) for m, i, o in prices]
     )
@@ -28,24 +25,24 @@ def priced(usage: DataFrame, prices: tuple = PRICES) -> DataFrame:
     )
 
 
-def session_range(usage: DataFrame, key: str) -> DataFrame:
+def session_range(usage: DataFrame, key: str, prices: Prices) -> DataFrame:
     """Cheapest and dearest model per session."""
     at = F.struct("usd", "model")
-    p = priced(usage).groupBy(key).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    p = priced(usage, prices).groupBy(key).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     return p.select(
         key, F.col("lo.model").alias("cheapest"), F.col("lo.usd").alias("min_usd"),
         F.col("hi.model").alias("dearest"), F.col("hi.usd").alias("max_usd"),
     )
 
 
-def cost_table(total: DataFrame, requests_per_day: int = 2000, days: int = 30) -> DataFrame:
+def cost_table(total: DataFrame, prices: Prices, requests_per_day: int = 2000, days: int = 30) -> DataFrame:
     """Per model from one usage row (tokens_in, tokens_out, requests): per request, per 1000,
     monthly, input share, and the daily volume at which the API costs more than one local server
     (null when one server cannot generate that much)."""
     mean = total.select(
         (F.col("tokens_in") / F.col("requests")).alias("tokens_in"), (F.col("tokens_out") / F.col("requests")).alias("tokens_out")
     )
-    c = priced(mean)
+    c = priced(mean, prices)
     volume = F.floor(F.lit(LOCAL_MONTHLY_USD) / F.col("usd") / days) + 1
     capacity = LOCAL_TOKENS_PER_S * 86400 * 30
     return c.select(
@@ -58,9 +55,11 @@ def cost_table(total: DataFrame, requests_per_day: int = 2000, days: int = 30) -
 
 def compare_modes(summary: DataFrame, team: str, baseline: str) -> DataFrame:
     """Quality gained in points and tokens spent, one mode against another."""
-    t = summary.where(F.col("mode") == team).select(F.lit(1).alias("_k"), F.col("quality").alias("q1"), F.col("tokens").alias("t1"))
-    b = summary.where(F.col("mode") == baseline).select(F.lit(1).alias("_k"), F.col("quality").alias("q0"), F.col("tokens").alias("t0"))
-    j = t.join(b, "_k")
+    def of(mode: str, col: str):
+        return F.max(F.when(F.col("mode") == mode, F.col(col)))
+
+    both = summary.agg(of(team, "quality").alias("q1"), of(team, "tokens").alias("t1"), of(baseline, "quality").alias("q0"), of(baseline, "tokens").alias("t0"))
+    j = both.where(F.col("q1").isNotNull() & F.col("q0").isNotNull())
     dq = (F.col("q1") - F.col("q0")) * 100
     return j.select(
         F.lit(team).alias("mode"), F.lit(baseline).alias("baseline"), F.round(dq, 4).alias("points"),

@@ -252,6 +252,9 @@ def rate_decisions(rows: DataFrame, key: str, ts: str, tie: str, limit: int, win
             for k, b, _id, now in pdf.itertuples(index=False):
                 if (k, b) != owner:
                     owner, marks = (k, b), []
+                if limit <= 0:  # no limit is set
+                    out.append((True, 0, 0))
+                    continue
                 marks = [m for m in marks if now - m < span]
                 if len(marks) < limit:
                     marks.append(now)

@@ -155,11 +155,18 @@ def f33(spark, sf):
     return p.select("conv_id", "turn", F.size("facts").alias("n_facts"), F.array_join(kept, "|").alias("kept"))
 
 
-SQL_PRICES = "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, i, o in co.PRICES) + ") v(model, p_in, p_out))"
+SQL_PRICES = "pr AS (SELECT lower(r_name) AS model, (r_regionkey + 1) * 0.125::DOUBLE AS p_in, (r_regionkey + 1) * 0.5::DOUBLE AS p_out FROM region)"
 SQL_USE = f"us AS (SELECT conv_id, coalesce(sum({WORDS}) FILTER (role <> 'assistant'), 0)::BIGINT AS tokens_in, coalesce(sum({WORDS}) FILTER (role = 'assistant'), 0)::BIGINT AS tokens_out, count(*) FILTER (role = 'assistant') AS turns FROM conversations GROUP BY 1)"
 USD = "(tokens_in / 1000000 * p_in + tokens_out / 1000000 * p_out)"
 
 
+def price_list(spark, sf) -> list[tuple[str, float, float]]:
+    """A short list of models and prices, derived from the regions."""
+    step = F.col("r_regionkey") + 1
+    r = table(spark, sf, "region").select(F.lower("r_name").alias("model"), (step * 0.125).alias("p_in"), (step * 0.5).alias("p_out"))
+    return [tuple(x) for x in r.orderBy("model").collect()]
+
+
 def usage(spark, sf):
     a = F.col("role") == "assistant"
     return turns(spark, sf).groupBy("conv_id").agg(
@@ -168,7 +175,7 @@ def usage(spark, sf):
 
 @query("j15_usage_price_join", f"WITH {SQL_PRICES}, {SQL_USE} SELECT conv_id, model, round({USD} * 1000, 6) AS milli_usd FROM us, pr")
 def j15(spark, sf):
-    return co.priced(usage(spark, sf)).select("conv_id", "model", F.round(F.col("usd") * 1000, 6).alias("milli_usd"))
+    return co.priced(usage(spark, sf), price_list(spark, sf)).select("conv_id", "model", F.round(F.col("usd") * 1000, 6).alias("milli_usd"))
 
 
 @query("a33_session_usage_meter", f"""WITH {SQL_PRICES}, {SQL_USE}, c AS (SELECT conv_id, model, {USD} AS usd FROM us, pr)
@@ -176,7 +183,7 @@ SELECT us.conv_id, any_value(tokens_in) AS tokens_in, any_value(tokens_out) AS t
 arg_max(model, (usd, model)) AS dearest, round(max(usd) * 1000, 6) AS max_milli FROM us JOIN c ON c.conv_id = us.conv_id GROUP BY 1""")
 def a33(spark, sf):
     u = usage(spark, sf)
-    r = u.join(co.session_range(u, "conv_id"), "conv_id")
+    r = u.join(co.session_range(u, "conv_id", price_list(spark, sf)), "conv_id")
     return r.select("conv_id", "tokens_in", "tokens_out", "turns", "cheapest", F.round(F.col("min_usd") * 1000, 6).alias("min_milli"), "dearest", F.round(F.col("max_usd") * 1000, 6).alias("max_milli"))
 
 
@@ -185,13 +192,13 @@ v AS (SELECT *, floor(60.0::DOUBLE / usd / 30) + 1 AS vol FROM c)
 SELECT model, round(usd * 1000, 6) AS per_1000, round(usd * 2000 * 30, 4) AS monthly, round(tokens_in / 1000000 * p_in / usd, 6) AS input_share, coalesce(CASE WHEN vol * tokens_out * 30 <= 8.0 * 86400 * 30 THEN vol END, -1)::BIGINT AS break_even FROM v""")
 def a34(spark, sf):
     total = usage(spark, sf).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count(F.lit(1)).alias("requests"))
-    c = co.cost_table(total)
+    c = co.cost_table(total, price_list(spark, sf))
     return c.select("model", F.round("per_1000", 6).alias("per_1000"), F.round("monthly", 4).alias("monthly"), F.round("input_share", 6).alias("input_share"),
                     F.coalesce("break_even_per_day", F.lit(-1)).cast("long").alias("break_even"))
 
 
 @query("a19_answer_relevancy", rf"""WITH idf AS (SELECT term, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {W})) AS term FROM documents) GROUP BY 1),
-p AS (SELECT u.conv_id * 1000 + u.turn AS pair, u.text AS question, list_slice(list_filter(list_transform(string_split(regexp_replace(replace(a.text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> ''), 1, 3) AS rv
+p AS (SELECT u.conv_id * 1000 + u.turn AS pair, u.text AS question, list_filter(list_transform(string_split(regexp_replace(replace(a.text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS rv
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
 r AS (SELECT pair, unnest(rv) AS text, unnest(range(0, len(rv))) AS r FROM p),
 q AS (SELECT pair, term, count(*) * any_value(idf) AS w FROM (SELECT pair, unnest(regexp_extract_all(lower(question), {W})) AS term FROM p) JOIN idf USING (term) WHERE idf > 0 GROUP BY ALL),
@@ -205,6 +212,6 @@ def a19(spark, sf):
     u = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
     pairs = u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "question", F.slice(tx.sentences(F.col("text")), 1, 3).alias("reverse"))
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "question", tx.sentences(F.col("text")).alias("reverse"))
     r = dg.answer_relevancy(pairs, table(spark, sf, "documents"), "pair")
     return r.select("pair", "n", F.round("relevancy", 6).alias("relevancy"))

@@ -99,23 +99,28 @@ def st6(spark, sf):
     return scan(e, ["gpu", "p50", "samples"], sj.route_by_health(), "st6")
 
 
-@query("st7_incremental_ingest", r"""WITH d AS (SELECT substr(sha256(text), 1, 12) AS checksum, any_value(text) AS text FROM documents GROUP BY 1)
-SELECT checksum, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n_chunks, length(text) AS n_chars FROM d""")
+@query("st7_incremental_ingest", r"""WITH d AS (SELECT doc_id, sha256(text) AS digest, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda x: x <> '')) AS chunk,
+generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ')), lambda x: x <> ''), 1) - 1 AS chunk_index FROM documents),
+m AS (SELECT *, regexp_replace(chunk, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS masked FROM d)
+SELECT doc_id, chunk_index::INT AS chunk_index, substr(sha256(doc_id || ':' || chunk_index), 1, 32) AS chunk_id, digest, length(masked) AS n_chars, masked <> chunk AS masked, sha256(masked) AS text_digest FROM m""")
 def st7(spark, sf):
-    """scan -> checksum -> drop copies within the watermark -> chunk -> keyed by checksum."""
+    """scan -> normalise -> chunk -> mask -> upsert by document and chunk; every copy of a text is a document of its own."""
     out, ckpt = scratch(spark, "st7"), scratch(spark, "st7-checkpoint")
     d = sj.read_stream(spark, sf, "documents.parquet", table(spark, sf, "documents").schema)
-    d = d.select("doc_id", "text", hy.checksum(F.col("text")).alias("checksum"), F.current_timestamp().alias("seen"))
-    fresh = d.withWatermark("seen", "1 day").dropDuplicatesWithinWatermark(["checksum"])
+    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
 
     def prepare(batch):
-        lines = rt.lines_of(batch.select("checksum", "text"), "checksum").groupBy("checksum").agg(F.count(F.lit(1)).alias("n_chunks"))
-        b = batch.select("checksum", F.length("text").alias("n_chars"))
-        return b.join(lines, "checksum", "left").fillna(0, ["n_chunks"])
-
-    sj.ingest(fresh, prepare, "checksum", out, ckpt).awaitTermination()
+        lines = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
+        c = batch.select("doc_id", "digest", F.posexplode(F.filter(lines, lambda x: x != "")).alias("chunk_index", "chunk"))
+        masked = F.regexp_replace("chunk", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
+        return c.select(
+            F.concat_ws(":", "doc_id", "chunk_index").alias("key"), "doc_id", "chunk_index", "digest", F.length(masked).alias("n_chars"),
+            (masked != F.col("chunk")).alias("masked"), F.sha2(masked, 256).alias("text_digest"),
+        ).withColumn("chunk_id", F.substring(F.sha2("key", 256), 1, 32))
+
+    sj.ingest(d, prepare, "key", out, ckpt).awaitTermination()
     t = spark.read.option("basePath", out).parquet(out)
-    return sk.latest(t, "checksum", "load_seq").select("checksum", "n_chunks", "n_chars")
+    return sk.latest(t, "key", "load_seq").select("doc_id", "chunk_index", "chunk_id", "digest", "n_chars", "masked", "text_digest")
 
 
 @query("st9_closed_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR >= ts THEN 0 ELSE 1 END AS new FROM events),

@@ -38,11 +38,11 @@ def a26(spark, sf):
 
 
 @query("w6_last_100_percentiles", f"""WITH {SQL_E},
-l AS (SELECT * FROM (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM e) WHERE b <= 50),
+l AS (SELECT * FROM (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM e) WHERE b <= 100),
 r AS (SELECT user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM l)
 SELECT user_id, any_value(n) AS n, {nr('0.5')} AS p50, {nr('0.95')} AS p95, {nr('0.1')} AS p10 FROM r GROUP BY user_id""")
 def w6(spark, sf):
-    return tm.window_report(events(spark, sf), "user_id", ["ts", "event_id"], "ms", 50)
+    return tm.window_report(events(spark, sf), "user_id", ["ts", "event_id"], "ms", 100)
 
 
 @query("a27_outcome_shares", """SELECT event_type AS outcome, count(*) AS n,

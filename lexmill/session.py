@@ -30,11 +30,14 @@ def get_spark(app: str = "lexmill", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (unit tests) a local folder is made once.
+    A session in one process (unit tests) may name none and gets a local folder; on a cluster that is an error, since
+    executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL_DEFAULT:
         _LOCAL_DEFAULT["dir"] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _LOCAL_DEFAULT["dir"]

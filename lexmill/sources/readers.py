@@ -6,21 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Topic of a document by the slug of its file name.
-TOPICS = {
-    "otpusk": "hr", "bolnichny": "hr", "udalenka": "hr", "onboarding": "hr",
-    "vpn": "it", "oborudovanie": "it", "security": "it",
-    "code-review": "dev", "git-flow": "dev", "deploy": "dev", "incidents": "dev", "testing": "dev", "api-guidelines": "dev",
-    "meetings": "office",
-}
-
 
 def text_directory(
     spark: SparkSession, path: str, glob: str = "*.txt", topics: dict[str, str] | None = None, name: Column | None = None
 ) -> DataFrame:
     """(doc_id, title, text, topic, source): one row per non-empty file.
 
-    The slug is the file name without its number and extension, the title the first line.
+    ``topics`` maps slugs to topics; other documents have the topic ``other``. The slug is the file name without its number and extension, the title the first line.
     ``name`` replaces the file name where directories name the documents.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
@@ -29,7 +21,7 @@ def text_directory(
         (F.col("_metadata.file_name") if name is None else name).alias("source"),
     ).where(F.col("text") != "")
     slug = F.regexp_replace(F.regexp_replace("source", r"\.[^.]+$", ""), r"^\d+-", "")
-    known = F.create_map(*[F.lit(x) for kv in (topics or TOPICS).items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in (topics or {"": "other"}).items() for x in kv])
     return raw.select(
         slug.alias("doc_id"), F.trim(F.element_at(F.split("text", r"\r?\n"), 1)).alias("title"), "text",
         F.coalesce(F.try_element_at(known, slug), F.lit("other")).alias("topic"), "source",

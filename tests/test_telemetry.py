@@ -65,3 +65,7 @@ def test_cold_start_storm(spark):
     df = spark.createDataFrame([("m", at(i), i, 3.0 if i in (0, 9, 10) else 0.1) for i in range(25)], "k string, ts timestamp, id int, load double")
     got = {r.id: r.storm for r in tm.cold_start_storm(df, "k", ["ts", "id"], "load").collect()}
     assert got[9] and got[10] and got[18] and not got[8] and not got[20]
+
+
+def test_no_limit_allows_everything(spark):
+    assert decisions(spark, [("a", 0), ("a", 0), ("b", 1)], 0, 60) == [(True, 0, 0)] * 3
