@@ -68,27 +68,28 @@ def nearest(
     asked = F.explode(F.array_distinct("allowed")).alias("tag") if tag else F.lit(0).alias("tag")
     # fresh column ids: the queries may be rows of the vector table itself
     v = vectors.select("id", "vec", group)
-    q = queries.select(F.struct(*keys).alias("key"), "vec", asked).toDF("key", "vec", "tag")
+    q = queries.select(*keys, "vec", asked).toDF(*keys, "vec", "tag")
     v_blocks = v.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("nv"))
     q_blocks = q.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("nq"))
     blocks = v_blocks.join(q_blocks, "tag")  # a row per cell that both sides have
     vb = v.join(blocks, "tag").withColumn("vb", F.pmod(F.xxhash64("id"), "nv")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
-    qb = q.join(blocks, "tag").withColumn("qb", F.pmod(F.xxhash64("key"), "nq")).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)))
+    qb = q.join(blocks, "tag").withColumn("qb", F.pmod(F.xxhash64(*keys), "nq")).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)))
+
+    types = dict(queries.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], "id long, score double"])
 
     def product(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         if not len(vp) or not len(qp):
-            return pd.DataFrame({"n": [], "id": [], "score": []})
+            return pd.DataFrame({c: [] for c in (*keys, "id", "score")})
         sims = np.stack(vp["vec"].to_numpy()).astype("float64") @ np.stack(qp["vec"].to_numpy()).astype("float64").T
-        return _best(vp["id"].to_numpy(), sims, list(qp["at"]), k).rename(columns={"query_id": "n"})
+        found = _best(vp["id"].to_numpy(), sims, np.arange(len(qp)), k)
+        named = qp[list(keys)].iloc[found["query_id"].to_numpy(dtype=int)].reset_index(drop=True)
+        return pd.concat([named, found[["id", "score"]].reset_index(drop=True)], axis=1)
 
     on = ["tag", "vb", "qb"]
-    # within a block pair a query is known by its key's JSON, which any key type has
-    qb = qb.withColumn("at", F.to_json("key")).select(*on, "at", "vec")
-    part = vb.select(*on, "id", "vec").groupBy(*on).cogroup(qb.groupBy(*on)).applyInPandas(product, "n string, id long, score double")
-    named = queries.select(F.struct(*keys).alias("key")).distinct().select(F.to_json("key").alias("n"), *[F.col(f"key.{c}").alias(c) for c in keys])
-    w = Window.partitionBy("n").orderBy(F.col("score").desc(), "id")
-    best = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.join(named, "n").select(*keys, "id", "score", "rank")
+    part = vb.select(*on, "id", "vec").groupBy(*on).cogroup(qb.select(*on, *keys, "vec").groupBy(*on)).applyInPandas(product, schema)
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
