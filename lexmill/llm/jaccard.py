@@ -28,6 +28,7 @@ are ignored by :func:`join` and kept by :func:`one_of_each`.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,12 +239,17 @@ def _voronoi(join: Join, regions: DataFrame, level: int) -> tuple[DataFrame, Dat
 
 def _leaf_pairs(join: Join, regions: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a region and pass the windows; those with the region's first class are known."""
-    full = written(regions.join(join.classes.select("k", "n", "counts"), "k"), "jaccard-leaves")
-    a, b = (full.select("s", "first", *[F.col(c).alias(f"{c}{x}") for c in ("k", "root", "n", "counts")]) for x in "ab")
-    other = (F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & join.fits("a", "b")
-    met = a.join(b.drop("first"), "s").where(other)
-    met = met.where(F.col("first").isNull() | ((F.col("ka") != F.col("first")) & (F.col("kb") != F.col("first"))))
-    pairs = met.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+    step = math.log(100 / join.percent)
+    full = regions.join(join.classes.select("k", "n", "counts"), "k").withColumn("x", F.log("n") / step)
+    full = written(full, "jaccard-leaves")
+    a, b = (full.select("s", "first", "x", *[F.col(c).alias(f"{c}{x}") for c in ("k", "root", "n", "counts")]) for x in "ab")
+    # the larger set of a link is in the smaller one's size class or the next
+    a = a.withColumn("z", F.explode(F.sequence(F.floor(F.col("x") - 1e-9), F.floor(F.col("x") + 1 + 1e-9)))).drop("x")
+    b = b.withColumn("z", F.floor("x")).drop("x")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb")))
+    known = F.coalesce((F.col("ka") == F.col("first")) | (F.col("kb") == F.col("first")), F.lit(False))
+    met = a.join(b.drop("first"), ["s", "z"]).where(ordered & (F.col("roota") != F.col("rootb")) & ~known & join.fits("a", "b"))
+    pairs = met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     return join.unwindowed(pairs)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 LONG_WORD = 1 << 14
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.cumprod(np.full(LONG_WORD, 0x9E3779B97F4A7C15, np.uint64))
@@ -41,13 +41,33 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, h
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text, in order."""
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    n = len(h) - width + 1
+    s = np.full(max(n, 0), width, np.uint64)
+    for i in range(width if n > 0 else 0):
+        s = _mixed(s * np.uint64(3) + h[i : i + n])
+    return s
+
+
+def _sets(h: np.ndarray, ends: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sets of texts whose words end at ``ends``; runs across two texts are passed over."""
+    runs, at = _runs(h, width), 0
+    for end in ends.tolist():
+        k = end - at
+        if k >= width:
+            yield np.unique(runs[at : end - width + 1])
+        else:
+            yield _runs(h[at:end], k) if k else h[:0]
+        at = end
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text, ascending; a shorter text is one shingle, one without words none."""
 
     def flush(held: list[bytes]) -> Iterator[np.ndarray]:
         starts, h = _hash_words(b" ".join(held))
-        ends = np.cumsum([len(b) + 1 for b in held])
-        yield from np.split(h, np.searchsorted(starts, ends[:-1]))
+        yield from _sets(h, np.searchsorted(starts, np.cumsum([len(b) + 1 for b in held])), width)
 
     held, size = [], 0
     for text in texts:
@@ -63,23 +83,10 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
                     stop += 1
                 parts.append(_hash_words(data[at:stop])[1])
                 at = stop
-            yield np.concatenate(parts)
+            h = np.concatenate(parts)
+            yield from _sets(h, np.array([len(h)]), width)
         else:
             held.append(data)
             size += len(data)
     if held:
         yield from flush(held)
-
-
-def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    """Distinct shingles of each text, ascending; a shorter text is one shingle, one without words none."""
-    for h in word_hashes(texts):
-        k = min(width, len(h))
-        if not k:
-            yield h
-            continue
-        n = len(h) - k + 1
-        s = np.full(n, k, np.uint64)
-        for i in range(k):
-            s = _mixed(s * np.uint64(3) + h[i : i + n])
-        yield np.unique(s)
