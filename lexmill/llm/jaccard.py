@@ -239,16 +239,20 @@ def _voronoi(join: Join, regions: DataFrame, level: int) -> tuple[DataFrame, Dat
 
 def _leaf_pairs(join: Join, regions: DataFrame) -> DataFrame:
     """Pairs of different components that meet in a region and pass the windows; those with the region's first class are known."""
+    # most of a group of near copies is one component by now; every pair that counts has a member outside the region's largest one
+    parts = regions.groupBy("s", "root").agg(F.count(F.lit(1)).alias("members"))
+    largest = parts.groupBy("s").agg(F.max_by("root", F.struct("members", "root")).alias("main"))
     step = math.log(100 / join.percent)
-    full = regions.join(join.classes.select("k", "n", "counts"), "k").withColumn("x", F.log("n") / step)
+    full = regions.join(largest, "s").join(join.classes.select("k", "n", "counts"), "k").withColumn("x", F.log("n") / step)
     full = written(full, "jaccard-leaves")
-    a, b = (full.select("s", "first", "x", *[F.col(c).alias(f"{c}{x}") for c in ("k", "root", "n", "counts")]) for x in "ab")
-    # the larger set of a link is in the smaller one's size class or the next
-    a = a.withColumn("z", F.explode(F.sequence(F.floor(F.col("x") - 1e-9), F.floor(F.col("x") + 1 + 1e-9)))).drop("x")
-    b = b.withColumn("z", F.floor("x")).drop("x")
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb")))
+    a, b = (full.select("s", "first", "main", "x", *[F.col(c).alias(f"{c}{x}") for c in ("k", "root", "n", "counts")]) for x in "ab")
+    a = a.where("roota <> main").drop("main")
+    # a linked set's size class is at most one away
+    a = a.withColumn("z", F.explode(F.sequence(F.floor(F.col("x") - 1 - 1e-9), F.floor(F.col("x") + 1 + 1e-9)))).drop("x")
+    b = b.withColumn("z", F.floor("x")).drop("x", "first")
+    once = (F.col("rootb") == F.col("main")) | (F.col("ka") < F.col("kb"))
     known = F.coalesce((F.col("ka") == F.col("first")) | (F.col("kb") == F.col("first")), F.lit(False))
-    met = a.join(b.drop("first"), ["s", "z"]).where(ordered & (F.col("roota") != F.col("rootb")) & ~known & join.fits("a", "b"))
+    met = a.join(b, ["s", "z"]).where(once & (F.col("roota") != F.col("rootb")) & ~known & join.fits("a", "b"))
     pairs = met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     return join.unwindowed(pairs)
 
