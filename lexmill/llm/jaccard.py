@@ -209,6 +209,14 @@ class Join:
         return F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * self.percent
 
 
+def _different(regions: DataFrame) -> DataFrame:
+    """One of the regions that have the same members: sets with a long run in common meet around each of its shingles."""
+    same = regions.groupBy("s").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"), F.first("first").alias("first"),
+    )
+    return regions.join(same.groupBy("size", "x", "y", "first").agg(F.min("s").alias("s")).select("s"), "s", "left_semi")
+
+
 def _mixed_regions(regions: DataFrame, links: DataFrame) -> DataFrame:
     """Members (s, k, first) of regions with several components, with ``root`` and the region's ``size``."""
     roots = components(links).select(F.col("node").alias("k"), "root")
@@ -265,7 +273,7 @@ def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percen
     join = Join(docs, classes, text_col, width, percent)
     members = written(pivots_of(docs, text_col, width, percent, sketch(docs, text_col, width)), "jaccard-pivots")
     shared = members.groupBy("s").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").drop("last")
-    regions = written(members.join(shared, "s").distinct(), "jaccard-regions")
+    regions = written(_different(written(members.join(shared, "s").distinct(), "jaccard-meetings")), "jaccard-regions")
     star = regions.where("k <> first").select(F.least("k", "first").alias("a"), F.greatest("k", "first").alias("b")).distinct()
     links = join.measured(join.windowed(star), "star").where(join.linked()).select("a", "b")
     mixed = _mixed_regions(regions, links)
