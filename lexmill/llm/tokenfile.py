@@ -44,7 +44,7 @@ LEAST = 8  # a pair that is replaced stands so often at least
 HASH_BITS = 17
 MAGIC = b"RPTK0001"
 BLOCK_ROW, DOC_ROW, FOOTER = struct.Struct("<qqqqi"), struct.Struct("<?qq"), struct.Struct("<qqi8s")
-REMEMBERED = 200_000  # pieces, and words, in each of the two generations of the stores
+REMEMBERED = 400_000  # pieces, and words, in each of the two generations of the stores
 PUNCTUATION = (".", ",", ";", ":", "!", "?")
 READERS = 2_000  # tasks that read shards, if there are so many
 # Fixed value: the pattern that cuts words in this family of vocabularies.
@@ -67,6 +67,7 @@ class Encoder:
         self.model = self.lib.model
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.byte_level = byte_letters()
+        self.blank = self.byte_level[32]
         self.runs = re.compile(r" \s|\s ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -81,7 +82,11 @@ class Encoder:
         if got is None:
             got = self.before.get(word)
             if got is None:
-                got = pack_ids([t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_level))])
+                if word[0] == " " and word.isascii() and word[1:].isalpha():
+                    letters = self.blank + word[1:]  # ASCII letters stand for themselves
+                else:
+                    letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_level)
+                got = pack_ids([t.id for t in self.model.tokenize(letters)])
             self.known[word] = got
         return got
 
