@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ from tests.llm.test_jaccard import plain
 
 
 def test_stages(spark, sf):
-    docs = frame(spark).unionByName(spark.read.parquet(f"{sf}/documents.parquet").limit(60), allowMissingColumns=True).cache()
+    docs = frame(spark).unionByName(spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True).cache()
     seen = {}
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
