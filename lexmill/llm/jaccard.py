@@ -20,6 +20,12 @@ on classes of equal sets, in regions around pivots:
 
 Each document gets the least id of its component. Sets are exact up to equality of 64-bit hashes; classes are told apart by 128 bits.
 
+Steps 3 to 5 leave out pairs that cannot change the components, so they do not find every link. :func:`links` and :func:`counted` do: a
+link never leaves its component, so all pairs of different classes of each component meet once, in cells. A small component is one
+cell; a larger one is cut by size class (linked sets are at most one apart) and hash into blocks, and every two blocks that
+may hold a link are a cell. Sets meet whole inside their cell, as products of shingle columns; the number of links of a
+document counts every other document within the distance, copies included, without a row per pair.
+
 Defined cases: null, empty and blank texts have no shingles and are a component each; null ids are ignored in the least id (null if
 there is no other); repeated rows give a row each; an empty table gives an empty result; texts count whole; extra columns
 are ignored by :func:`join` and kept by :func:`one_of_each`.
@@ -50,6 +56,10 @@ PIVOTS = 8
 DEPTH = 4
 BROADCAST_CLASSES = 1_000_000  # classes whose digests are broadcast where sets are fetched; beyond that sets are joined by shuffle
 SEEN = 200_000  # classes that a task remembers so as not to hand on copies
+BLOCK_CLASSES = 256  # mean classes of a block, and mean shingles of its sets together
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 1 << 13  # shingles that a cell multiplies at once
+CELL = ["root", "z", "y", "i", "j"]
 
 
 def _key(digest: bytes) -> int:
@@ -265,6 +275,89 @@ def _leaf_pairs(join: Join, regions: DataFrame) -> DataFrame:
     return join.unwindowed(pairs)
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at the places ``left`` with those at ``right``."""
+    sizes = [len(h) for h in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(len(sets)), sizes), times[column] > 1
+    renamed = np.cumsum(times > 1) - 1
+    row, column = row[several], renamed[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        block = np.zeros((len(sets), int(column[b - 1]) - low + 1), np.float32)
+        block[row[a:b], column[a:b] - low] = 1
+        out += (block[left] @ block[right].T).astype(np.int64)
+    return out
+
+
+def _cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells of rows that come ordered by cell, each one whole."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[CELL].to_numpy()
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for a, b in zip(starts, starts[1:]):
+            part = batch.iloc[a:b]
+            if held and (held[-1][CELL].iloc[-1].to_numpy() != part[CELL].iloc[0].to_numpy()).any():
+                yield held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held)
+
+
+def _met(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[tuple]:
+    """For each cell with links: classes, sizes and weights of its rows, their places left and right, and which are linked with how much in common."""
+    for cell in _cells_of(batches):
+        side = cell["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right) or len(cell) < 2:
+            continue
+        sets = [np.frombuffer(h, np.uint64) for h in cell["h"]]
+        n = np.array([len(h) for h in sets], np.int64)
+        common = _common(sets, left, right)
+        linked = common * 100 >= (n[left][:, None] + n[right][None, :] - common) * percent
+        if side[0] == 2:  # a block with itself
+            np.fill_diagonal(linked, False)
+        if linked.any():
+            yield cell["cls"].to_numpy(), n, cell["weight"].to_numpy(), left, right, linked, common, side[0] == 2
+
+
+def _in_cells(join: Join, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes with their sets and numbers of documents (``weight``) in every cell where they meet others, ordered by cell."""
+    step = (math.log(100 / join.percent) or 1.0) * (1 + 1e-9)  # size classes: linked sets are less than one step apart
+    weights = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"))
+    members = weights.join(roots, "cls")
+    totals = members.groupBy("root").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n")).where("all > 1")
+    whole = (F.col("all") <= BLOCK_CLASSES) & (F.col("all_n") <= BLOCK_SHINGLES)
+    members = members.join(totals, "root").withColumn("z", F.when(whole, F.lit(-1)).otherwise(F.floor(F.log("n") / step)).cast("int"))
+    members = written(members.select("cls", "root", "z", "n", "weight"), "jaccard-members")
+    blocks = members.groupBy("root", "z").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"),
+    )
+    blocks = written(blocks, "jaccard-blocks")
+    above, below = (blocks.select("root", (F.col("z") + d).alias("z"), F.col("nb").alias(x)) for x, d in (("up", -1), ("down", 1)))
+    placed = members.join(blocks.join(above, ["root", "z"], "left").join(below, ["root", "z"], "left"), ["root", "z"])
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+
+    def cells(n: str, cell) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.struct(*[c.cast("int").alias(x) for x, c in zip((*CELL[1:], "side"), cell(o))]))
+        return F.coalesce(some, F.array().cast("array<struct<z:int,y:int,i:int,j:int,side:int>>"))
+
+    z, own = F.col("z"), F.col("own")
+    same = cells("nb", lambda o: (z, z, F.least(own, o), F.greatest(own, o), F.when(own == o, 2).when(own < o, 0).otherwise(1)))
+    higher = cells("up", lambda o: (z, z + 1, own, o, F.lit(0)))
+    lower = cells("down", lambda o: (z - 1, z, o, own, F.lit(1)))
+    placed = placed.select("cls", "weight", "root", F.explode(F.concat(same, higher, lower)).alias("c")).select("cls", "weight", "root", "c.*")
+    sets = join._sets(members.select("cls"))
+    return placed.join(sets, "cls").repartition(*CELL).sortWithinPartitions(*CELL)
+
+
 def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their classes (``cls``, ``n``), and the component ``root`` of each class."""
     rows = written(features(docs, keep, text_col, width), "jaccard-features")
@@ -299,13 +392,65 @@ def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percen
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, and ``component_id``, the least id it is linked to, itself included."""
-    rows, roots = classify(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text", width, percent)
+    return _components_of(*classify(_named(docs, id_col, text_col), ["doc_id"], "text", width, percent)).drop("cls")
+
+
+def _components_of(rows: DataFrame, roots: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "cls", F.col("n").alias("n_shingles"))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id")).join(roots, "cls")
     ids = least.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = least.join(ids, "root").select("cls", "component_id")
     out = rows.join(by_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links as pairs of different classes (``cls_a`` < ``cls_b``, ``n_a``, ``n_b``, ``common``), each once, and the class of each document (``doc_id``, ``cls``).
+
+    Documents of one class are linked to each other as well; a document without shingles has no class and no links.
+    """
+    docs = _named(docs, id_col, text_col)
+    rows, roots = classify(docs, ["doc_id"], "text", width, percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cls, n, _, left, right, linked, common, itself in _met(batches, percent):
+            a, b = np.nonzero(np.triu(linked) if itself else linked)
+            for at in range(0, len(a), CHUNK):
+                x, y = a[at : at + CHUNK], b[at : at + CHUNK]
+                p, q = left[x], right[y]
+                swap = cls[p] > cls[q]
+                p, q = np.where(swap, q, p), np.where(swap, p, q)
+                yield pd.DataFrame({"cls_a": cls[p], "cls_b": cls[q], "n_a": n[p], "n_b": n[q], "common": common[x, y]})
+
+    cells = _in_cells(Join(docs, rows, "text", width, percent), rows, roots).select(*CELL, "side", "cls", "weight", "h")
+    pairs = cells.mapInPandas(run, "cls_a binary, cls_b binary, n_a bigint, n_b bigint, common bigint")
+    return pairs, rows.select("doc_id", "cls")
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of :func:`join` with ``n_links``, the number of other documents (rows) that each is linked to."""
+    docs = _named(docs, id_col, text_col)
+    rows, roots = classify(docs, ["doc_id"], "text", width, percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cls, _, weight, left, right, linked, _, itself in _met(batches, percent):
+            got = np.zeros(len(cls), np.int64)
+            got[left] += linked @ weight[right]
+            if not itself:
+                got[right] += weight[left] @ linked
+            some = np.flatnonzero(got)
+            yield pd.DataFrame({"cls": cls[some], "others": got[some]})
+
+    cells = _in_cells(Join(docs, rows, "text", width, percent), rows, roots).select(*CELL, "side", "cls", "weight", "h")
+    others = cells.mapInPandas(run, "cls binary, others bigint").groupBy("cls").agg(F.sum("others").alias("others"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).join(others, "cls", "left")
+    number = classes.select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = _components_of(rows, roots).join(number, "cls", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -31,6 +31,10 @@ def op2_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.counted(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -62,10 +66,10 @@ def op10_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
         op1_ordinal_quality, op2_jaccard_regions, op3_prefix_bpe, op4_secret_spans, op5_pareto_mix, op6_language_bits, op7_seekable_warc, op8_re_pair_shards, op9_simhash_edits,
-        op10_mtree_top5,
+        op10_mtree_top5, op2_jaccard_links,
     )
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_regions": sql.JACCARD, "op5_pareto_mix": sql.MIX, "op7_seekable_warc": sql.WARC, "op10_mtree_top5": sql.TOP_K}
+    return {"op2_jaccard_regions": sql.JACCARD, "op2_jaccard_links": sql.JACCARD_LINKS, "op5_pareto_mix": sql.MIX, "op7_seekable_warc": sql.WARC, "op10_mtree_top5": sql.TOP_K}

@@ -86,3 +86,6 @@ with recursive w as (
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id
 from w join m on m.r = w.r left join n on n.r = w.r
 """
+
+# the components' statement with the number of links of each row
+JACCARD_LINKS = JACCARD.replace("n_shingles, m.component_id", "n_shingles, m.component_id, (select count(*) from e where e.a = w.r)::bigint as n_links")

@@ -102,3 +102,59 @@ def test_components(spark):
         least = new
     assert found == {x: r for x, r in least.items() if x in found}
     assert all(a in found for a, b in edges if a != b)
+
+
+def plain_links(rows, width, percent):
+    """Linked pairs of rows, by comparing all pairs."""
+    sets = [plain_sets(t, width) for _, t in rows]
+    near = lambda x, y: bool(x & y) and 100 * len(x & y) >= percent * len(x | y)
+    return {(i, j): (len(sets[i]), len(sets[j]), len(sets[i] & sets[j])) for j in range(len(rows)) for i in range(j) if near(sets[i], sets[j])}
+
+
+@pytest.mark.parametrize("width,percent,block,columns", [(3, 90, 256, 1 << 13), (5, 80, 256, 40), (3, 90, 4, 1 << 13), (5, 80, 3, 40)])
+def test_every_link(spark, monkeypatch, width, percent, block, columns):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)  # small blocks cut the components into many cells
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rng = random.Random(width * block)
+    texts = [t for edits in (1, 2, 4) for t in family(rng, 14, 120, edits)] + family(rng, 3, 40, 0)
+    long = [f"c{i}" for i in range(170)]
+    texts += [" ".join(long[: 60 + 3 * i]) for i in range(30)]  # a chain over several size classes
+    texts += ["a b", "a b", "A  B", "c", "", None, None]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_links(rows, width, percent)
+    each = Counter(i for pair in want for i in pair)
+    out = jaccard.counted(df, width=width, percent=percent).collect()
+    assert Counter((r.doc_id, r.n_links) for r in out) == Counter((i, each[i]) for i, _ in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain(rows, width, percent)
+    pairs, membership = jaccard.links(df, width=width, percent=percent)
+    docs = {}
+    for r in membership.collect():
+        docs.setdefault(None if r.cls is None else bytes(r.cls), []).append(r.doc_id)
+    found = pairs.collect()
+    assert len({(bytes(r.cls_a), bytes(r.cls_b)) for r in found}) == len(found)
+    crossed = {(i, j): (r.n_a, r.n_b, r.common) for r in found for i in docs[bytes(r.cls_a)] for j in docs[bytes(r.cls_b)]}
+    crossed = {(min(p), max(p)): m if p[0] < p[1] else (m[1], m[0], m[2]) for p, m in crossed.items()}
+    copies = {(min(i, j), max(i, j)) for c, ids in docs.items() if c for i in ids for j in ids if i != j}
+    assert crossed == {p: m for p, m in want.items() if p not in copies}
+    assert copies <= set(want)
+
+
+def test_links_of_odd_rows(spark):
+    df = frame(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    each = Counter(i for pair in plain_links(rows, 3, 90) for i in pair)
+    assert Counter((r.doc_id, r.n_links) for r in jaccard.counted(df, width=3, percent=90).collect()) == Counter((rows[i][0], each[i]) for i in range(len(rows)))
+    assert jaccard.counted(spark.createDataFrame([], SCHEMA)).count() == 0 and jaccard.links(spark.createDataFrame([], SCHEMA))[0].count() == 0
+
+
+def test_links_equal_sql(spark, sf):
+    import duckdb
+
+    from lexmill.llm import queries, sql
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    cur = con.execute(sql.JACCARD_LINKS)
+    cols = [d[0] for d in cur.description]
+    assert Counter(tuple(r) for r in queries.op2_jaccard_links(spark, sf).select(*cols).collect()) == Counter(cur.fetchall())
