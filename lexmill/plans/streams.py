@@ -123,6 +123,42 @@ def st7(spark, sf):
     return sk.latest(t, "key", "load_seq").select("doc_id", "chunk_index", "chunk_id", "digest", "n_chars", "masked", "text_digest")
 
 
+def document_ingest(spark, sf):
+    """scan -> normalise -> injection report -> strip (untrusted) -> mask all types -> normalise -> chunk -> chunk risk -> upsert.
+
+    ``st7_incremental_ingest`` is the part of it that SQL can say. As in the other hygiene rows, every seventh id stands for an
+    untrusted source; its chunks inherit the document's risk and are marked for quarantine, not dropped.
+    """
+    out, ckpt = scratch(spark, "st7-documents"), scratch(spark, "st7-documents-checkpoint")
+    t = table(spark, sf, "documents")
+    one = all(f.endswith("/documents.parquet") for f in t.inputFiles()[:1])  # one file, or a folder of files
+    d = sj.read_stream(spark, sf if one else f"{sf.rstrip('/')}/documents.parquet", "documents.parquet" if one else "*.parquet", t.schema)
+    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.coalesce(F.col("doc_id") % 7 != 0, F.lit(False)).alias("trusted"))
+
+    def prepare(batch):
+        known = ["doc_id", "digest", "trusted"]
+        c = hy.normalise(batch).select(
+            *known, "text", hy.injection_report(F.col("text"))["risk"].alias("doc_risk"), hy.strip_untrusted(F.col("text"), False).alias("s"))
+        known += ["doc_risk", "removed"]
+        c = c.withColumn("removed", F.when(F.col("trusted"), F.array().cast("array<string>")).otherwise(F.col("s.removed")))
+        c = c.select(*known, hy.mask_pii(F.when(F.col("trusted"), F.col("text")).otherwise(F.col("s.t"))).alias("m"))
+        c = hy.normalise(c.select(*known, F.col("m.t").alias("text"), F.col("m.counts").alias("pii")))
+        lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        c = c.select(*known, "pii", F.posexplode(lines).alias("chunk_index", "text"))
+        c = c.withColumn("r", hy.injection_report(F.col("text")))
+        key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.col("digest"))), "chunk_index")
+        return c.select(
+            key.alias("key"), "doc_id", "chunk_index", F.substring(F.sha2(key, 256), 1, 32).alias("chunk_id"), "digest", "text",
+            F.array_join("removed", ",").alias("removed"), F.array_join("pii", ",").alias("pii"),
+            hy.chunk_risk(F.col("r.risk"), F.col("doc_risk"), F.col("trusted")).alias("risk"),
+            F.array_join("r.rules", ",").alias("rules"), (~F.col("trusted")).alias("quarantined"))
+
+    sj.ingest(d, prepare, "key", out, ckpt).awaitTermination()
+    t = spark.read.option("basePath", out).parquet(out)
+    return sk.latest(t, "key", "load_seq").select(
+        "doc_id", "chunk_index", "chunk_id", "digest", "text", "removed", "pii", "risk", "rules", "quarantined")
+
+
 @query("st9_closed_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR >= ts THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g),
 a AS (SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 43200000000 AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid)
