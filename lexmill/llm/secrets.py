@@ -2,10 +2,10 @@
 
 Three strong kinds of secret are found by pattern alone. A credential that is split into parts (an account name here, a
 random-looking value there, the address next to it) is weak evidence part by part: ``login``, ``weak`` and
-``endpoint`` candidates are reported only where complementary parts start within ``reach`` code points of each other in
-one scope (a paragraph, ended by an empty line). Parts meet in an interval join: every part falls into the bucket of
-its start, looks into the neighbouring buckets of the same row and scope, and is compared with what starts near
-enough; parts do not overlap within a kind, so a bucket holds at most ``reach`` of them. Texts are scanned once, where they lie; only
+``endpoint`` candidates are reported only where at most ``reach`` code points lie between complementary parts in
+one scope (a paragraph, ended by an empty line). Parts meet in an interval join: every part falls into the buckets it
+covers, candidates also into those within reach, and parts in a bucket of the same row and scope are compared; parts do
+not overlap within a kind, so a bucket holds at most ``reach`` of them. Texts are scanned once, where they lie; only
 parts move.
 
 * ``weak`` (a long value with lower case, upper case and digits, or an assigned value too short to count alone) needs
@@ -74,7 +74,7 @@ def find_parts(text: str | None) -> list[tuple[int, int, int, int]]:
     strong = sorted((s, e) for s, k, e in found if k != 3)
     free = lambda s, e: not any(a < e and s < b for a, b in strong)
     found += [(m.start(), 4, m.end()) for m in VALUE.finditer(text) if _mixed(m.group()) and free(m.start(), m.end())]
-    if "." in text:
+    if "." in text or "://" in text:
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     if len(found) == 0:
         return []
@@ -98,14 +98,17 @@ def _confirmed(rows: DataFrame, reach: int) -> DataFrame:
     parts = rows.where(F.exists("parts", lambda p: p["ord"] >= BASE)).select("rid", F.explode("parts").alias("p")).select(
         "rid", "p.*", F.col("p.ord").isin(1, 3).alias("names"), F.col("p.ord").isin(0, 4).alias("secret"),
     )
+
+    def buckets(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach)))
+
     near = parts.where("names or secret").select(
-        "rid", "scope", F.floor(F.col("start") / reach).alias("b"), F.col("start").alias("at"), F.col("names").alias("is_name"),
-        F.col("secret").alias("is_secret"),
+        "rid", "scope", buckets(F.col("start"), F.col("end")).alias("b"), F.col("start").alias("at"), F.col("end").alias("to"),
+        F.col("names").alias("is_name"), F.col("secret").alias("is_secret"),
     )
     weak = parts.where(F.col("ord") >= BASE)
-    home = F.floor(F.col("start") / reach)
-    weak = weak.withColumn("b", F.explode(F.array(home - 1, home, home + 1)))
-    met = weak.join(near, ["rid", "scope", "b"]).where(F.abs(F.col("start") - F.col("at")) <= reach)
+    weak = weak.withColumn("b", buckets(F.col("start") - reach, F.col("end") + reach))
+    met = weak.join(near, ["rid", "scope", "b"]).where((F.col("at") - F.col("end") <= reach) & (F.col("start") - F.col("to") <= reach))
     met = met.groupBy("rid", "start", "ord", "end", "scope").agg(F.max("is_name").alias("name"), F.max("is_secret").alias("secret"))
     kept = met.where(
         ((F.col("ord") == 4) & F.col("name")) | ((F.col("ord") == 3) & F.col("secret")) | ((F.col("ord") == 5) & F.col("name") & F.col("secret"))

@@ -107,6 +107,16 @@ def plain_base(text):
     return found
 
 
+def test_secrets_far_starts_and_endpoints_without_dot(spark):
+    key = "Ab3dEf6hIj9kLm2nOp5q" * 30
+    rows = [(1, "login: bob\ntoken = abcdefghijklmn\npostgres://db:5432/app"), (2, f"{key} login: bob"), (3, f"http://host/{'x' * 400} login: bob token = abcdefghijklmn"),
+            (4, f"{key}{' ' * 201}login: bob"), (5, f"login: bob {'. ' * 95}{key}")]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "endpoint:34:56" in got[1] and got[2] == "weak:0:600,login:601:611" and "endpoint:0:412" in got[3] and "login" not in got[4] and "weak" in got[5]
+    clean = secrets.redact(spark.createDataFrame(rows[:1], "doc_id long, text string")).first().text
+    assert "postgres" not in clean
+
+
 def test_secrets(spark, docs, none):
     extra = [(1, "password: 'secret: abcdefghijkl"), (2, "token=secret=abcdefghijklmn"), (3, "x" * 500 + " login: bob" + " y" * 300 + " Ab3dEf6hIj9kLm2nOp5q"),
              (4, "login: bob uses Ab3dEf6hIj9kLm2nOp5q here"), (5, "Ab3dEf6hIj9kLm2nOp5q"), (6, "login: bob\n\nAb3dEf6hIj9kLm2nOp5q"), (7, "ſecret = abcdefghijklmnop")]
