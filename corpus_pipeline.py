@@ -3,7 +3,7 @@
 Each stage reads what its predecessor kept, from Parquet in the shared folder, and its decisions take effect: texts in no learned
 language go, one document of each group of near duplicates stays (five-word shingles, similarity 0.8), secrets are
 replaced by their kind, sources are mixed to their targets (documents taken twice appear twice), and what is left is encoded and
-decoded. All stages but the last return the columns of documents.
+decoded. All stages return the columns of documents; the last adds the token ids, the text decoded from them, their number and digests.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, jaccard, langid, mix, secrets
 from lexmill.llm.common import table, written
@@ -34,7 +35,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, vocabulary("word_bpe_49k.json"))
+    out = bpe.encoded(docs, vocabulary("word_bpe_49k.json"))
+    return out.withColumns({
+        "n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", " "), 256), "decoded_sha256": F.sha2("decoded", 256),
+    })
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lexmill.llm import bpe
 from lexmill.llm.langid import identify
 from tests.llm.rows import SCHEMA, frame
 from tests.llm.test_jaccard import plain
@@ -41,3 +42,17 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, sf)
     assert step.count() == 0
+
+
+def test_encoding_keeps_ids_and_text(spark, sf):
+    docs = frame(spark)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert set(docs.columns) < set(out.columns)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.ids == lib.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+    plain = bpe.digests(docs, path)
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, out.select(*plain.columns).collect()))
