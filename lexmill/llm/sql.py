@@ -89,3 +89,71 @@ from w join m on m.r = w.r left join n on n.r = w.r
 
 # the components' statement with the number of links of each row
 JACCARD_LINKS = JACCARD.replace("n_shingles, m.component_id", "n_shingles, m.component_id, (select count(*) from e where e.a = w.r)::bigint as n_links")
+
+RANKED = r"""
+with d as (
+    select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents
+), s as (
+    select count(*)::bigint as docs, sum(len(w))::bigint as words from d where len(w) > 0
+), f as (
+    select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) group by r, t
+), idf as (
+    select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from f, s group by t, docs
+), b as (
+    select item_id, row_number() over () as q, text from (select distinct item_id, text from benchmark)
+), asked as (
+    select item_id, q, t, count(*)::bigint as times from (
+        select item_id, q, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from b
+    ) group by item_id, q, t
+), scored as (
+    select a.item_id, a.q, d.doc_id, d.r, sum(a.times * idf.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (100 - 75 + ((75 * len(d.w) * s.docs) // s.words)))))::bigint as score
+    from asked a join idf using (t) join f using (t) join d on d.r = f.r, s
+    group by a.item_id, a.q, d.doc_id, d.r
+), ranked as (
+    select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+MIDDLE = r"""
+with d as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+           sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), c as (
+    select *, len(u)::bigint as n, (('0x' || h[1:8])::bigint % (len(u) + 1))::bigint as a, (('0x' || h[9:16])::bigint % (len(u) + 1))::bigint as b,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+                when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form
+    from d
+), p as (
+    select doc_id, text, n, form, array_to_string(u[1:least(a, b)], '') as prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as middle,
+           array_to_string(u[greatest(a, b) + 1:n], '') as suffix
+    from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+NEAR_VECTORS = """
+with recursive ok as (
+    select row_number() over () as r, vec_id, label, embedding, embedding::double[] as v,
+           coalesce(label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                    and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as sound
+    from embeddings
+), u as (
+    select *, list_max(list_transform(v, lambda x: abs(x))) as top from ok where sound
+), z as (
+    select r, label, list_transform(v, lambda x: x / top) as v from u
+), l as (
+    select a.r as a, b.r as b from z a join z b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v)
+    where list_dot_product(a.v, b.v) >= 0.93::double * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))
+), reach as (
+    select r as a, r as b from ok union select reach.a, l.b from reach join l on l.a = reach.b
+), m as (
+    select reach.a as r, min(ok.vec_id) as component_id from reach join ok on ok.r = reach.b group by reach.a
+)
+select ok.vec_id, (select count(*) from l where l.a = ok.r)::bigint as n_links, m.component_id, ok.vec_id is not distinct from m.component_id as kept
+from ok join m on m.r = ok.r
+"""
