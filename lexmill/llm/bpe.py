@@ -14,7 +14,7 @@ White space never enters a token of this vocabulary, so a text is cut at blanks
 remembered, in a store of bounded size. Memory does not grow with the text.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows and null ids give a row
-each; an empty table gives an empty result; texts are encoded whole; extra columns are ignored.
+each; an empty table gives an empty result; texts are encoded whole; extra columns are ignored by :func:`digests` and kept by :func:`encoded`.
 """
 
 from __future__ import annotations
@@ -26,17 +26,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from lexmill.llm.common import free
+
 REMEMBERED = 200_000  # pieces, and words, in each of the two generations of the stores
 END = "</w>"
 MARK = "\0"  # stands for END inside the automaton; no byte-level character equals it
 NEVER = 1 << 40
+SLICE = 1 << 22  # bytes of text that a task encodes before it hands them on
 PAIRS = 1_000_000  # pairs of tokens remembered
 PUNCTUATION = (".", ",", ";", ":", "!", "?")
 
@@ -170,11 +176,18 @@ class Codec:
 
     def tokens(self, text: str) -> list[str]:
         """Tokens of a text; strings of special tokens are those tokens."""
-        hits = sorted((text.find(s), -len(s), s) for s in self.special if s in text)
-        if not hits:
-            return self._normal(text)
-        at, _, s = hits[0]
-        return [*(self._normal(text[:at]) if at else []), s, *self.tokens(text[at + len(s):])]
+        out, at = [], 0
+        places = {s: text.find(s) for s in self.special}
+        while found := [(p, -len(s), s) for s, p in places.items() if p >= 0]:
+            p, _, s = min(found)
+            if p > at:
+                out += self._normal(text[at:p])
+            out.append(s)
+            at = p + len(s)
+            for other, q in places.items():
+                if 0 <= q < at:
+                    places[other] = text.find(other, at)
+        return out + self._normal(text[at:]) if at < len(text) else out
 
     def piece(self, text: str) -> tuple[int, str, str]:
         """Of a piece without blanks: number of ids, ids joined by one space, decoded text."""
@@ -230,7 +243,6 @@ def codec(path: str) -> Codec:
 RESULT = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
 ])
-IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
 def _digest(s: str) -> str:
@@ -251,14 +263,30 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The table with ``ids`` and the text ``decoded`` from them; columns of these names are replaced."""
+    """The table with ``ids`` and the text ``decoded`` from them; a table with columns of these names gets ``ids_`` or ``decoded_``.
 
-    @F.pandas_udf(IDS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        for texts in batches:
-            got = [c.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": [[int(i) for i in ids.split()] for _, ids, _ in got], "decoded": [t for _, _, t in got]})
+    Batches go through in slices of bounded text, and ids as 32-bit arrays, so a task's memory follows neither the batch nor the table.
+    """
+    ids_name, decoded_name = free(docs, "ids", "decoded")
+    at = docs.columns.index(text_col)
+    kind = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(decoded_name, T.StringType())])
 
-    out = docs.withColumn("_bpe", run(F.col(text_col)))
-    return out.withColumn("ids", F.col("_bpe.ids")).withColumn("decoded", F.col("_bpe.decoded")).drop("_bpe")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = (np.cumsum(sizes) - sizes) // SLICE
+            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(piece)) + 1):
+                if not len(part):
+                    continue
+                rows = batch.slice(int(part[0]), len(part))
+                ids, ends, texts = [], [0], []
+                for text in rows.column(at).to_pylist():
+                    n, joined, decoded = c.encode(text)
+                    ids.append(np.fromstring(joined, np.int32, sep=" "))
+                    ends.append(ends[-1] + n)
+                    texts.append(decoded)
+                arrays = [*rows.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=kind.names)
+
+    return docs.mapInArrow(run, kind)

@@ -26,6 +26,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of the table has it (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under column names of its own (``c0``, ``c1``, ...), and the new name of each old one: an operator's names clash with none."""
+    new = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
+def unmasked(docs: DataFrame, new: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(c).alias(old) for old, c in new.items()])
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import written
+from lexmill.llm.common import masked, unmasked, written
 from lexmill.llm.components import components
 from lexmill.llm.shingles import shingle_sets
 
@@ -455,15 +455,15 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The table with one row of each component: least id, then least text digest. Rows without shingles all stay; columns are kept."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col), 256).alias("sha"), F.col(text_col).alias("text"))
-    rows, roots = classify(keyed, ["doc_id", "sha"], "text", width, percent)
+    table, new = masked(docs)
+    key = F.struct(F.col(new[id_col]).alias("doc_id"), F.sha2(F.col(new[text_col]), 256).alias("sha"))
+    rows, roots = classify(table.select(key.alias("key"), F.col(new[text_col]).alias("text")).select("key.*", "text"), ["doc_id", "sha"], "text", width, percent)
     choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
     best = rows.where("cls is not null").groupBy("cls").agg(F.min(choice).alias("best")).join(roots, "cls")
-    best = best.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.doc_id", "best.sha").alias("_jk"), F.lit(True).alias("_jkept"))
-    empty = rows.where("cls is null").select(F.struct("doc_id", "sha").alias("_jk"), F.lit(False).alias("_jkept")).distinct()
+    best = best.groupBy("root").agg(F.min("best").alias("best")).select(F.struct("best.doc_id", "best.sha").alias("key"), F.lit(True).alias("one"))
+    empty = rows.where("cls is null").select(F.struct("doc_id", "sha").alias("key"), F.lit(False).alias("one")).distinct()
     plan = written(best.unionByName(empty), "jaccard-kept")
-    key = F.struct(F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col), 256).alias("sha"))
-    met = docs.withColumn("_jk", key).join(plan, "_jk")
-    once = F.row_number().over(Window.partitionBy("_jk").orderBy(F.lit(1)))  # equal rows, of which one is enough
-    kept = met.where("not _jkept").unionByName(met.where("_jkept").withColumn("_jn", once).where("_jn = 1").drop("_jn"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = table.withColumn("key", key).join(plan, "key")
+    once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))  # equal rows, of which one is enough
+    kept = met.where("not one").unionByName(met.where("one").withColumn("place", once).where("place = 1").drop("place"))
+    return unmasked(kept, new)

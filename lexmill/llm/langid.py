@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import written
+from lexmill.llm.common import masked, unmasked, written
 
 ORDERS = (2, 3, 4)
 MIN_RATE = 2e-5
@@ -225,6 +225,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3) -> DataFrame:
     """The rows whose text is in a learned language: at least ``min_score`` of its n-grams belong to it."""
     model = learn(docs.where(~held_out(id_col)), text_col, lang_col)
-    guess = predictor(docs.sparkSession, model)(F.col(text_col))
-    out = docs.withColumn("_langid", guess).where((F.col("_langid.lang") != UND) & (F.col("_langid.score") >= min_score))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, new = masked(docs)
+    guess = predictor(docs.sparkSession, model)(F.col(new[text_col]))
+    return unmasked(rows.withColumn("guess", guess).where((F.col("guess.lang") != UND) & (F.col("guess.score") >= min_score)), new)

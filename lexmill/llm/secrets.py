@@ -21,14 +21,14 @@ gives an empty result; texts are scanned whole at any length; extra columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import written
+from lexmill.llm.common import masked, unmasked, written
 
 # The base patterns, in order of listing, with their least lengths.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,6 +53,17 @@ def _mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and value.lower() != value and value.upper() != value
 
 
+def _free(values: Iterable[tuple[int, int, int]], strong: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The values that overlap no strong span; both come by start, and values do not overlap each other."""
+    at, reached = 0, 0
+    for s, k, e in values:
+        while at < len(strong) and strong[at][0] < e:
+            reached = max(reached, strong[at][1])
+            at += 1
+        if reached <= s:
+            yield s, k, e
+
+
 def find_parts(text: str | None) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, scope) of every strong secret and weak candidate of one text."""
     if not text:
@@ -71,9 +82,7 @@ def find_parts(text: str | None) -> list[tuple[int, int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if ":" in text or "=" in text:
         found += [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)]
-    strong = sorted((s, e) for s, k, e in found if k != 3)
-    free = lambda s, e: not any(a < e and s < b for a, b in strong)
-    found += [(m.start(), 4, m.end()) for m in VALUE.finditer(text) if _mixed(m.group()) and free(m.start(), m.end())]
+    found += _free(((m.start(), 4, m.end()) for m in VALUE.finditer(text) if _mixed(m.group())), sorted((s, e) for s, k, e in found if k != 3))
     if "." in text or "://" in text:
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     if len(found) == 0:
@@ -163,10 +172,10 @@ def _cut(texts: pd.Series, found: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """The same table with every span of a secret replaced by its kind; all rows and columns stay."""
-    digest = F.sha2(F.col(text_col), 256)
-    keyed = docs.select(F.struct(F.col(id_col), digest).alias("_key"), F.col(text_col).alias("_text"))
-    found = spans(keyed, "_text", ("_key",), reach).where(F.size("spans") > 0)
-    found = found.groupBy("_key").agg(F.first("spans").alias("_places"))  # equal rows have equal spans
-    joined = docs.withColumn("_key", F.struct(F.col(id_col), digest)).join(found, "_key", "left")
-    text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("_places")))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, new = masked(docs)
+    text = F.col(new[text_col])
+    key = F.struct(F.col(new[id_col]).alias("id"), F.sha2(text, 256).alias("sha"))
+    found = spans(rows.select(key.alias("key"), text.alias("text")), "text", ("key",), reach).where(F.size("spans") > 0)
+    found = found.groupBy("key").agg(F.first("spans").alias("places"))  # equal rows have equal spans
+    joined = rows.withColumn("key", key).join(found, "key", "left")
+    return unmasked(joined.withColumn(new[text_col], F.when(F.col("places").isNull(), text).otherwise(_cut(text, F.col("places")))), new)

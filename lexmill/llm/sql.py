@@ -3,7 +3,8 @@
 MIX = r"""
 with d as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-           (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::ubigint::double + 0.5) / 4503599627370496.0 as u
+           (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || sha256(coalesce(text, '')) || '|' ||
+               (row_number() over (partition by source, coalesce(doc_id::varchar, ''), coalesce(text, '')) - 1)), 1, 13))::ubigint::double + 0.5) / 4503599627370496.0 as u
     from documents
 ), p0 as (
     select source, sum(size)::bigint as total, count(*) as n from d group by source

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm import bpe, langid, mix, mtree, ordinal, secrets, simhash, tokenfile, warc
+from lexmill.llm import bpe, jaccard, langid, mix, mtree, ordinal, secrets, simhash, tokenfile, warc
 from lexmill.llm.common import filesystem
 from lexmill.session import scratch
 from tests.llm.rows import SCHEMA, frame, texts
@@ -62,6 +62,32 @@ def test_bpe_on_odd_strings(text):
     assert code.encode(text) == (len(ids), " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_on_many_special_strings():
+    lib, code = Tokenizer.from_file(WORDS), bpe.codec(WORDS)
+    for text in ("<|startoftext|>" * 2000, "a<|endoftext|>" * 1500 + "b"):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert code.encode(text)[:2] == (len(ids), " ".join(map(str, ids)))
+
+
+def test_users_columns_survive(spark):
+    names = ["_key", "_text", "_places", "_langid", "_mx_size", "_mx_row", "_jk", "_jkept", "_jn", "_bpe", "ids", "decoded", "key", "guess", "one", "place", "c0"]
+    rows = [(r[0], r[1], r[2], r[3], *(f"{n}-{i}" for n in names)) for i, r in enumerate(texts())]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", "lang string", "source string", *(f"`{n}` string" for n in names)]))
+    for made in (langid.known(table), jaccard.one_of_each(table), secrets.redact(table), mix.mixed(table)):
+        assert made.columns == table.columns
+        assert {tuple(r[4:]) for r in made.collect()} <= {tuple(r[4:]) for r in rows}
+    out = bpe.encoded(table, WORDS)
+    assert out.columns == [*table.columns, "ids_", "decoded_"]
+    assert Counter(tuple(r[4:-2]) for r in out.collect()) == Counter(tuple(r[4:]) for r in rows)
+
+
+def test_bpe_hands_on_slices(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 1)
+    lib = Tokenizer.from_file(WORDS)
+    got = bpe.encoded(frame(spark), WORDS).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in ROWS)
+
+
 def test_token_shards(docs, none, monkeypatch):
     lib = Tokenizer.from_file(BYTES)
     want, start = [], 0
@@ -168,6 +194,24 @@ def test_mix_comes_near_its_targets(spark):
 # --- languages and quality -------------------------------------------------------------------------------------------
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(None, f"w w w {'v ' * (i % 4)}", "a") for i in range(600)] + [(7, "a b c d e f", "b")] * 500 + [(i, "x y z", "c") for i in range(901)] + [(9, "q " * (1 + i % 9), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix.mix(docs).collect()
+    assert sorted(map(key, out)) == sorted(map(key, mix.mix(docs.repartition(7)).collect()))
+    for total, target in {(r.source_size, r.target) for r in out}:
+        mine = [r for r in out if r.source_size == total]
+        assert abs(sum(r.taken for r in mine) - target) <= max(r["size"] for r in mine)
+        assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in mine)
+    sizes = Counter()
+    for r in mix.mixed(docs).collect():
+        sizes[r.source] += len((r.text or "").split())
+    per = {}
+    for r in out:
+        per[r.source_size] = per.get(r.source_size, 0) + r.taken
+    assert sorted(sizes.values()) == sorted(per.values())
+
+
 def test_language(spark, sf, none):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")
