@@ -13,7 +13,7 @@ def test_text_directory(spark, tmp_path):
     (tmp_path / "02-nowhere.txt").write_text("  Title  \nbody", encoding="utf-8")
     (tmp_path / "03-empty.txt").write_text("", encoding="utf-8")
     (tmp_path / "note.md").write_text("# skip", encoding="utf-8")
-    got = {r.doc_id: (r.title, r.topic, r.source) for r in rd.text_directory(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.title, r.topic, r.source) for r in rd.text_directory(spark, str(tmp_path), topics={"vpn": "it"}).collect()}
     assert got == {"vpn": ("VPN", "it", "01-vpn.txt"), "nowhere": ("Title", "other", "02-nowhere.txt")}
     assert [r.doc_id for r in rd.text_directory(spark, str(tmp_path), "*.md").collect()] == ["note"]
     with pytest.raises(FileNotFoundError):
