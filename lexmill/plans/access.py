@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import ordered as od
 from lexmill.operators import access as ac
 from lexmill.operators import evaluation as ev
 from lexmill.operators import lexical as lx
 from lexmill.operators import retrieval as rt
 from lexmill.plans.lexical import SQL_BM25, SQL_GOLD, docs_items
 from lexmill.plans.registry import query, table
+from lexmill.session import scratch
+from lexmill.sources import pages as pg
 
 ROLES = [p[1] for p in ac.PRINCIPALS]
 
@@ -193,10 +194,41 @@ def a11(spark, sf):
     return out.where(F.col("n_versions") > 1).withColumn("broken", F.col("n_current") != 1)
 
 
+def paged(spark, sf):
+    path = scratch(spark, "paged")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))
+    pg.write_pages(d, "doc_id", path)
+    return pg.Paged(spark, path, "doc_id")
+
+
 @query("s12_keyset_pages", """WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 256 AS page FROM documents WHERE lang = 'en')
 SELECT page, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM p GROUP BY page""")
 def s12(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id")
-    p = od.with_position(d, [], ["doc_id"], od.block_of("doc_id"))
-    return p.groupBy(F.floor((F.col("pos") - 1) / 256).alias("page")).agg(
-        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+    return paged(spark, sf).bounds(F.col("lang") == "en", 256)
+
+
+SQL_PAGE = "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents"
+
+
+@query("s12_page_scan", f"""WITH d AS ({SQL_PAGE} WHERE lang = 'en'), one AS (SELECT * FROM d ORDER BY doc_id LIMIT 64),
+two AS (SELECT * FROM d WHERE doc_id > (SELECT max(doc_id) FROM one) ORDER BY doc_id LIMIT 64), three AS (SELECT * FROM d WHERE doc_id > (SELECT max(doc_id) FROM two) ORDER BY doc_id LIMIT 64)
+SELECT 1 AS page, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM three""")
+def s12_scan(spark, sf):
+    """Three pages of a filtered scan, each asked for by the last key of the one before."""
+    t, out, after = paged(spark, sf), None, None
+    for page in (1, 2, 3):
+        rows = t.page(after, 64, F.col("lang") == "en")
+        after = rows.agg(F.max("doc_id")).first()[0]
+        part = rows.select(F.lit(page).alias("page"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("s12_filter_and_limit", f"{SQL_PAGE} WHERE lang = 'de' AND n_chars > 500 ORDER BY doc_id LIMIT 100")
+def s12_limit(spark, sf):
+    return paged(spark, sf).page(None, 100, (F.col("lang") == "de") & (F.col("n_chars") > 500))
+
+
+@query("s12_key_lookup", f"{SQL_PAGE} WHERE doc_id % 97 = 5 AND doc_id < 2000 OR doc_id = 33")
+def s12_lookup(spark, sf):
+    return paged(spark, sf).lookup([*range(5, 2000, 97), 33, -4, 10**12])

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.embed import TfidfEmbedder
 from lexmill.operators import chunking as ck
+from lexmill.functions import text as tx
 from lexmill.operators import lexical as lx
+from lexmill.operators import refresh as rf
 from lexmill.plans.chunks import SQL_MDC, docs
 from lexmill.plans.lexical import SQL_WORD_POST, W
 from lexmill.plans.registry import query, table
@@ -131,6 +133,56 @@ def s9(spark, sf):
     return sk.refresh_mode(lx.idf_plain(d.where(F.col("doc_id") % 10 != 0), "doc_id"), lx.idf_plain(d, "doc_id"))
 
 
+def line_chunks(documents):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    return documents.select("doc_id", F.posexplode(lines).alias("chunk_index", "text"))
+
+
+def word_counts(documents):
+    return lx.postings(documents, "doc_id", tx.words).select("doc_id", "term", "tf")
+
+
+def refreshed(spark, sf, then=None):
+    """A store built from nine of ten documents, then brought to all of them but some that vanish and some that change."""
+    d, i = docs(spark, sf), F.col("doc_id")
+    path = scratch(spark, "store")
+    store = rf.Store(spark, path, line_chunks, word_counts, {"chunks": "lines", "tokens": "words"})
+    modes = [store.refresh(d.where(i % 10 != 0))]
+    now = d.where(i % 11 != 0).withColumn("text", F.when(i % 13 == 0, F.concat(F.substring("text", 1, 40), F.lit(" refreshed\nzebra"))).otherwise(F.col("text")))
+    modes.append(store.refresh(now))
+    if then:
+        store = rf.Store(spark, path, line_chunks, word_counts, then)
+        modes.append(store.refresh(now))
+    return store, modes
+
+
+SQL_NOW = "now AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN substr(text, 1, 40) || ' refreshed' || chr(10) || 'zebra' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query("s9_incremental_term_statistics", rf"""WITH {SQL_NOW}, t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {W})) AS term FROM now)
+SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM now) / count(*)), 6) AS idf, 'rebuild,incremental' AS modes FROM t GROUP BY term""")
+def s9_terms(spark, sf):
+    """Document frequencies after inserts, changes and deletes, by signed deltas."""
+    store, modes = refreshed(spark, sf)
+    return store.idf().select("term", "df", F.round("idf", 6).alias("idf"), F.lit(",".join(modes)).alias("modes"))
+
+
+SQL_LINES = "l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM now), c AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS chunk_index FROM l)"
+
+
+@query("s9_incremental_chunks", f"WITH {SQL_NOW}, {SQL_LINES} SELECT doc_id, chunk_index::INT AS chunk_index, md5(text) AS digest FROM c")
+def s9_chunks(spark, sf):
+    """Chunks after the same refresh: none of a vanished or shortened document stays."""
+    store, _ = refreshed(spark, sf)
+    return store.chunks().select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+@query("s9_rebuild_on_new_settings", f"WITH {SQL_NOW}, {SQL_LINES} SELECT 'rebuild,incremental,rebuild' AS modes, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks FROM c")
+def s9_rebuild(spark, sf):
+    store, modes = refreshed(spark, sf, {"chunks": "lines", "tokens": "words", "version": 2})
+    return store.chunks().agg(F.lit(",".join(modes)).alias("modes"), F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"))
+
+
 @query("s10_delete_by_document_and_version", "SELECT doc_id // 2 AS logical_id, doc_id % 2 + 1 AS version, n_chars FROM documents WHERE NOT (doc_id // 2 = 7) AND NOT (doc_id // 2 % 4 = 1 AND doc_id % 2 = 0)")
 def s10(spark, sf):
     d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 2).alias("logical_id"), (F.col("doc_id") % 2 + 1).alias("version"), "n_chars")
