@@ -58,7 +58,7 @@ def st8(spark, sf):
 
 def scan(stream, cols, rule, name):
     out_schema, state_schema, start, step = rule
-    return sj.drain_to_table(sj.keyed_scan(stream, "user_id", ["us", "event_id"], cols, out_schema, state_schema, start, step), name)
+    return sj.drain_to_table(sj.ordered_scan(stream, "user_id", ["us", "event_id"], cols, out_schema, state_schema, start, step), name)
 
 
 @query("st2_last_n_window_on_stream", f"""WITH {SQL_E}, l AS (SELECT user_id, event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS v FROM e)
@@ -82,7 +82,8 @@ UNION ALL SELECT user_id, event_id, rn, t, CASE WHEN len(kept) >= 3 THEN kept EL
 FROM (SELECT e.user_id, e.event_id, e.rn, e.t, list_filter(d.hits, lambda h: e.t - h < 172800000000) AS kept FROM d JOIN e ON e.user_id = d.user_id AND e.rn = d.rn + 1))
 SELECT user_id, event_id, allowed, remaining::INTEGER AS remaining, retry_after_s FROM d""")
 def st4(spark, sf):
-    return scan(event_stream(spark, sf), [], sj.sliding_limit(3, 172800), "st4")
+    out_schema, state_schema, start, step = sj.sliding_limit(3, 172800)
+    return sj.drain_to_table(sj.keyed_scan(event_stream(spark, sf), "user_id", ["us", "event_id"], [], out_schema, state_schema, start, step), "st4")
 
 
 @query("st5_cold_start_storm_on_stream", f"""WITH {SQL_E} SELECT user_id, event_id, cold, cold > 1 AS storm FROM (

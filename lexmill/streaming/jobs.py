@@ -8,16 +8,21 @@ source bounds what one batch, and therefore one key in it, can hold.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmill.session import scratch
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str, glob: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     return (
@@ -29,6 +34,7 @@ def read_stream(spark: SparkSession, path: str, glob: str, schema, files_per_tri
 def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Append everything available now to a parquet table with a checkpoint; read it back."""
     spark = stream.sparkSession
+    spark.conf.set(PROVIDER, ROCKS)  # list state and timers need it; others may use it
     out, ckpt = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
     q = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
@@ -102,6 +108,99 @@ def keyed_scan(
     )
 
 
+class OrderedScan(StatefulProcessor):
+    """Rows of a key wait in a list state until the watermark passes them and are then judged in order.
+
+    One event-time timer per key stands at the earliest waiting row; when it fires, all rows the watermark has passed go through ``step`` and the
+    timer moves on. A row that arrives late, but within the watermark's delay, is judged in its place. A pause of more than
+    ``idle_ms`` starts a key anew, and the watermark removes the state of a key that stays away.
+    """
+
+    def __init__(self, order: list[str], names: list[str], kinds: str, state_schema: str, out_cols: list[str], start: Callable[[], tuple], step: Callable, idle_ms: int):
+        self.order, self.names, self.kinds, self.state_schema, self.out_cols = order, names, kinds, state_schema, out_cols
+        self.start, self.step, self.idle_ms = start, step, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.current = handle.getValueState("current", self.state_schema)
+        self.times = handle.getValueState("times", "timer bigint, last bigint")  # ms; -1: none
+
+    def _set_timer(self, timer: int, last: int) -> None:
+        old = self.times.get()[0] if self.times.exists() else -1
+        if old != timer:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            if timer >= 0:
+                self.handle.registerTimer(timer)
+        self.times.update((timer, last))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            batch = batch[self.names]
+            least = -int(-batch[self.order[0]].min() // 1000)
+            earliest = least if earliest is None else min(earliest, least)
+            self.waiting.appendList([tuple(None if v is None or v != v else v for v in r) for r in batch.astype(object).itertuples(index=False, name=None)])
+        timer, last = self.times.get() if self.times.exists() else (-1, -1)
+        idle = last >= 0 and timer >= last + self.idle_ms  # the timer only waits to forget the key
+        self._set_timer(earliest if timer < 0 or idle else min(earliest, timer), last)
+        yield pd.DataFrame(columns=self.out_cols)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, last = self.times.get()
+        at = [self.names.index(c) for c in self.order]
+        rows = sorted(self.waiting.get(), key=lambda r: [r[i] for i in at]) if self.waiting.exists() else []
+        due = [r for r in rows if r[at[0]] <= now * 1000]
+        if not due and not rows and last + self.idle_ms <= now:
+            for state in (self.waiting, self.current, self.times):
+                state.clear()
+            return
+        current, out = tuple(self.current.get()) if self.current.exists() else self.start(), []
+        row_type = namedtuple("Row", self.names)
+        for r in due:
+            if last >= 0 and r[at[0]] // 1000 - last > self.idle_ms:
+                current = self.start()
+            last = r[at[0]] // 1000
+            current, values = self.step(current, row_type(*r))
+            out.append((key[0], r[at[-1]], *values))
+        rest = rows[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+        elif rows:
+            self.waiting.clear()
+        if due:
+            self.current.update(current)
+        self.times.update((-1, last))  # the timer that fired is gone
+        self._set_timer(-int(-rest[0][at[0]] // 1000) if rest else last + self.idle_ms, last)
+        if out:
+            yield pd.DataFrame(out, columns=self.out_cols)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_scan(
+    events: DataFrame, key: str, order: list[str], value_cols: list[str], out_schema: str, state_schema: str,
+    start: Callable[[], tuple], step: Callable[[tuple, Any], tuple[tuple, tuple]], delay: str = "0 seconds", idle_ms: int = 365 * 86_400_000,
+) -> DataFrame:
+    """``step`` over the rows of every key in event-time order across micro-batches; ``order`` begins with the time in microseconds.
+
+    Rows come out when the watermark (``delay`` behind the latest row) has passed them. Needs the RocksDB state store:
+    start it with :func:`drain_to_table`, or set the provider.
+    """
+    row_id, types = order[-1], dict(events.dtypes)
+    names = [*order, *value_cols]
+    full = f"{key} {types[key]}, {row_id} {types[row_id]}, {out_schema}"
+    out_cols = [c.strip().split(" ")[0] for c in full.split(", ")]
+    kinds = ", ".join(f"{n} {types[n]}" for n in names)
+    scan = OrderedScan(order, names, kinds, state_schema, out_cols, start, step, idle_ms)
+    at = F.timestamp_millis(F.ceil(F.col(order[0]) / 1000)).alias("_at")  # watermarks are whole milliseconds
+    rows = events.select(key, at, *names).withWatermark("_at", delay)
+    return rows.groupBy(key).transformWithStateInPandas(scan, full, "append", "EventTime")
+
+
 # -- rules ---------------------------------------------------------------------------------
 
 
