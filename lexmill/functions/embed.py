@@ -15,7 +15,10 @@ from lexmill.operators import lexical as lx
 
 
 class Embedder(Protocol):
-    """``encode(df, id)`` adds vectors; documents and queries may differ by a prefix."""
+    """Vectors of texts: sparse (id, term, weight) or dense (id, vec). Documents and queries may be encoded apart."""
+
+    @property
+    def dim(self) -> int: ...
 
     def encode_documents(self, df: DataFrame, id_col: str) -> DataFrame: ...
 
@@ -28,6 +31,13 @@ class TfidfEmbedder:
     def __init__(self, terms: DataFrame | None = None, version: str = "1"):
         self.terms, self.version = terms, version
 
+    @property
+    def dim(self) -> int:
+        """Terms of the learned table."""
+        if self.terms is None:
+            raise RuntimeError("fit or load the embedder first")
+        return self.terms.count()
+
     def fit(self, docs: DataFrame, id_col: str) -> TfidfEmbedder:
         self.terms = lx.idf_plain(docs, id_col)
         return self
@@ -58,8 +68,8 @@ class TfidfEmbedder:
 class ModelEmbedder:
     """Dense vectors from any loader; the model is loaded once per Python worker."""
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], query_prefix="query: ", passage_prefix="passage: "):
-        self.load, self.query_prefix, self.passage_prefix = load, query_prefix, passage_prefix
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, query_prefix="query: ", passage_prefix="passage: "):
+        self.load, self.dim, self.query_prefix, self.passage_prefix = load, dim, query_prefix, passage_prefix
 
     def _encode(self, df: DataFrame, id_col: str, prefix: str) -> DataFrame:
         load = self.load
@@ -77,3 +87,34 @@ class ModelEmbedder:
 
     def encode_queries(self, df: DataFrame, id_col: str) -> DataFrame:
         return self._encode(df, id_col, self.query_prefix)
+
+
+class HashingEmbedder:
+    """Dense unit vectors without a model: words, with the side's prefix, counted in ``dim`` cells by their MD5; all in the JVM."""
+
+    def __init__(self, dim: int = 64, query_prefix="query: ", passage_prefix="passage: "):
+        self.dim, self.query_prefix, self.passage_prefix = dim, query_prefix, passage_prefix
+
+    def _encode(self, df: DataFrame, id_col: str, prefix: str) -> DataFrame:
+        words = tx.words(F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))))
+        cell = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("bigint") % self.dim).cast("int")
+        counts = tx.once(df, [id_col], ws=words).select(id_col, F.explode("ws").alias("w")).groupBy(id_col, cell.alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        cells = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+        vec = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm"))
+        return cells.select(id_col, vec.alias("vec"))
+
+    def encode_documents(self, df: DataFrame, id_col: str) -> DataFrame:
+        return self._encode(df, id_col, self.passage_prefix)
+
+    def encode_queries(self, df: DataFrame, id_col: str) -> DataFrame:
+        return self._encode(df, id_col, self.query_prefix)
+
+
+BACKENDS: dict[str, Callable[..., Embedder]] = {"tfidf": TfidfEmbedder, "hashing": HashingEmbedder, "model": ModelEmbedder}
+
+
+def make_embedder(backend: str = "tfidf", **options) -> Embedder:
+    """The embedder of a name; ``tfidf`` has still to be fitted or loaded."""
+    if backend not in BACKENDS:
+        raise ValueError(f"no embedder {backend!r}: {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[backend](**options)

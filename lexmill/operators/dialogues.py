@@ -97,13 +97,29 @@ def without_quotes(answer: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(clean, " {2,}", " "), r"^\s+|\s+$", "")
 
 
-def quote_grounding(answers: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
-    """Does the quote of an answer occur in its context? Null without a quote."""
-    j = answers.join(contexts, keys, "left")
-    q = quote_of(F.col("answer"))
-    return j.withColumn(
-        "grounded", F.when(q != "", F.contains(plain(F.coalesce("context", F.lit(""))), plain(q)))
-    )
+def quote_grounding(answers: DataFrame, contexts: DataFrame, key: str, reply: str, turn: str) -> DataFrame:
+    """Does the quote of an answer occur in one of the contexts that came before it? Null without a quote.
+
+    ``answers(key, reply, answer)``, ``contexts(key, turn, context)``. A quote meets contexts through one of its words: its longest inner one, which
+    any text with the quote holds whole. Shorter quotes meet through their first characters. What meets is compared in full; a quote of marks alone
+    is grounded.
+    """
+    q = plain(quote_of(F.col("answer")))
+    asked = tx.once(answers.where(quote_of(F.col("answer")) != ""), [key, reply], _q=q)
+    inner = F.expr("filter(slice(split(_q, ' '), 2, greatest(size(split(_q, ' ')) - 2, 0)), w -> w <> '')")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.withColumn("_word", longest)
+    asked = asked.withColumn("_anchor", F.coalesce(F.concat(F.lit("w"), "_word"), F.concat(F.lit("c"), F.substring("_q", 1, 3))))
+    known = contexts.join(asked.select(key).distinct(), key, "left_semi")
+    texts = tx.once(known, [key, turn], _t=plain(F.coalesce("context", F.lit(""))))
+    words = texts.select(key, turn, F.explode(F.array_distinct(F.split("_t", " "))).alias("_w")).select(key, turn, F.concat(F.lit("w"), "_w").alias("_anchor"))
+    short = asked.where("_word IS NULL AND _q <> ''").select(key, F.length("_anchor").alias("_n")).distinct()
+    grams = texts.join(short, key).where("length(_t) >= _n - 1").select(
+        key, turn, F.explode(F.array_distinct(F.expr("transform(sequence(1, length(_t) - _n + 2), i -> concat('c', substring(_t, i, _n - 1)))"))).alias("_anchor"))
+    met = asked.where("_q <> ''").join(words.unionByName(grams), [key, "_anchor"]).where(F.col(turn) < F.col(reply)).select(key, reply, turn, "_q")
+    found = met.join(texts, [key, turn]).where(F.contains("_t", F.col("_q"))).select(key, reply, F.lit(True).alias("_found")).distinct()
+    out = answers.join(found, [key, reply], "left")
+    return out.withColumn("grounded", F.when(quote_of(F.col("answer")) != "", (q == "") | F.coalesce("_found", F.lit(False)))).drop("_found")
 
 
 def citations(answer: Column) -> Column:

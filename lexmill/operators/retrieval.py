@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +139,57 @@ def rerank(cands: DataFrame, query_id: str, unit: str, score: str, top_n: int, z
     return ordered(cands, query_id, key.desc(), F.col("pos"), F.col(unit), name="final_rank", k=top_n)
 
 
+class Reranker(Protocol):
+    """``rerank(hits, top_n)``: the best of each query's candidates in a new order, with ``final_rank``; an interchangeable second stage."""
+
+    def rerank(self, hits: DataFrame, top_n: int) -> DataFrame: ...
+
+
+class ScoreReranker:
+    """Orders candidates (query, unit, pos) by a score that ``add`` puts on them as column ``s``; higher is better, no score is last."""
+
+    def __init__(self, query_id: str, unit: str, add: Callable[[DataFrame], DataFrame], zero_last: bool = True):
+        self.query_id, self.unit, self.add, self.zero_last = query_id, unit, add, zero_last
+
+    def rerank(self, hits: DataFrame, top_n: int) -> DataFrame:
+        return rerank(self.add(hits), self.query_id, self.unit, "s", top_n, self.zero_last)
+
+
+class OverlapReranker(ScoreReranker):
+    """TF-IDF overlap of question and text."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, query_id: str, unit: str):
+        def add(hits: DataFrame) -> DataFrame:
+            found = lx.tfidf_overlap(docs, queries, unit, query_id)
+            return hits.join(found.select(query_id, unit, F.round("score", 9).alias("s")), [query_id, unit], "left")
+
+        super().__init__(query_id, unit, add)
+
+
+class LengthReranker(ScoreReranker):
+    """Short texts first: ``1000 / (1000 + n)`` for ``lengths(unit, n_chars)``."""
+
+    def __init__(self, lengths: DataFrame, query_id: str, unit: str):
+        super().__init__(query_id, unit, lambda hits: hits.join(lengths, unit).withColumn("s", F.lit(1000.0) / (1000 + F.col("n_chars"))))
+
+
+class PairReranker(ScoreReranker):
+    """A loaded model that scores (question, text) pairs in batches; it is loaded once per Python worker. A score of zero counts."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str], list[str]], list[float]]], docs: DataFrame, queries: DataFrame, query_id: str, unit: str, digits: int = 4):
+        @F.pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = load()
+            for asked, text in batches:
+                yield pd.Series([round(float(x), digits) for x in model(asked.tolist(), text.tolist())], index=asked.index, dtype="float64")
+
+        def add(hits: DataFrame) -> DataFrame:
+            pairs = hits.join(queries.select(query_id, F.col("text").alias("_q")), query_id).join(docs.select(unit, F.col("text").alias("_t")), unit)
+            return pairs.withColumn("s", score("_q", "_t")).drop("_q", "_t")
+
+        super().__init__(query_id, unit, add, zero_last=False)
+
+
 def blocks(hits: DataFrame, rank: str, body: Column, header: Column) -> DataFrame:
     return hits.withColumn("block", F.concat(header, F.lit("\n"), F.trim(body)))
 

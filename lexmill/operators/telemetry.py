@@ -109,6 +109,32 @@ def histogram(rows: DataFrame, key: str, value: str, bounds: tuple[float, ...])
     return wide.select(key, F.col("inf").alias("n"), "total", F.inline(cells))
 
 
+def accumulated(rows: DataFrame, metrics: list[tuple[str, Column, Column, tuple[float, ...] | None]]) -> DataFrame:
+    """(metric, label, le, n, total) of several histograms and counters in one pass.
+
+    A metric is (name, label, value, bounds): with bounds a histogram, whose rows are cumulative per ``le`` with ``+Inf`` last and carry the
+    sum of the values; without, a counter, whose one row has ``le`` null and the sum of the amounts. Observations become
+    (metric, label, bucket) cells that are counted before they travel, and cells of two tables or batches add up.
+    """
+    observed = F.array_compact(F.array(*[
+        F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("metric_no"), label.cast("string").alias("label"), value.cast("double").alias("v"),
+            (F.lit(-1) if bounds is None else sum((F.when(value > b, 1).otherwise(0) for b in bounds), F.lit(0))).alias("bucket"),
+        )) for i, (_, label, value, bounds) in enumerate(metrics)
+    ]))
+    cells = rows.select(F.inline(observed)).groupBy("metric_no", "label", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    series = cells.groupBy("metric_no", "label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.sum("total").alias("total"), F.sum("n").alias("every"))
+    names = F.array(*[F.lit(name) for name, *_ in metrics])
+    les = F.array(*[
+        F.array(F.struct(F.lit(-1).alias("b"), F.lit(None).cast("string").alias("le"))) if bounds is None
+        else F.array(*[F.struct(F.lit(i).alias("b"), F.lit(str(float(b))).alias("le")) for i, b in enumerate(bounds)], F.struct(F.lit(len(bounds)).alias("b"), F.lit("+Inf").alias("le")))
+        for *_, bounds in metrics
+    ])
+    out = series.withColumn("at", F.explode(F.element_at(les, F.col("metric_no") + 1)))
+    upto = F.aggregate(F.filter("cells", lambda c: (c["bucket"] <= F.col("at.b"))), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    return out.select(F.element_at(names, F.col("metric_no") + 1).alias("metric"), "label", F.col("at.le").alias("le"), upto.alias("n"), "total")
+
+
 def bucket_quantile(hist: DataFrame, key: str, q: float) -> DataFrame:
     """Linear interpolation inside the bucket that holds rank q*n; +Inf gives the last bound."""
     w = Window.partitionBy(key).orderBy("idx")

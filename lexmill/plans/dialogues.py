@@ -118,10 +118,27 @@ def f17(spark, sf):
     return a.select("conv_id", "reply", F.md5(q).alias("quote"), F.md5(dg.plain(q)).alias("plain_quote"), F.md5(dg.without_quotes(F.col("answer"))).alias("stripped"))
 
 
-@query("j12_quote_grounding", f"""WITH {SQL_Q} SELECT conv_id, reply, CASE WHEN {QX} = '' THEN 'no_quote' WHEN contains({PL.format('context')}, {PL.format(QX)}) THEN 'grounded' ELSE 'not_grounded' END AS verdict FROM an""")
+@query("j12_quote_grounding", f"""WITH {SQL_Q} SELECT conv_id, reply, CASE WHEN {QX} = '' THEN 'no_quote'
+WHEN {PL.format(QX)} = '' OR EXISTS (SELECT 1 FROM u WHERE u.conv_id = an.conv_id AND u.turn < an.reply AND contains({PL.format('u.context')}, {PL.format(QX)})) THEN 'grounded' ELSE 'not_grounded' END AS verdict FROM an""")
 def j12(spark, sf):
+    """Against every user turn before the answer."""
     a, u = quoted(spark, sf)
-    g = dg.quote_grounding(a, u, ["conv_id", "turn"])
+    g = dg.quote_grounding(a.select("conv_id", "reply", "answer"), u, "conv_id", "reply", "turn")
+    return g.select("conv_id", "reply", F.when(F.col("grounded").isNull(), "no_quote").when(F.col("grounded"), "grounded").otherwise("not_grounded").alias("verdict"))
+
+
+@query("j12_earlier_turns", f"""WITH {SQL_Q}, f AS (SELECT conv_id, arg_min(context, turn) AS first FROM u GROUP BY 1),
+e AS (SELECT a.conv_id, a.reply, '<quote>' || substr(first, 1, 5 + a.reply % 40) || '</quote>' AS answer FROM a JOIN f USING (conv_id) WHERE a.reply > 2)
+SELECT conv_id, reply, CASE WHEN {QX} = '' THEN 'no_quote'
+WHEN {PL.format(QX)} = '' OR EXISTS (SELECT 1 FROM u WHERE u.conv_id = e.conv_id AND u.turn < e.reply AND contains({PL.format('u.context')}, {PL.format(QX)})) THEN 'grounded' ELSE 'not_grounded' END AS verdict FROM e""")
+def j12_earlier(spark, sf):
+    """Late answers that quote the dialogue's first user turn, quotes of all lengths."""
+    t = table(spark, sf, "conversations")
+    u = t.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("context"))
+    first = u.groupBy("conv_id").agg(F.min_by("context", "turn").alias("first"))
+    a = t.where((F.col("role") == "assistant") & (F.col("turn") > 2)).select("conv_id", F.col("turn").alias("reply")).join(first, "conv_id")
+    quote = F.concat(F.lit("<quote>"), F.substring(F.col("first"), F.lit(1), (5 + F.col("reply") % 40).cast("int")), F.lit("</quote>"))
+    g = dg.quote_grounding(a.select("conv_id", "reply", quote.alias("answer")), u, "conv_id", "reply", "turn")
     return g.select("conv_id", "reply", F.when(F.col("grounded").isNull(), "no_quote").when(F.col("grounded"), "grounded").otherwise("not_grounded").alias("verdict"))
 
 

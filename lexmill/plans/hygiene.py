@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import rules as ru
+from lexmill.functions import text as tx
 from lexmill.operators import hygiene as hy
 from lexmill.operators import retrieval as rt
 from lexmill.plans.registry import query, table
@@ -249,7 +250,9 @@ def f27(spark, sf):
 @query("a12_ingest_report", f"""WITH {SQL_ND}, {report_sql('nd', 'doc_id')}, {SQL_NL}, k AS (SELECT * FROM nd_rep WHERE doc_id % 7 <> 0)
 SELECT 'documents' AS metric, '' AS key, count(*) AS value FROM k
 UNION ALL SELECT 'chunks', '', count(*) FROM nl WHERE doc_id % 7 <> 0
+UNION ALL SELECT 'skipped', '', coalesce(sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = ''))), 0)::BIGINT FROM documents WHERE doc_id % 7 <> 0
 UNION ALL SELECT 'quarantined', '', count(*) FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT 'rules', doc_id || ': ' || array_to_string(list_transform(h, lambda x: x.rule), ','), len(h) FROM k WHERE len(h) > 0
 UNION ALL SELECT 'injection', rule, count(*) FROM (SELECT unnest(list_transform(h, lambda x: x.rule)) AS rule FROM k) GROUP BY rule""")
 def a12(spark, sf):
     d = table(spark, sf, "documents")
@@ -258,11 +261,16 @@ def a12(spark, sf):
     def count(df, metric):
         return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "value")
 
-    rules = hy.normalise(kept).select(F.explode(hy.injection_report(F.col("text"))["rules"]).alias("key"))
+    found = tx.once(hy.normalise(kept), ["doc_id"], rules=hy.injection_report(F.col("text"))["rules"]).where(F.size("rules") > 0)
+    per_doc = found.select(F.lit("rules").alias("metric"), F.concat("doc_id", F.lit(": "), F.array_join("rules", ",")).alias("key"), F.size("rules").cast("bigint").alias("value"))
+    blank = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) == ""))
+    skipped = kept.agg(F.coalesce(F.sum(blank), F.lit(0)).alias("value")).select(F.lit("skipped").alias("metric"), F.lit("").alias("key"), "value")
+    rules = found.select(F.explode("rules").alias("key"))
     inj = rules.groupBy("key").agg(F.count(F.lit(1)).alias("value")).select(F.lit("injection").alias("metric"), "key", "value")
     return (
         count(kept, "documents").unionByName(count(rt.lines_of(kept), "chunks"))
-        .unionByName(count(d.where(F.col("doc_id") % 7 == 0), "quarantined")).unionByName(inj))
+        .unionByName(count(d.where(F.col("doc_id") % 7 == 0), "quarantined")).unionByName(inj)
+        .unionByName(skipped).unionByName(per_doc))
 
 
 @query("a12_pii_per_type")

@@ -310,20 +310,15 @@ def u2(spark, sf):
 l2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, pos, doc_id) AS final_rank FROM len2)
 SELECT 'overlap' AS reranker, item_id, doc_id, final_rank FROM fin WHERE final_rank <= 4 UNION ALL SELECT 'brevity', item_id, doc_id, final_rank FROM l2 WHERE final_rank <= 4""")
 def x2(spark, sf):
-    """A reranker is any function that adds a score column to the candidates."""
+    """The same candidates through two rerankers of the library."""
     d, q = docs_items(spark, sf)
     cand = fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K)
-    size = table(spark, sf, "documents").select("doc_id", "n_chars")
-
-    def overlap(c):
-        second = lx.tfidf_overlap(d, q, "doc_id", "item_id").select("item_id", "doc_id", F.round("score", 9).alias("s"))
-        return c.join(second, ["item_id", "doc_id"], "left")
-
-    def brevity(c):
-        return c.join(size, "doc_id").withColumn("s", F.lit(1000.0) / (1000 + F.col("n_chars")))
-
+    rerankers = {
+        "overlap": rt.OverlapReranker(d, q, "item_id", "doc_id"),
+        "brevity": rt.LengthReranker(table(spark, sf, "documents").select("doc_id", "n_chars"), "item_id", "doc_id"),
+    }
     out = None
-    for name, score in (("overlap", overlap), ("brevity", brevity)):
-        r = rt.rerank(score(cand), "item_id", "doc_id", "s", rt.FINAL_K).select(F.lit(name).alias("reranker"), "item_id", "doc_id", "final_rank")
-        out = r if out is None else out.unionByName(r)
+    for name, r in rerankers.items():
+        part = r.rerank(cand, rt.FINAL_K).select(F.lit(name).alias("reranker"), "item_id", "doc_id", "final_rank")
+        out = part if out is None else out.unionByName(part)
     return out

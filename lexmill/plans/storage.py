@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions.embed import TfidfEmbedder
+from lexmill.functions.embed import TfidfEmbedder, make_embedder
 from lexmill.operators import chunking as ck
 from lexmill.functions import text as tx
 from lexmill.operators import lexical as lx
@@ -227,7 +227,21 @@ def s14(spark, sf):
 
 @query("x1_embedder_contract", SQL_ENC)
 def x1(spark, sf):
-    return encoded(spark, sf, TfidfEmbedder().fit(docs(spark, sf), "doc_id"))
+    return encoded(spark, sf, make_embedder("tfidf").fit(docs(spark, sf), "doc_id"))
+
+
+@query("x1_dense_backend", rf"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, 'passage: ' || coalesce(text, '') AS text FROM documents UNION ALL SELECT 'query', item_id, 'query: ' || coalesce(text, '') FROM benchmark),
+w AS (SELECT kind, id, unnest(regexp_extract_all(lower(text), {W})) AS w FROM t), c AS (SELECT kind, id, ('0x' || md5(w)[1:8])::BIGINT % 64 AS cell, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY kind, id)) AS x FROM c)
+SELECT kind, id, 64 AS dim, count(*) AS filled, round(max(x), 6) AS largest, round(sum(x * (cell + 1)), 6) AS moment FROM v GROUP BY kind, id""")
+def x1_dense(spark, sf):
+    """The same contract with a dense backend; documents and queries encoded apart."""
+    e = make_embedder("hashing", dim=64)
+    d = e.encode_documents(docs(spark, sf), "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "vec")
+    q = e.encode_queries(table(spark, sf, "benchmark").select("item_id", "text"), "item_id").select(F.lit("query").alias("kind"), F.col("item_id").alias("id"), "vec")
+    moment = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return d.unionByName(q).select(
+        "kind", "id", F.lit(e.dim).alias("dim"), F.size(F.filter("vec", lambda x: x > 0)).alias("filled"), F.round(F.array_max("vec"), 6).alias("largest"), F.round(moment, 6).alias("moment"))
 
 
 @query("s15_interaction_history", """SELECT u.conv_id * 1000 + u.turn AS id, md5(u.text) AS question, md5(a.text) AS answer, 's' || u.turn || ',' || 's' || (u.turn + 1) AS sources FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1

@@ -87,6 +87,29 @@ def a30(spark, sf):
     return tm.histogram(e, "stage", "s", tm.LATENCY_BUCKETS).select("stage", "le", "cum", "n", F.round("total", 4).alias("total"))
 
 
+def sql_hist(metric: str, label: str, value: str, bounds) -> str:
+    return f"""SELECT '{metric}' AS metric, {label} AS label, le, count(*) FILTER ({value} <= bound) AS n, round(sum({value}), 4) AS total
+FROM e, (SELECT unnest({[str(float(b)) for b in bounds] + ['inf']}::DOUBLE[]) AS bound, unnest({[str(float(b)) for b in bounds] + ['+Inf']}) AS le) GROUP BY ALL"""
+
+
+@query("a30_metrics_in_one_pass", f"""WITH {SQL_E}
+{sql_hist('stage_seconds', 'stage', 'value / 10', tm.LATENCY_BUCKETS)}
+UNION ALL {sql_hist('chunks_used', "''", '(k % 23)::DOUBLE', tm.CHUNK_BUCKETS)}
+UNION ALL {sql_hist('top_similarity', "''", 'value / 50', tm.SCORE_BUCKETS)}
+UNION ALL SELECT 'requests', event_type || ',t' || user_id % 3, NULL, count(*), count(*) FROM e GROUP BY ALL
+UNION ALL SELECT 'no_context', '', NULL, count(*), count(*) FROM e WHERE value < 1 HAVING count(*) > 0
+UNION ALL SELECT 'tokens', CASE WHEN event_id % 2 = 0 THEN 'prompt' ELSE 'answer' END, NULL, count(*), sum(k) FROM e GROUP BY ALL""")
+def a30_all(spark, sf):
+    """Histograms of latency, chunks used and top similarity, and counters by label, from one scan."""
+    one, none = F.lit(1.0), F.lit("")
+    return tm.accumulated(events(spark, sf), [
+        ("stage_seconds", F.col("stage"), F.col("value") / 10, tm.LATENCY_BUCKETS), ("chunks_used", none, F.col("k") % 23, tm.CHUNK_BUCKETS),
+        ("top_similarity", none, F.col("value") / 50, tm.SCORE_BUCKETS),
+        ("requests", F.concat("event_type", F.lit(",t"), F.col("user_id") % 3), one, None), ("no_context", none, F.when(F.col("value") < 1, one), None),
+        ("tokens", F.when(F.col("event_id") % 2 == 0, "prompt").otherwise("answer"), F.col("k"), None),
+    ]).withColumn("total", F.round("total", 4))
+
+
 @query("a31_bucket_quantile", f"""WITH {SQL_HIST},
 p AS (SELECT *, coalesce(lag(cum) OVER w, 0) AS pc, coalesce(lag(bound) OVER w, 0) AS pb FROM h WINDOW w AS (PARTITION BY stage ORDER BY idx))
 SELECT stage, round(CASE WHEN le = '+Inf' THEN bound ELSE pb + (bound - pb) * (n * 0.95::DOUBLE - pc) / (cum - pc) END, 6) AS quantile

@@ -63,6 +63,6 @@ def test_model_embedder_uses_prefixes(spark):
     def load():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
-    e = ModelEmbedder(load)
+    e = ModelEmbedder(load, 2)
     df = spark.createDataFrame([(1, "ab")], "id int, text string")
     assert e.encode_queries(df, "id").first().vec == [9.0, 1.0] and e.encode_documents(df, "id").first().vec == [11.0, 1.0]
