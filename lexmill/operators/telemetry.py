@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import ordered as od
+from lexmill.session import materialise
 
 # Histogram bounds in seconds and alert thresholds.
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0, 90.0)
@@ -212,37 +213,43 @@ def sticky_verdicts(
 
     The baseline is the first median judged on a healthy unit; a sample that cannot be
     judged keeps the previous verdict; every n-th request of a degraded stretch is a canary.
+
+    Rows lie in ranges of (key, order). A range is a transition: from the verdict it is entered with to the one it leaves, and from the length of the
+    degraded stretch before it to the length after it, which is its own tail or, if nothing in it is healthy, the sum of both. Both
+    cases of the entering verdict are worked out inside the range; composing the transitions takes one small row per range.
     """
-    at = F.struct(*order)
-    r = rows.withColumn("gpu_bad", F.coalesce(F.col(gpu) < floor, F.lit(False)))
-    r = r.withColumn("judgeable", F.col(p50).isNotNull() & (F.col(samples) >= min_samples))
-    first = (
-        r.where(F.col("judgeable") & ~F.col("gpu_bad"))
-        .groupBy(key)
-        .agg(F.min(F.struct(*order, p50)).alias("_f"))
-    )
-    r = r.join(first, key, "left")
-    known = F.col("_f").isNotNull() & (at >= F.struct(*[F.col(f"_f.{c}").alias(c) for c in order]))
-    r = r.withColumn("baseline", F.when(known, F.col(f"_f.{p50}"))).drop("_f")
-    r = r.withColumn(
-        "_j", F.when(F.col("judgeable") & (F.col("baseline") > 0), F.col(p50) < ratio * F.col("baseline"))
-    )
-    bucket = od.hour_of(order[0])
-    r = od.with_running_sums(r, [key], order, bucket, {"_g": F.when(F.col("_j").isNotNull(), 1).otherwise(0)})
-    verdict = r.where(F.col("_j").isNotNull()).select(key, "_g", F.col("_j").alias("_keep"))
-    r = r.join(verdict, [key, "_g"], "left").withColumn(
-        "degraded", F.col("gpu_bad") | F.coalesce("_keep", F.lit(False))
-    )
-    r = od.with_running_sums(
-        r, [key], order, bucket,
-        {"_isl": F.when(F.col("degraded"), 0).otherwise(1), "_cum": F.when(F.col("degraded"), 1).otherwise(0)},
-    )
-    start = r.groupBy(key, "_isl").agg(F.min(F.col("_cum") - F.col("degraded").cast("int")).alias("_c0"))
-    nth = F.col("_cum") - F.col("_c0")
-    route = (
-        F.when(~F.col("degraded"), "primary").when(nth % canary_every == 0, "canary").otherwise("fallback")
+    r = od.dealt(rows, [key], order)
+    r = r.withColumns({
+        "_kb": F.struct(F.col(key).alias("k"), F.col("_b").alias("b")), "gpu_bad": F.coalesce(F.col(gpu) < floor, F.lit(False)),
+        "_able": F.col(p50).isNotNull() & (F.col(samples) >= min_samples),
+    })
+    by_key = Window.partitionBy("_kb.k")
+    first = r.groupBy("_kb").agg(F.min(F.when(F.col("_able") & ~F.col("gpu_bad"), F.struct(*order, p50))).alias("_f"))
+    first = materialise(first.withColumn("_f", F.min("_f").over(by_key)), "baselines")
+    r = r.join(first, "_kb")
+    known = F.col("_f").isNotNull() & (F.struct(*order) >= F.struct(*[F.col(f"_f.{c}").alias(c) for c in order]))
+    r = r.withColumn("baseline", F.when(known, F.col(f"_f.{p50}")))
+    judged = F.when(F.col("_able") & (F.col("baseline") > 0), F.col(p50) < ratio * F.col("baseline"))
+    inside = Window.partitionBy("_kb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_j", judged).withColumns({"_last": F.last("_j", ignorenulls=True).over(inside), "_pos": F.count(F.lit(1)).over(inside)})
+    for name, enters in (("_well", False), ("_ill", True)):  # place of the last healthy row, for either verdict the range is entered with
+        r = r.withColumn(f"_bad{name}", F.col("gpu_bad") | F.coalesce("_last", F.lit(enters)))
+        r = r.withColumn(f"_clear{name}", F.max(F.when(~F.col(f"_bad{name}"), F.col("_pos"))).over(inside))
+    ranges = r.groupBy("_kb").agg(
+        F.max("_pos").alias("n"), F.max_by("_last", "_pos").alias("last"), F.max("_clear_well").alias("well"), F.max("_clear_ill").alias("ill"),
     )
-    return r.join(start, [key, "_isl"]).withColumn("route", route).drop("_g", "_j", "_keep", "_isl", "_cum", "_c0", "judgeable")
+    line = by_key.orderBy("_kb.b")
+    ranges = ranges.withColumn("_enters", F.coalesce(F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    ranges = ranges.withColumn("clear", F.when(F.col("_enters"), F.col("ill")).otherwise(F.col("well")))
+    ranges = ranges.withColumn("part", F.count("clear").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    tail = F.sum(F.col("n") - F.coalesce("clear", F.lit(0))).over(Window.partitionBy("_kb.k", "part").orderBy("_kb.b").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.withColumn("tail", tail).withColumn("_before", F.coalesce(F.lag("tail").over(line), F.lit(0)))
+    r = r.join(materialise(ranges.select("_kb", "_enters", "_before"), "ranges"), "_kb")
+    chosen = {x: F.when(F.col("_enters"), F.col(f"_{x}_ill")).otherwise(F.col(f"_{x}_well")) for x in ("bad", "clear")}
+    nth = F.coalesce(F.col("_pos") - chosen["clear"], F.col("_pos") + F.col("_before"))
+    r = r.withColumn("degraded", chosen["bad"])
+    route = F.when(~F.col("degraded"), "primary").when(nth % canary_every == 0, "canary").otherwise("fallback")
+    return r.withColumn("route", route).select(*rows.columns, "gpu_bad", "baseline", "degraded", "route")
 
 
 def trace_shares(rows: DataFrame, trace: list[str], stage: str, ms: str) -> DataFrame:

@@ -69,3 +69,35 @@ def test_cold_start_storm(spark):
 
 def test_no_limit_allows_everything(spark):
     assert decisions(spark, [("a", 0), ("a", 0), ("b", 1)], 0, 60) == [(True, 0, 0)] * 3
+
+
+def test_sticky_verdicts_over_ranges(spark):
+    """One key with half of all rows, long degraded stretches, against a plain loop; the plan has few exchanges."""
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(6000):
+        phase = (i // 400) % 3
+        rows.append((1 if i % 2 else rnd.randrange(2, 6), i, i, rnd.choice([None, 1.0, 0.95]) if phase else 0.4, rnd.choice([None, 10.0, 2.0 if phase == 2 else 9.0]), rnd.randrange(0, 6)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = tm.sticky_verdicts(spark.createDataFrame(rows, "u bigint, ts bigint, id bigint, gpu double, p50 double, samples int"), "u", ["ts", "id"], "gpu", "p50", "samples")
+        got = {r["id"]: (r["degraded"], r["route"], r["baseline"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    state, want = {}, {}
+    for u, _, i, gpu, p50, samples in rows:
+        base, slow, served = state.get(u, (None, False, 0))
+        spilled, able = gpu is not None and gpu < 0.9, p50 is not None and samples >= 3
+        if able and base is None and not spilled:
+            base = p50
+        if able and base:
+            slow = p50 < 0.5 * base
+        bad = spilled or slow
+        served = served + 1 if bad else 0
+        state[u] = (base, slow, served)
+        want[i] = (bad, "primary" if not bad else "canary" if served % 5 == 0 else "fallback", base)
+    assert got == want
+    assert plan.split("== Physical Plan ==")[-1].count("Exchange hashpartitioning") <= 6
