@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
+from lexmill.session import scratch
 
 Tokenizer = Callable[[Column], Column]
 
@@ -22,6 +24,80 @@ BM25_K1 = 1.5
 BM25_B = 0.75
 
 
+class Index:
+    """Postings of a collection, written once and read by every scoring function in place of the texts.
+
+    ``postings(kind, doc, dl, term, tf)`` holds both token classes from one pass over the texts, in folders by kind and sorted by term inside each file; with it
+    come (kind, term, df), the documents' lengths, and the norms of the TF-IDF vectors. Wherever a function here takes documents, it takes an index.
+    """
+
+    KINDS = {tx.words: "words", tx.code_tokens: "code"}
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str):
+        self.id_col = id_col
+        self.rows, self.terms, self.norms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "norms"))
+        sizes = spark.read.parquet(f"{path}/sizes").collect()  # a row per kind
+        self.n_docs = sizes[0]["n_docs"] if sizes else 0
+        self.avgdl = {r["kind"]: r["avgdl"] for r in sizes}
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, path: str) -> Index:
+        both = tx.once(docs, [id_col], **{kind: tokenizer(F.col("text")) for tokenizer, kind in cls.KINDS.items()})
+        lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("t")) for k in cls.KINDS.values()])
+        tokens = both.select(id_col, F.inline(lists)).select("kind", id_col, F.size("t").alias("dl"), F.explode("t").alias("term"))
+        counts = tokens.groupBy("kind", id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts.sortWithinPartitions("kind", "term").write.partitionBy("kind").parquet(f"{path}/postings")
+        rows = docs.sparkSession.read.parquet(f"{path}/postings")
+        rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+        n_docs = docs.count()
+        kinds = docs.sparkSession.createDataFrame([(k,) for k in cls.KINDS.values()], "kind string")
+        lengths = rows.groupBy("kind").agg(F.sum("tf").alias("n"))
+        kinds.join(lengths, "kind", "left").select("kind", F.lit(n_docs).alias("n_docs"), (F.coalesce("n", F.lit(0)) / F.lit(n_docs)).alias("avgdl")).write.parquet(f"{path}/sizes")
+        words = rows.where("kind = 'words'")
+        idf = docs.sparkSession.read.parquet(f"{path}/terms").where("kind = 'words'").select("term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf")).where("idf > 0")
+        norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)))
+        words.join(idf, "term").groupBy(id_col).agg(norm.alias("dn")).write.parquet(f"{path}/norms")
+        return cls(docs.sparkSession, path, id_col)
+
+    def of(self, tokenizer: Tokenizer) -> DataFrame:
+        return self.rows.where(F.col("kind") == self.KINDS[tokenizer]).select(self.id_col, "dl", "term", "tf")
+
+    def frequencies(self, tokenizer: Tokenizer) -> DataFrame:
+        return self.terms.where(F.col("kind") == self.KINDS[tokenizer]).select("term", "df")
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def indexed(docs: DataFrame, id_col: str) -> Index:
+    """The index of a collection of files: built at its first use in an application, read after that.
+
+    The same files (names, sizes, times of change) read by the same plan share an index.
+    """
+    spark = docs.sparkSession
+    files = spark.read.parquet(*docs.inputFiles()).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, id_col, docs.semanticHash(), *stamp)
+    if key in _INDEXES:
+        try:
+            return Index(spark, _INDEXES[key], id_col)
+        except AnalysisException:  # the shared folder was emptied meanwhile
+            del _INDEXES[key]
+    path = scratch(spark, "index")
+    index = Index.build(docs, id_col, path)
+    _INDEXES[key] = path
+    return index
+
+
+def _n_docs(docs: DataFrame | Index) -> Column:
+    return F.lit(docs.n_docs) if isinstance(docs, Index) else docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def _document_frequency(docs: DataFrame | Index, tokenizer: Tokenizer, post: DataFrame) -> DataFrame:
+    """(term, df) of the terms in ``post``."""
+    return docs.frequencies(tokenizer) if isinstance(docs, Index) else post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def token_rows(docs: DataFrame, id_col: str, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
     """(id, dl, term): one row per token; ``dl`` counts all tokens of the text."""
     toks = tx.once(docs, [id_col], _t=tokenizer(F.col(text)))
@@ -34,6 +110,8 @@ def postings(docs: DataFrame, id_col: str, tokenizer: Tokenizer, terms: DataFram
     Rows are hashed by the text's id alone, so that counting terms per text and, after a
     broadcast join with a query set, summing scores per (query, text) share one shuffle.
     """
+    if isinstance(docs, Index):
+        return docs.of(tokenizer) if terms is None else docs.of(tokenizer).join(terms, "term", "left_semi")
     rows = token_rows(docs, id_col, tokenizer)
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
@@ -49,6 +127,8 @@ def query_terms(queries: DataFrame, id_col: str, tokenizer: Tokenizer) -> DataFr
 
 def idf_plain(docs: DataFrame, id_col: str, tokenizer: Tokenizer = tx.words) -> DataFrame:
     """(term, df, idf) with the unsmoothed idf = ln(N / df)."""
+    if isinstance(docs, Index):
+        return docs.frequencies(tokenizer).withColumn("idf", F.log(_n_docs(docs) / F.col("df")))
     terms = docs.select(F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
@@ -75,18 +155,21 @@ def tfidf_weights(docs: DataFrame, id_col: str, tokenizer: Tokenizer = tx.words)
     )
 
 
-def tfidf_cosine(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+def tfidf_cosine(docs: DataFrame | Index, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
     """(query, doc, score): cosine of TF-IDF vectors, the query encoded with the corpus idf."""
     idf = idf_plain(docs, doc_id).select("term", "idf").where(F.col("idf") > 0)
     q = query_terms(queries, query_id, tx.words).join(idf, "term")
     q = q.select(query_id, "term", "idf", (F.col("qtf") * F.col("idf")).alias("qw"))
     qnorm = q.groupBy(query_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     all_post = postings(docs, doc_id, tx.words)
-    dnorm = (
-        all_post.join(idf, "term")
-        .groupBy(doc_id)
-        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dn"))
-    )
+    if isinstance(docs, Index):
+        dnorm = docs.norms
+    else:
+        dnorm = (
+            all_post.join(idf, "term")
+            .groupBy(doc_id)
+            .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dn"))
+        )
     dots = (
         all_post.join(q, "term")
         .groupBy(query_id, doc_id)
@@ -100,14 +183,13 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str
     )
 
 
-def tfidf_overlap(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+def tfidf_overlap(docs: DataFrame | Index, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
     """(query, doc, score): sum of tf/len*idf over the *set* of query words, not normalised."""
     q = query_terms(queries, query_id, tx.words).select(query_id, "term")
     post = postings(docs, doc_id, tx.words, q.select("term").distinct())
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = post.groupBy("term").agg(F.log(n_docs / F.count(F.lit(1))).alias("idf"))
+    idf = _document_frequency(docs, tx.words, post).select("term", F.log(_n_docs(docs) / F.col("df")).alias("idf"))
     return (
-        post.join(df, "term")
+        post.join(idf, "term")
         .join(q, "term")
         .groupBy(query_id, doc_id)
         .agg(F.sum(F.col("tf") / F.col("dl") * F.col("idf")).alias("score"))
@@ -152,9 +234,9 @@ def bm25_scores(
     """
     q = query_terms(queries, query_id, tx.code_tokens)
     post = postings(docs, doc_id, tx.code_tokens, q.select("term").distinct())
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    avgdl = bm25_corpus(docs).select("avgdl").scalar()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = _n_docs(docs)
+    avgdl = F.lit(docs.avgdl["code"]) if isinstance(docs, Index) else bm25_corpus(docs).select("avgdl").scalar()
+    df = _document_frequency(docs, tx.code_tokens, post)
     idf = df.select("term", bm25_idf(n_docs, F.col("df")).alias("idf"))
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl
     part = post.join(idf, "term").select(
@@ -169,7 +251,7 @@ def bm25_scores(
     )
 
 
-def bow_cosine(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+def bow_cosine(docs: DataFrame | Index, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
     """(query, doc, score): cosine of plain word counts."""
     q = query_terms(queries, query_id, tx.words)
     qn = q.groupBy(query_id).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))

@@ -173,9 +173,9 @@ def alert_states(
     A quiet sample opens an island; the violations after it belong to the same island, so
     its first violation and its first sample past the hold time are plain aggregates.
     """
-    src = rows.withColumn("bad", violated)
+    src = od.dealt(rows, [key], [ts, tie]).withColumn("bad", violated)
     isl = od.with_running_sums(
-        src, [key], [ts, tie], od.hour_of(ts), {"island": F.when(F.col("bad"), 0).otherwise(1)}
+        src, [key], [ts, tie], F.col("_b"), {"island": F.when(F.col("bad"), 0).otherwise(1)}
     )
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     isl = isl.withColumn("_t", t)
@@ -193,12 +193,12 @@ def alert_states(
         .when(F.struct(ts, tie) == F.col("_first"), "FIRING")
         .otherwise("FIRING_CONTINUES")
     )
-    return out.withColumn("state", state).drop("_t", "_since", "_over", "_first", "_was")
+    return out.withColumn("state", state).drop("_t", "_since", "_over", "_first", "_was", "_b")
 
 
 def cold_start_storm(rows: DataFrame, key: str, order: list[str], load: str, n: int = 10, max_cold: int = 1):
     """More than ``max_cold`` slow loads among the latest ``n`` rows, at every row."""
-    pos = od.with_position(rows, [key], order, od.hour_of(order[0]))
+    pos = od.with_position(od.dealt(rows, [key], order), [key], order, F.col("_b")).drop("_b")
     seg = od.in_segments(pos, back=n - 1)
     w = Window.partitionBy(key, "seg").orderBy("pos").rowsBetween(-(n - 1), 0)
     cold = F.sum(F.when(F.col(load) > COLD_START_S, 1).otherwise(0)).over(w)
@@ -267,14 +267,14 @@ def rate_decisions(rows: DataFrame, key: str, ts: str, tie: str, limit: int, win
     limiter: rows are cut there first, and only a burst without such a pause stays together.
     Sorted rows are streamed through the task with at most ``limit`` marks per key in memory.
     """
-    pos = od.with_position(rows, [key], [ts, tie], od.hour_of(ts))
+    pos = od.with_position(od.dealt(rows, [key], [ts, tie]), [key], [ts, tie], F.col("_b"))
     seg = od.in_segments(pos, back=1)
     w = Window.partitionBy(key, "seg").orderBy("pos")
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     seg = seg.withColumn("_t", t).withColumn("_prev", F.lag(t).over(w)).where(~F.col("ctx"))
     span = int(window_s * 1_000_000)
     cut = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= span), 1).otherwise(0)
-    burst = od.with_running_sums(seg, [key], [ts, tie], od.hour_of(ts), {"burst": cut})
+    burst = od.with_running_sums(seg, [key], [ts, tie], F.col("_b"), {"burst": cut})
     src = burst.select(key, "burst", tie, "_t")
     schema = f"{key} {dict(rows.dtypes)[key]}, {tie} {dict(rows.dtypes)[tie]}, allowed boolean, remaining int, retry_after_s int"
 

@@ -276,7 +276,7 @@ v AS (SELECT user_id, count(*) FILTER (ok) AS passed, count(*) AS total, coalesc
 l AS (SELECT user_id, part, string_agg(CASE WHEN ok THEN '[PASS] ' ELSE '[FAIL] ' END || event_id || ' -> ' || k, chr(10) ORDER BY ts, event_id) AS report FROM p GROUP BY ALL)
 SELECT user_id, passed, total, first_fail, part, report FROM v JOIN l USING (user_id)""")
 def a44(spark, sf):
-    e = od.with_position(events(spark, sf), ["user_id"], ["ts", "event_id"], od.hour_of("ts"))
+    e = od.with_position(od.dealt(events(spark, sf), ["user_id"], ["ts", "event_id"]), ["user_id"], ["ts", "event_id"], F.col("_b"))
     ok = F.col("event_type") != "error"
     line = F.concat(F.when(ok, "[PASS] ").otherwise("[FAIL] "), F.col("event_id"), F.lit(" -> "), F.col("k"))
     verdict = e.groupBy("user_id").agg(
