@@ -27,8 +27,8 @@ BM25_B = 0.75
 class Index:
     """Postings of a collection, written once and read by every scoring function in place of the texts.
 
-    ``postings(kind, doc, dl, term, tf)`` holds both token classes from one pass over the texts, in folders by kind and sorted by term inside each file; with it
-    come (kind, term, df), the documents' lengths, and the norms of the TF-IDF vectors. Wherever a function here takes documents, it takes an index.
+    ``postings(kind, doc, dl, term, tf)`` holds both token classes from one pass over the texts, in folders by kind; with it
+    come (kind, term, df), the mean lengths, and the norms of the TF-IDF vectors. Wherever a function here takes documents, it takes an index.
     """
 
     KINDS = {tx.words: "words", tx.code_tokens: "code"}
@@ -46,7 +46,7 @@ class Index:
         lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("t")) for k in cls.KINDS.values()])
         tokens = both.select(id_col, F.inline(lists)).select("kind", id_col, F.size("t").alias("dl"), F.explode("t").alias("term"))
         counts = tokens.groupBy("kind", id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        counts.sortWithinPartitions("kind", "term").write.partitionBy("kind").parquet(f"{path}/postings")
+        counts.write.partitionBy("kind").parquet(f"{path}/postings")
         rows = docs.sparkSession.read.parquet(f"{path}/postings")
         rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
         n_docs = docs.count()

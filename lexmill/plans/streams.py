@@ -9,7 +9,6 @@ from lexmill.operators import retrieval as rt
 from lexmill.plans.registry import query, table
 from lexmill.plans.telemetry import SQL_E, SQL_ROUTES
 from lexmill.session import scratch
-from lexmill.sources import sinks as sk
 from lexmill.streaming import jobs as sj
 
 BOUNDS = (1000.0, 5000.0, 10000.0)
@@ -108,7 +107,8 @@ def st7(spark, sf):
     """scan -> normalise -> chunk -> mask -> upsert by document and chunk; every copy of a text is a document of its own."""
     out, ckpt = scratch(spark, "st7"), scratch(spark, "st7-checkpoint")
     d = sj.read_stream(spark, sf, "documents.parquet", table(spark, sf, "documents").schema)
-    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.col("_metadata.file_modification_time").alias("sent"))
+    d = sj.unsent(d, ["doc_id", "digest"], "sent")
 
     def prepare(batch):
         lines = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
@@ -119,9 +119,8 @@ def st7(spark, sf):
             (masked != F.col("chunk")).alias("masked"), F.sha2(masked, 256).alias("text_digest"),
         ).withColumn("chunk_id", F.substring(F.sha2("key", 256), 1, 32))
 
-    sj.ingest(d, prepare, "key", out, ckpt).awaitTermination()
-    t = spark.read.option("basePath", out).parquet(out)
-    return sk.latest(t, "key", "load_seq").select("doc_id", "chunk_index", "chunk_id", "digest", "n_chars", "masked", "text_digest")
+    sj.ingest(d, prepare, "doc_id", out, ckpt).awaitTermination()
+    return sj.ingested(spark, out, "doc_id").select("doc_id", "chunk_index", "chunk_id", "digest", "n_chars", "masked", "text_digest")
 
 
 def document_ingest(spark, sf):
@@ -134,7 +133,10 @@ def document_ingest(spark, sf):
     t = table(spark, sf, "documents")
     one = all(f.endswith("/documents.parquet") for f in t.inputFiles()[:1])  # one file, or a folder of files
     d = sj.read_stream(spark, sf if one else f"{sf.rstrip('/')}/documents.parquet", "documents.parquet" if one else "*.parquet", t.schema)
-    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.coalesce(F.col("doc_id") % 7 != 0, F.lit(False)).alias("trusted"))
+    d = d.select(
+        "doc_id", "text", F.sha2("text", 256).alias("digest"), F.coalesce(F.col("doc_id") % 7 != 0, F.lit(False)).alias("trusted"),
+        F.col("_metadata.file_modification_time").alias("sent"))
+    d = sj.unsent(d, ["doc_id", "digest"], "sent")
 
     def prepare(batch):
         known = ["doc_id", "digest", "trusted"]
@@ -154,9 +156,8 @@ def document_ingest(spark, sf):
             hy.chunk_risk(F.col("r.risk"), F.col("doc_risk"), F.col("trusted")).alias("risk"),
             F.array_join("r.rules", ",").alias("rules"), (~F.col("trusted")).alias("quarantined"))
 
-    sj.ingest(d, prepare, "key", out, ckpt).awaitTermination()
-    t = spark.read.option("basePath", out).parquet(out)
-    return sk.latest(t, "key", "load_seq").select(
+    sj.ingest(d, prepare, "doc_id", out, ckpt).awaitTermination()
+    return sj.ingested(spark, out, "doc_id").select(
         "doc_id", "chunk_index", "chunk_id", "digest", "text", "removed", "pii", "risk", "rules", "quarantined")
 
 

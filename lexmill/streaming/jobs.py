@@ -298,14 +298,31 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str) -> Data
     return s.select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n", "total")
 
 
+def unsent(documents: DataFrame, keys: list[str], sent: str, delay: str = "30 days") -> DataFrame:
+    """The stream without rows that come again, with the same ``keys``, within ``delay`` of the time ``sent``: files delivered twice."""
+    return documents.withWatermark(sent, delay).dropDuplicatesWithinWatermark(keys).drop(sent)
+
+
 def ingest(documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str):
-    """Incremental ingest: every batch is prepared and written under its batch number; readers take
-    the last write per key, so a re-sent document replaces itself."""
+    """Incremental ingest: every batch is prepared and written under its batch number, beside the documents (``key``) that it replaces.
+
+    That list is written for documents without chunks as well, so that a text that got shorter, or empty, leaves nothing behind: a document
+    counts as of its last batch only. A replayed batch overwrites itself. Read it with :func:`ingested`.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{out}/load_seq={batch_id}")
+        prepare(batch).write.mode("overwrite").parquet(f"{out}/chunks/load_seq={batch_id}")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{out}/replaced/load_seq={batch_id}")
 
     return (
         documents.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def ingested(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The chunks of every document's last batch. Rows of one batch with the same key are versions of their own and all stay."""
+    last = spark.read.parquet(f"{out}/replaced").groupBy(key).agg(F.max("load_seq").alias("_last"))
+    chunks = spark.read.parquet(f"{out}/chunks")
+    met = chunks.join(last.withColumnRenamed(key, "_key"), chunks[key].eqNullSafe(F.col("_key")) & (F.col("load_seq") == F.col("_last")))
+    return met.drop("_key", "_last", "load_seq")

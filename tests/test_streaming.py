@@ -115,3 +115,30 @@ def test_state_of_idle_keys_is_removed(spark, tmp_path):
     q.awaitTermination()
     kept = spark.read.format("statestore").option("stateVarName", "current").load(str(tmp_path / "c"))
     assert {r["key"]["user_id"] for r in kept.select("key").collect()} <= {99}
+
+
+def test_ingest_on_change(spark, tmp_path):
+    """Later batches replace whole documents; files sent again change nothing; two rows of one id stay apart."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id bigint, text string"
+    prepared = []
+
+    def prepare(batch):
+        prepared.append(batch.count())
+        lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+        return batch.select("doc_id", "digest", F.posexplode(lines).alias("chunk_index", "text"))
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        d = sj.read_stream(spark, source, "*.parquet", spark.read.parquet(source).schema, files_per_trigger=1)
+        d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.col("_metadata.file_modification_time").alias("sent"))
+        sj.ingest(sj.unsent(d, ["doc_id", "digest"], "sent"), prepare, "doc_id", out, str(tmp_path / "c")).awaitTermination()
+        return sorted((r["doc_id"], r["chunk_index"], r["text"]) for r in sj.ingested(spark, out, "doc_id").collect())
+
+    first = [(1, "a\nb\nc"), (2, "d\ne"), (3, "f"), (4, "g\nh"), (4, "i\nj\nk"), (4, "g\nh")]
+    both = [(4, 0, "g"), (4, 0, "i"), (4, 1, "h"), (4, 1, "j"), (4, 2, "k")]
+    assert deliver(first) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d"), (2, 1, "e"), (3, 0, "f"), *both]
+    after = [(1, 0, "a"), (3, 0, "f"), *both, (5, 0, "l")]
+    assert deliver([(1, "a"), (2, ""), (5, "l")]) == after
+    assert deliver(first[2:]) == after  # all of it came before
+    assert prepared[0] == 5 and sum(prepared) == 8
