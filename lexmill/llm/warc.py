@@ -1,12 +1,12 @@
 """WARC archives in seekable Zstandard bundles.
 
-A bundle is a file of independent Zstandard frames, one WARC record each, ended by a skippable frame that holds the
+A bundle is a file of independent Zstandard frames, each a group of whole WARC records, ended by a skippable frame that holds the
 seek table: compressed and decompressed size of every frame, their number, and the format's magic number. Any
-Zstandard tool can read it from start to end; with the table, or with the index that writing returns (record id,
-bundle, frame offset), one record is read without touching the others.
+Zstandard tool can read it from start to end. Writing returns an index (record id, bundle, frame offset, offset
+in the frame), with which one record is read by opening its frame alone. A record larger than ``FRAME_BYTES`` is a frame of its own.
 
 Of the records with equal payloads of at least ``min_bytes``, that with the largest page id is the response and the
-others are revisits that name it. Payloads are compared by digest and length, in an aggregation of small
+others are revisits that name its target. Payloads are compared by digest and length, in an aggregation of small
 rows; only responses carry their payload to the writer. Each task writes one bundle after another in the shared folder,
 frame by frame, with one frame and its seek table in memory.
 
@@ -34,27 +34,23 @@ from lexmill.session import scratch
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0
 BUNDLE_BYTES = 256 << 20
+FRAME_BYTES = 1 << 18  # of records in a frame, before compression
 MIN_BYTES = 0
 READERS = 2_000  # tasks that read bundles, if there are so many
 DATE = "2000-01-01T00:00:00Z"  # the tables hold no time of capture
-INDEX = "record_id string, bundle string, frame_offset bigint, frame_bytes bigint, record_bytes bigint"
+INDEX = "record_id string, bundle string, frame_offset bigint, frame_bytes bigint, record_offset bigint, record_bytes bigint"
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{payload_digest}')}"
-
-
-def record(row) -> tuple[str, bytes]:
-    """Identifier and bytes of one WARC/1.1 record."""
+def record(row, name: str) -> bytes:
+    """Bytes of one WARC/1.1 record with the identifier ``name``."""
     page = None if pd.isna(row.page_id) else int(row.page_id)
     keeper = None if pd.isna(row.keeper) else int(row.keeper)
     response = row.record_type == "response"
     body = (row.payload or "").encode("utf-8", "surrogatepass") if response else b""
-    name = record_id(page, row.payload_digest)
     head = [
         "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: urn:page:{'' if page is None else page}", f"WARC-Payload-Digest: sha1:{row.payload_digest}",
@@ -63,37 +59,56 @@ def record(row) -> tuple[str, bytes]:
     if not response:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <{record_id(keeper, row.payload_digest)}>",
-            f"WARC-Refers-To-Target-URI: urn:page:{'' if keeper is None else keeper}",
+            f"WARC-Refers-To-Target-URI: urn:page:{'' if keeper is None else keeper}", f"WARC-Refers-To-Date: {DATE}",
         ]
     head += ["Content-Type: text/html" if response else "Content-Type: application/octet-stream", f"Content-Length: {len(body)}"]
-    return name, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+def parse(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Header fields and block of the record that begins at ``start``, and where it ends."""
+    body = data.index(b"\r\n\r\n", start) + 4
+    version, *lines = data[start : body - 4].decode().split("\r\n")
     fields = dict(line.split(": ", 1) for line in lines)
-    size = int(fields["Content-Length"])
-    if version != "WARC/1.1" or rest[size:] != b"\r\n\r\n":
+    end = body + int(fields["Content-Length"])
+    if version != "WARC/1.1" or data[end : end + 4] != b"\r\n\r\n":
         raise ValueError(f"broken record {fields.get('WARC-Record-ID')}")
-    return fields, rest[:size]
+    return fields, data[body:end], end + 4
 
 
 class Bundle:
     """A seekable file under construction."""
 
-    def __init__(self, folder: str, name: str):
-        self.name, self.file, self.frames = name, SharedFile(folder, name), []
+    def __init__(self, folder: str, name: str, frame_bytes: int = FRAME_BYTES):
+        self.name, self.file, self.frames, self.frame_bytes = name, SharedFile(folder, name), [], frame_bytes
         self.zip = zstandard.ZstdCompressor(level=3)
-
-    def add(self, data: bytes) -> tuple[int, int]:
-        frame = self.zip.compress(data)
-        self.frames.append((len(frame), len(data)))
-        return self.file.write(frame), len(frame)
+        self.held: list[bytes] = []
+        self.size = self.count = 0
+        self.waiting: list[tuple[str, int, int]] = []  # records of the open frame: name, offset in it, bytes
+        self.index: list[tuple] = []
+
+    def next_name(self) -> str:
+        """An identifier that no other record has, equal pages included."""
+        self.count += 1
+        return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.name}/{self.count}')}"
+
+    def add(self, name: str, data: bytes) -> None:
+        if self.held and self.size + len(data) > self.frame_bytes:
+            self._frame()
+        self.waiting.append((name, self.size, len(data)))
+        self.held.append(data)
+        self.size += len(data)
+
+    def _frame(self) -> None:
+        frame = self.zip.compress(b"".join(self.held))
+        self.frames.append((len(frame), self.size))
+        offset = self.file.write(frame)
+        self.index += [(name, self.name, offset, len(frame), at, size) for name, at, size in self.waiting]
+        self.held, self.size, self.waiting = [], 0, []
 
     def close(self) -> None:
+        if self.held:
+            self._frame()
         table = b"".join(struct.pack("<II", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), DESCRIPTOR, SEEKABLE)
         self.file.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
         self.file.close()
@@ -117,29 +132,28 @@ def seek_table(source) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_record(folder: str, bundle: str, offset: int, size: int) -> bytes:
+def read_record(folder: str, bundle: str, frame_offset: int, frame_bytes: int, record_offset: int, record_bytes: int) -> bytes:
     """One record, by the place that the index gives."""
     fs, root = filesystem(folder)
     with fs.open_input_file(f"{root}/{bundle}") as f:
-        f.seek(offset)
-        return zstandard.ZstdDecompressor().decompress(f.read(size))
+        f.seek(frame_offset)
+        return zstandard.ZstdDecompressor().decompress(f.read(frame_bytes))[record_offset : record_offset + record_bytes]
 
 
-def _writer(folder: str, bundle_bytes: int):
+def _writer(folder: str, bundle_bytes: int, frame_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bundle, held = None, []
+        bundle = None
 
         def finish():
             bundle.close()
-            return pd.DataFrame(held, columns=["record_id", "bundle", "frame_offset", "frame_bytes", "record_bytes"])
+            return pd.DataFrame(bundle.index, columns=["record_id", "bundle", "frame_offset", "frame_bytes", "record_offset", "record_bytes"])
 
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if bundle is None:
-                    bundle, held = Bundle(folder, f"{uuid.uuid4().hex}.warc.zst"), []
-                name, data = record(row)
-                offset, size = bundle.add(data)
-                held.append((name, bundle.name, offset, size, len(data)))
+                    bundle = Bundle(folder, f"{uuid.uuid4().hex}.warc.zst", frame_bytes)
+                name = bundle.next_name()
+                bundle.add(name, record(row, name))
                 if bundle.file.at >= bundle_bytes:
                     yield finish()
                     bundle = None
@@ -162,14 +176,16 @@ def _reader(folder: str):
                     out = []
                     for offset, packed, plain in seek_table(f):
                         f.seek(offset)
-                        fields, block = parse(unzip.decompress(f.read(packed), max_output_size=plain))
-                        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        size = int(fields["WARC-Payload-Length"])
-                        if kind == "response" and (len(block) != size or digest_of(block) != digest):
-                            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-                        refers = page(fields.get("WARC-Refers-To-Target-URI"))
-                        out.append((page(fields["WARC-Target-URI"]), size, digest, kind, refers, name, offset))
-                        if len(out) == 10_000:
+                        data, at = unzip.decompress(f.read(packed), max_output_size=plain), 0
+                        while at < len(data):
+                            fields, block, at = parse(data, at)
+                            kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                            size = int(fields["WARC-Payload-Length"])
+                            if kind == "response" and (len(block) != size or digest_of(block) != digest):
+                                raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
+                            refers = page(fields.get("WARC-Refers-To-Target-URI"))
+                            out.append((page(fields["WARC-Target-URI"]), size, digest, kind, refers, name, offset))
+                        if len(out) >= 10_000:
                             yield _rows(out)
                             out = []
                     yield _rows(out)
@@ -220,18 +236,18 @@ def plan_records(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_BYTES,
-          bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write the archives and return the index: record id, bundle, frame offset and sizes."""
+          bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """Write the archives and return the index: record id, bundle, the frame's offset and size, and the record's inside it."""
     records = plan_records(pages, id_col, payload_col, min_bytes)
     records = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "keeper")})  # whole numbers beyond 2^53 survive beside nulls
-    return written(records.mapInPandas(_writer(folder, bundle_bytes), INDEX), "warc-index")
+    return written(records.mapInPandas(_writer(folder, bundle_bytes, frame_bytes), INDEX), "warc-index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """Every record of the bundles that the index names, a task per bundle."""
     bundles = index.select("bundle").distinct()
     tasks = max(1, min(bundles.count(), READERS))  # the few names would else be merged into one task
-    return bundles.repartition(tasks, "bundle").mapInPandas(_reader(folder), READ)
+    return bundles.repartition(tasks).mapInPandas(_reader(folder), READ)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:

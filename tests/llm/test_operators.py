@@ -262,7 +262,7 @@ def test_warc(spark, none):
     ids = [1, 5, 3, big, 7, 8, None, 5]
     pages = spark.createDataFrame([(i, "u", h, "clash") for i, h in zip(ids, html)], "page_id long, url string, html string, sha string")
     folder = scratch(spark, "warc-test")
-    index = warc.write(pages, folder, bundle_bytes=1000)
+    index = warc.write(pages, folder, bundle_bytes=1000, frame_bytes=900)
     rows = warc.read(index, folder).collect()
     digest = {h or "": warc.digest_of((h or "").encode()) for h in html}
     want = Counter()
@@ -271,13 +271,28 @@ def test_warc(spark, none):
         want[i, len((h or "").encode()), digest[h or ""], "response" if i == keeper else "revisit", None if i == keeper else keeper] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == want
     one = index.where(F.col("record_bytes") > 300_000).first()
-    fields, block = warc.parse(warc.read_record(folder, one.bundle, one.frame_offset, one.frame_bytes))
+    fields, block, _ = warc.parse(warc.read_record(folder, *one[1:]))
     assert block == b"x" * 300_000 and fields["WARC-Record-ID"] == f"<{one.record_id}>"
+    every = index.collect()
+    assert len({r.record_id for r in every}) == len(every) == len(html)  # equal rows too
+    for r in every:
+        fields, _, end = warc.parse(warc.read_record(folder, *r[1:]))
+        assert fields["WARC-Record-ID"] == f"<{r.record_id}>" and end == r.record_bytes
     assert warc.round_trip(pages.limit(0)).count() == 0
     kept = warc.round_trip(pages, min_bytes=5).where("payload_bytes = 0").collect()
     assert [r.record_type for r in kept] == ["response"] * 2
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    folder = scratch(spark, "warc-test")
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.repeat(F.col("id").cast("string"), 50).alias("html")).repartition(8)
+    index = warc.write(pages, folder)
+    assert index.groupBy("bundle", "frame_offset").count().agg(F.max("count")).first()[0] > 1  # records share frames
+    n = index.select("bundle").distinct().count()
+    tasks = warc.read(index, folder).select(F.spark_partition_id().alias("p"), "bundle").distinct()
+    assert n >= 4 and tasks.select("p").distinct().count() > n / 2
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
