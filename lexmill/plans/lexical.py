@@ -182,7 +182,7 @@ sw AS (SELECT regexp_extract_all(lower(s), {W}) AS t FROM sent WHERE trim(s) <>
 pr AS (SELECT t[i] AS a, t[i + d] AS b FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM sw), (SELECT unnest([1, 2]) AS d)
        WHERE i + d <= len(t)),
 one AS (SELECT a, b, count(*) AS n FROM pr GROUP BY ALL),
-cooc AS (SELECT word, ctx, sum(n) AS n FROM (SELECT a AS word, b AS ctx, n FROM one UNION ALL SELECT b, a, n FROM one) GROUP BY ALL)
+cooc AS MATERIALIZED (SELECT word, ctx, sum(n) AS n FROM (SELECT a AS word, b AS ctx, n FROM one UNION ALL SELECT b, a, n FROM one) GROUP BY ALL)
 """
 
 
@@ -204,7 +204,7 @@ def a7(spark, sf):
 
 
 @query("a7_word_similarity", f"""WITH {SQL_SENT_WORDS},
-best AS (SELECT word, arg_min(ctx, (-n, ctx)) AS other, sqrt(sum(n * n)) AS norm FROM cooc GROUP BY word),
+best AS MATERIALIZED (SELECT word, arg_min(ctx, (-n, ctx)) AS other, sqrt(sum(n * n)) AS norm FROM cooc GROUP BY word),
 dots AS (SELECT c.word, sum(c.n * o.n) AS dot FROM cooc c JOIN best b ON c.word = b.word
          JOIN cooc o ON o.word = b.other AND o.ctx = c.ctx GROUP BY c.word)
 SELECT b.word, b.other, round(coalesce(dot, 0) / (b.norm * o.norm), 6) AS similarity
