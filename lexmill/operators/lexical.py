@@ -35,7 +35,9 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, id_col: str):
         self.id_col = id_col
-        self.rows, self.terms, self.norms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "norms"))
+        id_type = spark.read.parquet(f"{path}/ids").schema[id_col].dataType.simpleString()
+        kinds = {"postings": f"`{id_col}` {id_type}, dl int, term string, tf bigint, kind string", "terms": "kind string, term string, df bigint", "norms": f"`{id_col}` {id_type}, dn double"}
+        self.rows, self.terms, self.norms = (spark.read.schema(kinds[t]).parquet(f"{path}/{t}") for t in kinds)  # an empty collection has empty folders
         sizes = spark.read.parquet(f"{path}/sizes").collect()  # a row per kind
         self.n_docs = sizes[0]["n_docs"] if sizes else 0
         self.avgdl = {r["kind"]: r["avgdl"] for r in sizes}
@@ -47,14 +49,16 @@ class Index:
         tokens = both.select(id_col, F.inline(lists)).select("kind", id_col, F.size("t").alias("dl"), F.explode("t").alias("term"))
         counts = tokens.groupBy("kind", id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         counts.write.partitionBy("kind").parquet(f"{path}/postings")
-        rows = docs.sparkSession.read.parquet(f"{path}/postings")
+        docs.select(id_col).limit(0).coalesce(1).write.parquet(f"{path}/ids")  # the id's type
+        rows = docs.sparkSession.read.schema(counts.select(id_col, "dl", "term", "tf", "kind").schema).parquet(f"{path}/postings")
         rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
         n_docs = docs.count()
         kinds = docs.sparkSession.createDataFrame([(k,) for k in cls.KINDS.values()], "kind string")
         lengths = rows.groupBy("kind").agg(F.sum("tf").alias("n"))
-        kinds.join(lengths, "kind", "left").select("kind", F.lit(n_docs).alias("n_docs"), (F.coalesce("n", F.lit(0)) / F.lit(n_docs)).alias("avgdl")).write.parquet(f"{path}/sizes")
+        kinds.join(lengths, "kind", "left").select("kind", F.lit(n_docs).alias("n_docs"), F.coalesce(F.try_divide(F.col("n"), F.lit(n_docs)), F.lit(0.0)).alias("avgdl")).write.parquet(f"{path}/sizes")
         words = rows.where("kind = 'words'")
-        idf = docs.sparkSession.read.parquet(f"{path}/terms").where("kind = 'words'").select("term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf")).where("idf > 0")
+        terms = docs.sparkSession.read.schema("kind string, term string, df bigint").parquet(f"{path}/terms")
+        idf = terms.where("kind = 'words'").select("term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("idf")).where("idf > 0")
         norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)))
         words.join(idf, "term").groupBy(id_col).agg(norm.alias("dn")).write.parquet(f"{path}/norms")
         return cls(docs.sparkSession, path, id_col)
@@ -74,8 +78,10 @@ def indexed(docs: DataFrame, id_col: str) -> Index:
 
     The same files (names, sizes, times of change) read by the same plan share an index.
     """
-    spark = docs.sparkSession
-    files = spark.read.parquet(*docs.inputFiles()).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    spark, named = docs.sparkSession, docs.inputFiles()
+    if not named:  # not a collection of files: nothing tells when it changes
+        return Index.build(docs, id_col, scratch(spark, "index"))
+    files = spark.read.parquet(*named).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     stamp = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, id_col, docs.semanticHash(), *stamp)
     if key in _INDEXES:
