@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by range of id and lie there in ascending order. A shard is a file of blocks, each a
 stretch of the shard's ids; a document may go on in the next block. In a block, frequent pairs of neighbouring symbols are replaced
-by nonterminals, again and again: each round replaces the most frequent pairs at once, overlapping ones from left to right. The end
+by nonterminals, again and again, until no pair stands ``LEAST`` times; where two pairs share a symbol the more frequent one goes first. The end
 id never enters a pair, so documents begin and end at symbols. Rules are stored with their expansion lengths:
 summing lengths finds the symbols that hold any range of ids, and only those are expanded.
 
@@ -19,7 +19,6 @@ their texts; an empty table writes no shard; texts are encoded whole; extra colu
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,10 +37,8 @@ from lexmill.session import scratch
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-ROUNDS = 5
-RULES_PER_ROUND = 1024
-LEAST = 8  # a pair that is replaced stands so often at least
-HASH_BITS = 17
+LEAST = 8  # a pair that is replaced stands so often at least: a rule takes 12 bytes, a symbol 2 or 4
+SYMBOL_BITS, PLACE_BITS = 21, 21  # two symbols and a place are sorted as one number
 MAGIC = b"RPTK0001"
 BLOCK_ROW, DOC_ROW, FOOTER = struct.Struct("<qqqqi"), struct.Struct("<?qq"), struct.Struct("<qqi8s")
 REMEMBERED = 400_000  # pieces, and words, in each of the two generations of the stores
@@ -58,6 +55,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Unparted(Exception):
+    """A piece with a blank of another kind at its edge: the tokeniser's pattern does not cut before it."""
+
+
+class Pieces(dict):
+    """Ids of pieces, each without the blank before it; one that is not here is encoded and kept."""
+
+    def __init__(self, code: Encoder):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Unparted
+        got = self[piece] = self.code.piece(piece)
+        return got
+
+
 class Encoder:
     """Ids of texts as 32-bit little-endian bytes, with stores of pieces and words that keep two generations."""
 
@@ -68,9 +83,9 @@ class Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.byte_level = byte_letters()
         self.blank = self.byte_level[32]
-        self.runs = re.compile(r" \s|\s ")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        size = max(self.lib.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.packed = [struct.pack("<I", i) for i in range(size)]
+        self.young, self.old = Pieces(self), {}
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -86,37 +101,37 @@ class Encoder:
                     letters = self.blank + word[1:]  # ASCII letters stand for themselves
                 else:
                     letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_level)
-                got = pack_ids([t.id for t in self.model.tokenize(letters)])
+                packed = self.packed
+                got = b"".join([packed[t.id] for t in self.model.tokenize(letters)])
             self.known[word] = got
         return got
 
-    def _learn(self, piece: str) -> None:
+    def piece(self, piece: str) -> bytes:
         got = self.old.get(piece)
-        if got is None:
-            if piece.isalpha():
-                got = self._word(" " + piece)
-            elif piece[-1:] in PUNCTUATION and piece[:-1].isalpha():
-                got = self._word(" " + piece[:-1]) + self._word(piece[-1])
-            else:
-                got = self._first(" " + piece)
-        self.young[piece] = got
+        if got is not None:
+            return got
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if piece[-1] in PUNCTUATION and piece[:-1].isalpha():
+            return self._word(" " + piece[:-1]) + self._word(piece[-1])
+        return self._first(" " + piece)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
                 yield b""
-            elif self.runs.search(text):
+                continue
+            first, *rest = text.split(" ")
+            try:
+                if rest and first[-1:].isspace():
+                    raise Unparted
+                yield b"".join([self._first(first), *map(self.young.__getitem__, rest)])
+            except Unparted:
                 yield self.whole([text])[0]
-            else:
-                first, *rest = text.split(" ")
-                young = self.young
-                for p in set(rest).difference(young):  # kept without the blank before them
-                    self._learn(p)
-                yield b"".join([self._first(first), *map(young.__getitem__, rest)])
-                if len(young) > REMEMBERED:
-                    self.old, self.young = young, {}
-                if len(self.known) > REMEMBERED:
-                    self.before, self.known = self.known, {}
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, Pieces(self)
+            if len(self.known) > REMEMBERED:
+                self.before, self.known = self.known, {}
 
     def _first(self, piece: str) -> bytes:
         for s in self.special:
@@ -125,46 +140,65 @@ class Encoder:
         return b"".join([self._word(w) for w in self.words.findall(piece)])
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def re_pair(ids: np.ndarray, end_id: int, first: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols) and the symbols they leave of the ids; rule r stands for symbol ``first + r``."""
-    symbols, rules = ids.astype(np.uint32), []
-    made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
+def re_pair(ids: np.ndarray, end_id: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols) and the symbols they leave of the ids; rule r stands for symbol ``first + r``.
+
+    A round sorts the places of the pairs that may still be frequent, gives every pair its rank by occurrences that do not overlap,
+    and replaces a pair wherever it outranks the pairs that share a symbol with it; a rule is made if this happens ``LEAST`` times.
+    Pairs of old symbols only get rarer, so places of a rare pair leave for good and new ones arise beside replaced places alone.
+    The most frequent pair wins everywhere, so every round makes a rule, until no pair stands ``LEAST`` times.
+    """
+    if len(ids) > 1 << PLACE_BITS or first + len(ids) // LEAST > 1 << SYMBOL_BITS:
+        raise ValueError("block or vocabulary too large")
+    symbols, rules, made = ids.astype(np.uint32), [], 0
+    open_ = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
+    while True:
+        at = np.flatnonzero(open_)
+        if len(at) < LEAST:
             break
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        free = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
-        counts = np.bincount(bucket[free], minlength=1 << HASH_BITS)
-        bar = max(LEAST, int(np.partition(counts, -per_round)[-per_round]))
-        hot = np.flatnonzero((counts >= bar)[bucket] & free)  # no pair counts for more than its bucket
-        keys, n = np.unique(pairs[hot], return_counts=True)
-        keep = n >= LEAST
-        if keep.sum() > per_round:
-            keep &= n >= np.partition(n, -per_round)[-per_round]
-        keys = keys[keep][:per_round]
-        if not len(keys):
+        keyed = symbols[at].astype(np.uint64) << np.uint64(SYMBOL_BITS) | symbols[at + 1]
+        keyed = np.sort(keyed << np.uint64(PLACE_BITS) | at.astype(np.uint64))
+        chain = np.flatnonzero(np.diff(keyed, prepend=np.uint64(0)) != 1)  # starts of runs such as aaaa, where a pair overlaps itself
+        odd = (np.arange(len(keyed)) - np.repeat(chain, np.diff(chain, append=len(keyed)))) % 2 == 1
+        pair, place = keyed >> np.uint64(PLACE_BITS), (keyed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.diff(pair, prepend=~pair[:1]) != 0)
+        group = np.repeat(np.arange(len(head)), np.diff(head, append=len(keyed)))
+        n = np.bincount(group[~odd], minlength=len(head))
+        often = n >= LEAST
+        if not often.any():
             break
-        place = np.searchsorted(keys, pairs[hot]).clip(max=len(keys) - 1)
-        hit = keys[place] == pairs[hot]
-        at, place = hot[hit], place[hit]
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of runs of overlapping pairs: every other one is taken
-        odd = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
-        at, place = at[odd], place[odd]
-        symbols = symbols.copy()
-        symbols[at] = first + made + place
-        symbols = np.delete(symbols, at + 1)
-        rules.append(np.column_stack([(keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)]))
-        made += len(keys)
+        rank = np.zeros(len(head), np.int32)
+        rank[np.argsort(n, kind="stable")] = np.arange(1, len(head) + 1)
+        rank[~often] = 0
+        open_[place[~often[group]]] = False
+        here = np.zeros(len(symbols) + 1, np.int32)  # rank of the pair that begins one place before
+        here[place + 1] = np.where(odd, 0, rank[group])
+        wins = (here[1:-1] > here[:-2]) & (here[1:-1] > here[2:])
+        won = wins[place] & ~odd
+        uses = np.bincount(group[won], minlength=len(head))
+        ruled = uses >= LEAST
+        number = np.cumsum(ruled) - 1
+        won &= ruled[group]
+        left, new = place[won], (first + made + number[group[won]]).astype(np.uint32)
+        found = pair[head[ruled]]
+        rules.append(np.column_stack([found >> np.uint64(SYMBOL_BITS), found & np.uint64((1 << SYMBOL_BITS) - 1)]).astype(np.uint32))
+        made += len(found)
+        symbols[left] = new
+        stays = np.ones(len(symbols), bool)
+        stays[left + 1] = False
+        # pairs to both sides of a new symbol are new
+        open_ = np.append(open_, False)
+        open_[left] = True
+        open_[left[left > 0] - 1] = True
+        before = left - 2  # the symbol before may be a new one whose second half goes
+        open_[before[before >= 0]] |= ~stays[left[before >= 0] - 1]
+        symbols, open_ = symbols[stays], open_[stays][:-1]
+        open_ &= (symbols[:-1] != end_id) & (symbols[1:] != end_id)
     return np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), symbols
 
 
@@ -176,16 +210,24 @@ def lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    while True:
+def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for; every node of their trees is visited once, whatever the depth."""
+    def size(of: np.ndarray) -> np.ndarray:
+        out = np.ones(len(of), np.int64)
+        inner = of >= first
+        out[inner] = sizes[of[inner] - first]
+        return out
+
+    ends = np.cumsum(size(symbols))
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    at = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    while len(symbols):
         inner = symbols >= first
-        if not inner.any():
-            return symbols
-        out = np.repeat(symbols, 1 + inner)
-        at = (np.cumsum(1 + inner) - 1)[inner]
-        rule = rules[symbols[inner] - first]
-        out[at - 1], out[at] = rule[:, 0], rule[:, 1]
-        symbols = out
+        out[at[~inner]] = symbols[~inner]
+        rule, at = rules[symbols[inner] - first], at[inner]
+        symbols = rule.ravel()
+        at = np.column_stack([at, at + size(rule[:, 0])]).ravel()
+    return out
 
 
 class Shard:
@@ -257,7 +299,7 @@ class Reader:
             here, upto = start - self.starts[i], min(stop, self.starts[i + 1]) - self.starts[i]
             a, b = int(np.searchsorted(ends, here, "right")), int(np.searchsorted(ends, upto, "left")) + 1
             before = int(ends[a - 1]) if a else 0
-            out.append(expand(symbols[a:b], rules, self.first)[here - before : upto - before])
+            out.append(expand(symbols[a:b], rules, sizes, self.first)[here - before : upto - before])
             start, i = int(self.starts[i + 1]), i + 1
         return np.concatenate(out)
 
@@ -305,8 +347,8 @@ def _reader(folder: str):
                             if at >= base + len(held) // 4:
                                 base += len(held) // 4
                                 i += 1
-                                rules, _, symbols = reader.block(i)
-                                held = expand(symbols, rules, reader.first).astype("<u4").tobytes()
+                                rules, sizes, symbols = reader.block(i)
+                                held = expand(symbols, rules, sizes, reader.first).astype("<u4").tobytes()
                             part = held[4 * (at - base) : 4 * (at - base + left)]
                             crc = zlib.crc32(part, crc)
                             at += len(part) // 4

@@ -116,6 +116,36 @@ def test_ranges_of_a_shard(spark, docs, tmp_path, monkeypatch):
             assert (reader.ids(a, b - a) == flat[a:b]).all()
 
 
+def frequent(symbols, end_id):
+    """Occurrences of the most frequent pair, counted from left to right without overlap."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+        if end_id in pair or last.get(pair) == i - 1:
+            continue
+        counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+    return max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_re_pair_runs_to_the_end(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(2, 2 + rng.integers(1, 6), rng.integers(0, 600)).astype("<u4")
+    if seed % 4 == 0:
+        ids = np.tile(ids, 20)  # copies: deep rules
+    rules, symbols = tokenfile.re_pair(ids, 2, 50)
+    sizes = tokenfile.lengths(rules, 50)
+    assert (tokenfile.expand(symbols, rules, sizes, 50) == ids).all()
+    assert frequent(symbols, 2) < tokenfile.LEAST
+    assert not len(rules) or 2 not in tokenfile.expand(np.arange(50, 50 + len(rules)), rules, sizes, 50)
+
+
+@pytest.mark.parametrize("text", [" ", "  ", "a  b", "a \nb", "a\n b", " a", "a ", "\t", "a\t", "<|endoftext|> a", "a <|endoftext|>b c", "é, ï. z", "日本 語。 x", "don't we'll  x", "x\u00a0 y", "a \u2003b"])
+def test_encoder_at_blanks(text):
+    code = tokenfile.encoder(BYTES)
+    want = code.whole([text])
+    assert list(code.encode([text])) == want and list(code.encode(["x " + text + " x"])) == code.whole(["x " + text + " x"])
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 
