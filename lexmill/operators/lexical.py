@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.session import scratch
+from lexmill.session import materialise, scratch
 
 Tokenizer = Callable[[Column], Column]
 
@@ -327,38 +327,60 @@ def temperature_softmax(counts: DataFrame, prefix: list[str], t: float) -> DataF
     return e.join(total, prefix).withColumn("p", F.col("_e") / F.col("_s")).drop("_mx", "_e", "_s")
 
 
+def rarest_meetings(asked: DataFrame, anchors: DataFrame, by: list[str], owner: str) -> DataFrame:
+    """(by, owner): owners that hold the rarest of a row's anchors; rows with an anchor that nobody holds meet nobody.
+
+    ``asked(by, _a)``, ``anchors(owner, _a)``, both distinct. Only asked anchors travel; they are written once, counted, and joined.
+    """
+    held = materialise(anchors.join(asked.select("_a").distinct(), "_a", "left_semi"), "anchors")
+    counts = held.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
+    known = asked.join(counts, "_a", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = known.groupBy(*by).agg(F.min(F.struct("_n", "_a")).alias("_r")).where(F.col("_r._n") > 0)
+    return rarest.select(*by, F.col("_r._a").alias("_a")).join(held, "_a").select(*by, owner)
+
+
 def contained_in(docs: DataFrame, passages: DataFrame, doc_id: str, passage_id: str) -> DataFrame:
     """(passage, doc) for every passage that occurs verbatim in a document.
 
-    Containment is no equality, so an anchor makes it one: the words strictly inside a
-    contained passage are whole words of the document too. Passages with at least six such
-    words meet documents on a hash of the first six; shorter ones on their first two
-    characters. Every meeting is then verified, so the result is exact.
+    Containment is no equality, so an anchor makes it one. The words strictly inside a contained passage are whole words of the
+    document too: a passage with at least six of them meets documents on its rarest run of six, one with fewer on its rarest word.
+    Without such words, its longest word is a part of a word of the document: the vocabulary's words that hold its rarest
+    three letters are compared, then documents with a word that does. A passage without any word meets documents on its rarest
+    character. Every meeting is then verified, so the result is exact.
     """
-    p = passages.select(F.col(passage_id), F.col("text").alias("_p")).where(F.length("_p") > 0)
-    p = p.withColumn("_in", F.regexp_extract_all(F.col("_p"), F.lit(f"({tx.WORD})"), F.lit(1)))
-    long = p.where(F.size("_in") >= 8).select(
-        passage_id, "_p", F.xxhash64(F.slice("_in", 2, 6)).alias("_a")
-    )
-    short = p.where(F.size("_in") < 8).select(
-        passage_id, "_p", F.xxhash64(F.substring("_p", 1, 2)).alias("_a")
-    )
-    split = tx.once(docs, [doc_id], t=F.regexp_extract_all(F.col("text"), F.lit(f"({tx.WORD})"), F.lit(1)))
-    grams = F.transform(tx.ngrams("t", 6), lambda g: F.xxhash64(F.array(*[g[f"g{k}"] for k in range(6)])))
-    by_words = split.select(doc_id, F.explode(F.array_distinct(grams)).alias("_a"))
-    chars = tx.once(docs, [doc_id], t=F.split("text", ""))
-    twos = F.transform(tx.ngrams("t", 2), lambda g: F.xxhash64(F.concat(g["g0"], g["g1"])))
-    ones = F.transform("t", lambda c: F.xxhash64(c))
-    by_chars = chars.select(doc_id, F.explode(F.array_distinct(F.concat(twos, ones))).alias("_a"))
+    p = passages.select(passage_id, F.col("text").alias("_p"), F.xxhash64("text").alias("_h")).where(F.length("_p") > 0).distinct()
+    by = [passage_id, "_h"]
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(f"({tx.WORD})"), F.lit(1))
+    sixes = F.transform(tx.ngrams("t", 6), lambda g: F.xxhash64(F.array(*[g[f"g{k}"] for k in range(6)])))
+    hashes = F.transform("t", lambda w: F.xxhash64(w))
+    cut = tx.once(p, [*by, "_p"], w=words("_p"))
+    inner = cut.select(*by, F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))).alias("t")).where(F.size("t") > 0)
+    asked = inner.select(*by, F.explode(F.array_distinct(F.when(F.size("t") >= 6, sixes).otherwise(hashes))).alias("_a"))
+    split = tx.once(docs.select(doc_id, "text"), [doc_id], t=words("text"))
+    met = rarest_meetings(asked, split.select(doc_id, F.explode(F.array_distinct(F.concat(sixes, hashes))).alias("_a")), by, doc_id)
+
+    short = cut.where(F.size("w") < 3)
+    if not short.isEmpty():
+        plain = lambda c: F.transform(c, lambda g: F.array_join(F.array(g["g0"], g["g1"], g["g2"]), ""))
+        # letters in runs of three, two and one: a word of one or two letters is a run itself
+        runs = F.array_distinct(F.concat(
+            plain(tx.ngrams("t", 3)), F.transform(tx.ngrams("t", 2), lambda g: F.concat(g["g0"], g["g1"])), F.col("t")))
+        part = F.element_at(F.array_sort("w", lambda a, b: F.length(b) - F.length(a)), 1)
+        edges = short.where(F.size("w") > 0).select(*by, part.alias("_e"))
+        letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+        in_edges = tx.once(edges, [*by, "_e"], t=letters("_e")).select(
+            *by, F.explode(F.filter(runs, lambda r: F.length(r) == F.least(F.length("_e"), F.lit(3)))).alias("_a"))
+        postings = split.select(doc_id, F.explode(F.array_distinct("t")).alias("_w"))
+        vocabulary = tx.once(postings.select("_w").distinct(), ["_w"], t=letters("_w")).select("_w", F.explode(runs).alias("_a"))
+        holds = rarest_meetings(in_edges, vocabulary, by, "_w").join(edges, by).where(F.contains("_w", "_e"))
+        met = met.unionByName(holds.select(*by, "_w").join(postings, "_w").select(*by, doc_id))
+        others = lambda c: F.array_distinct(letters(F.regexp_replace(c, tx.WORD, "")))
+        signs = short.where(F.size("w") == 0).select(*by, F.explode(others("_p")).alias("_a"))
+        met = met.unionByName(rarest_meetings(signs, docs.select(doc_id, F.explode(others("text")).alias("_a")), by, doc_id))
+
     # only ids travel with the anchors; the texts join the few pairs that met
-    met = (
-        by_words.join(long.select(passage_id, "_a"), "_a")
-        .unionByName(by_chars.join(short.select(passage_id, "_a"), "_a"))
-        .select(passage_id, doc_id)
-        .distinct()
-    )
-    texts = met.join(p.select(passage_id, "_p"), passage_id).join(docs.select(doc_id, "text"), doc_id)
-    return texts.where(F.contains("text", "_p")).select(passage_id, doc_id)
+    texts = met.distinct().join(p, by).join(docs.select(doc_id, "text"), doc_id)
+    return texts.where(F.contains("text", "_p")).select(passage_id, doc_id).distinct()
 
 
 def top_k(scores: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:

@@ -1,6 +1,7 @@
 """Fusion arithmetic, access invariants, exact matching and both vector paths."""
 
 import json
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -47,6 +48,29 @@ def test_containment_is_exact_for_short_and_long_passages(spark):
     assert got == {(i, j) for i, x in enumerate(passages) for j, t in enumerate(texts) if x in t}
 
 
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(7)
+    open_with = "all rights reserved by the authors of this text and "  # an opening that every document shares
+    words = ["ab", "abc", "bca", "é", "x1", "_", "日本", "the"]
+    texts = [open_with + "".join(rng.choice(words) + rng.choice([" ", ", ", " - ", "\n", "😀", ""]) for _ in range(30)) for _ in range(40)] + ["", None, "--", "a"]
+    passages = [None, "", " ", "-", "😀", "\n", "--", "zz", "z z", open_with, open_with + "ab"]
+    for _ in range(120):
+        t = rng.choice(texts[:40])
+        a = rng.randrange(len(t))
+        passages.append(t[a : a + rng.choice([1, 2, 3, 5, 9, 20, 60, 90])])
+    rows = [(i // 2, t) for i, t in enumerate(passages)]  # two passages to an id
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.item_id, r.doc_id) for r in lx.contained_in(d, spark.createDataFrame(rows, "item_id int, text string"), "doc_id", "item_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, x in rows for j, t in enumerate(texts) if x and t and x in t}
+
+
+def test_common_anchors_meet_nobody(spark):
+    """A passage with a shared opening meets the documents that hold its rarest run, not all that share the opening."""
+    asked = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 9)], "item_id int, _a long")
+    held = spark.createDataFrame([(d, 7) for d in range(50)] + [(3, 8)], "doc_id int, _a long")
+    assert [(r.item_id, r.doc_id) for r in lx.rarest_meetings(asked, held, ["item_id"], "doc_id").collect()] == [(1, 3)]
+
+
 def test_both_vector_paths_agree_with_numpy(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8))
