@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.session import materialise, scratch
+from lexmill.session import materialise, scratch, version
 
 Tokenizer = Callable[[Column], Column]
 
@@ -78,12 +78,10 @@ def indexed(docs: DataFrame, id_col: str) -> Index:
 
     The same files (names, sizes, times of change) read by the same plan share an index.
     """
-    spark, named = docs.sparkSession, docs.inputFiles()
-    if not named:  # not a collection of files: nothing tells when it changes
+    spark, files = docs.sparkSession, version(docs)
+    if files is None:
         return Index.build(docs, id_col, scratch(spark, "index"))
-    files = spark.read.parquet(*named).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    stamp = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
-    key = (spark.sparkContext.applicationId, id_col, docs.semanticHash(), *stamp)
+    key = (id_col, *files)
     if key in _INDEXES:
         try:
             return Index(spark, _INDEXES[key], id_col)

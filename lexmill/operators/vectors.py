@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import scratch, version
+
 BLOCK = 4096
 
 
@@ -138,6 +141,59 @@ def kmeans_cells(vectors: DataFrame, k: int, iters: int = 5) -> tuple[np.ndarray
     return cent, used
 
 
+class Cells:
+    """Vectors stored by cell, with the centroids: fitted and written once, after that a search reads the files of the cells it probes.
+
+    ``centroids``: those after the last round; ``fitted_with``: those the stored assignment was made with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        rows = sorted(spark.read.schema("cell int, vec array<double>, before array<double>").parquet(f"{path}/centroids").collect(), key=lambda r: r["cell"])  # k rows
+        self.centroids = np.array([r["vec"] for r in rows], dtype="float64")
+        self.fitted_with = np.array([r["before"] for r in rows], dtype="float64")
+        self.vectors = spark.read.schema("id long, vec array<float>, cell int").parquet(f"{path}/vectors")
+
+    @classmethod
+    def build(cls, vectors: DataFrame, k: int, iters: int, path: str) -> Cells:
+        spark = vectors.sparkSession
+        cent, used = kmeans_cells(vectors, k, iters)
+        # a cell may hold a third of all vectors: rebalancing cuts it into files of even size
+        assign_cells(vectors, used).hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+        rows = [(i, c.tolist(), u.tolist()) for i, (c, u) in enumerate(zip(cent, used))]
+        spark.createDataFrame(rows, "cell int, vec array<double>, before array<double>").write.parquet(f"{path}/centroids")
+        return cls(spark, path)
+
+    def probed_by(self, queries: DataFrame) -> DataFrame:
+        """The vectors in any of the cells that the queries' ``allowed`` name; the other cells' files are not read."""
+        wanted = queries.select(F.explode("allowed").alias("cell")).distinct().collect()  # k rows at most
+        return self.vectors.where(F.col("cell").isin(sorted(r["cell"] for r in wanted)))
+
+    def sizes(self) -> DataFrame:
+        """(cell, n), empty cells included."""
+        n = self.vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        every = self.vectors.sparkSession.range(len(self.centroids)).select(F.col("id").cast("int").alias("cell"))
+        return every.join(n, "cell", "left").fillna(0, ["n"])
+
+
+_CELLS: dict[tuple, str] = {}
+
+
+def stored_cells(vectors: DataFrame, k: int, iters: int = 5) -> Cells:
+    """The cells of a table of vectors, fitted at its first use in an application and read after that while its files stay the same."""
+    spark, files = vectors.sparkSession, version(vectors)
+    key = None if files is None else (k, iters, *files)
+    if key in _CELLS:
+        try:
+            return Cells(spark, _CELLS[key])
+        except AnalysisException:  # the shared folder was emptied meanwhile
+            del _CELLS[key]
+    path = scratch(spark, "cells")
+    cells = Cells.build(vectors, k, iters, path)
+    if key is not None:
+        _CELLS[key] = path
+    return cells
+
+
 def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     """Adds ``allowed``: the nprobe nearest cells of every query, nearest first."""
     mat = centroids.T.copy()

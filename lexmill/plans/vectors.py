@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import vectors as vx
 from lexmill.plans.registry import query, table
+from lexmill.session import materialise
 
 CELLS = 16
 NPROBES = (1, 2, 4, 8, 16)
@@ -93,7 +94,7 @@ SQL_K = f"{SQL_V}, {kmeans_sql()}"
 
 @query("a39_kmeans_cells", f"WITH {SQL_K} SELECT cell, count(*) OVER () AS n_cells, round(v[1], 6) AS first_dim, round(v[-1], 6) AS last_dim, round(list_sum(v), 6) AS total FROM c5")
 def a39(spark, sf):
-    cent, _ = vx.kmeans_cells(vecs(spark, sf), CELLS)
+    cent = vx.stored_cells(vecs(spark, sf), CELLS).centroids
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(cent)]
     c = spark.createDataFrame(rows, "cell int, v array<double>")
     return c.select(
@@ -103,10 +104,7 @@ def a39(spark, sf):
 
 @query("a40_cell_sizes", f"WITH {SQL_K} SELECT c5.cell, count(a4.id) AS n FROM c5 LEFT JOIN a4 ON a4.cell = c5.cell GROUP BY 1")
 def a40(spark, sf):
-    v = vecs(spark, sf)
-    cent, used = vx.kmeans_cells(v, CELLS)
-    n = vx.assign_cells(v, used).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(len(cent)).select(F.col("id").cast("int").alias("cell")).join(n, "cell", "left").fillna(0, ["n"])
+    return vx.stored_cells(vecs(spark, sf), CELLS).sizes()
 
 
 SQL_IVF = f"""{SQL_K}, np AS (SELECT unnest({list(NPROBES)}) AS nprobe),
@@ -118,9 +116,9 @@ iv AS (SELECT * FROM (SELECT nprobe, s.query_id, s.id, s.score, row_number() OVE
 def ivf(spark, sf, nprobes):
     """All settings in one pass: a query is repeated per nprobe with a prefix of its cells."""
     v = vecs(spark, sf)
-    cent, used = vx.kmeans_cells(v, CELLS)
-    stored = vx.assign_cells(v, used)
-    q = vx.probes(label_queries(v), cent, max(nprobes))
+    cells = vx.stored_cells(v, CELLS)
+    q = materialise(vx.probes(label_queries(v), cells.centroids, max(nprobes)), "probes")
+    stored = cells.probed_by(q)
     q = q.withColumn("nprobe", F.explode(F.array(*map(F.lit, nprobes))))
     q = q.select("query_id", "nprobe", "vec", F.slice("allowed", 1, F.col("nprobe")).alias("allowed"))
     return v, vx.nearest(stored, q, 10, tag="cell", keys=("nprobe", "query_id"))

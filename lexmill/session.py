@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DEFAULT: dict[str, str] = {}
 
@@ -56,6 +57,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def version(df: DataFrame) -> tuple | None:
+    """What a table read from files is, as a key: application, plan, and the names, sizes and times of its files; None without files."""
+    spark, named = df.sparkSession, df.inputFiles()
+    if not named:  # nothing tells when it changes
+        return None
+    files = spark.read.parquet(*named).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, df.semanticHash(), *stamp)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when a table has fewer input splits than there are cores.
 

@@ -136,3 +136,38 @@ def test_schema_check_reasons(spark):
              (json.dumps({**good, "priority": "urgent"}), "priority"), (json.dumps({**good, "facts": []}), "facts"), (json.dumps({**good, "summary": "ab"}), "summary")]
     df = spark.createDataFrame(cases, "raw string, want string").select("want", tr.parse_triage(F.col("raw")).alias("p"))
     assert all(r.want == r.p.reason for r in df.collect())
+
+
+def vector_table(spark, folder, n=400, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 6)) + 4 * np.eye(6)[rng.integers(0, 6, n)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<float>").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_cells_are_fitted_once_and_read_by_probe(spark, tmp_path, monkeypatch):
+    v = vector_table(spark, f"{tmp_path}/v")
+    cells = vx.stored_cells(v, 6)
+    monkeypatch.setattr(vx, "kmeans_cells", None)  # a second fit would fail
+    again = vx.stored_cells(spark.read.parquet(f"{tmp_path}/v"), 6)
+    assert np.array_equal(cells.centroids, again.centroids)
+    placed = {(r.id, r.cell) for r in vx.assign_cells(v, cells.fitted_with).collect()}
+    assert placed == {(r.id, r.cell) for r in again.vectors.collect()} and len(placed) == 400
+    assert sum(r.n for r in again.sizes().collect()) == 400 and again.sizes().count() == 6
+
+    def read(nprobe):
+        q = vx.probes(v.where("id = 1").select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")), cells.centroids, nprobe)
+        found = again.probed_by(q)
+        assert "PartitionFilters: [isnotnull(cell" in found._jdf.queryExecution().toString() or nprobe == 6 or "PartitionFilters: [cell" in found._jdf.queryExecution().toString()
+        return found.select("_metadata.file_path").distinct().count()
+
+    assert read(1) < read(3) < read(6)
+
+
+def test_cells_follow_the_files_and_stand_empty_tables(spark, tmp_path):
+    first = vx.stored_cells(vector_table(spark, f"{tmp_path}/v"), 4).centroids
+    other = vx.stored_cells(vector_table(spark, f"{tmp_path}/v", seed=9), 4).centroids
+    assert not np.array_equal(first, other)
+    empty = vx.stored_cells(vector_table(spark, f"{tmp_path}/e").where("id < 0"), 4)
+    assert empty.vectors.count() == 0 and empty.sizes().count() == 0
