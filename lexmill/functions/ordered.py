@@ -122,7 +122,7 @@ def rank_values(
     ``ranks`` maps an output name to a 1-based rank, a column over ``n`` (row count of
     the key). Equal values are merged into counts first; a mergeable quantile sketch gives
     ``splits`` cut points per key; bucket totals locate the bucket that holds each wanted
-    rank, and only that bucket is ordered.
+    rank, and only that bucket is ordered, in ranges that no hot key or bucket can fill.
     """
     keys = list(keys)
     src = df.where(F.col(value).isNotNull())
@@ -162,14 +162,10 @@ def rank_values(
     ).select(*keys, "_b", "n", "_lo", "_hi", "_w.q", "_w.r")
     wanted = wanted.where((F.col("r") > F.col("_lo")) & (F.col("r") <= F.col("_hi")))
     rows = cut.select(*keys, "_b", F.col(value).alias("_val"), "_c").join(wanted, [*keys, "_b"])
-    within = (
-        Window.partitionBy(*keys, "q", "_b")
-        .orderBy("_val")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = rows.withColumn("_cum", F.col("_lo") + F.sum("_c").over(within)).where(
-        F.col("_cum") >= F.col("r")
-    )
+    # a located bucket may still hold many values: it is ordered in ranges, so no task sorts it whole
+    ranged = dealt(rows.drop("_b"), [*keys, "q"], ["_val"], "_range")
+    rows = with_running_sums(ranged, [*keys, "q"], ["_val"], F.col("_range"), {"_inside": F.col("_c")})
+    rows = rows.where(F.col("_lo") + F.col("_inside") >= F.col("r"))
     out = rows.groupBy(*keys, "q").agg(F.min("_val").alias("v"), F.first("n").alias("n"))
     return out.groupBy(*keys).agg(
         F.first("n").alias("n"),

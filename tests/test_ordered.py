@@ -44,3 +44,27 @@ def test_order_statistics_are_exact(skewed, keys):
         row = got[got.k == key].iloc[0] if keys else got.iloc[0]
         pick = lambda q: s[min(int(len(s) * q), len(s) - 1)]
         assert (row.p50, row.p99, row.lo, row.n) == (pick(0.5), pick(0.99), s[0], len(s))
+
+
+def test_located_buckets_are_ordered_in_ranges(spark, monkeypatch):
+    """One key holds most rows and its values are nearly unique: no window sees a whole bucket, and the ranks are exact."""
+    rng = np.random.default_rng(11)
+    values = rng.permutation(60_000).astype(float)
+    values[:6_000] = 17.0
+    rows = pd.DataFrame({"k": np.where(np.arange(60_000) < 50_000, "hot", "cold"), "v": values})
+    seen, plain = [], od.dealt
+    monkeypatch.setattr(od, "dealt", lambda *a, **kw: seen.append(plain(*a, **kw)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = {"p50": od.nearest_rank(0.5), "p99": od.nearest_rank(0.99)}
+        got = {r.k: (r.n, r.p50, r.p99) for r in od.rank_values(spark.createDataFrame(rows), ["k"], "v", ranks, splits=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k, part in rows.groupby("k"):
+        v = np.sort(part["v"].to_numpy())
+        want[k] = (len(v), *(v[min(int(len(v) * q), len(v) - 1)] for q in (0.5, 0.99)))
+    assert got == want
+    buckets = seen[0].groupBy("k", "q").count().agg({"count": "max"}).first()[0]
+    windows = seen[0].groupBy("k", "q", "_range").count().agg({"count": "max"}).first()[0]
+    assert buckets > 10_000 and windows < buckets / 2
