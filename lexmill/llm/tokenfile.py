@@ -163,28 +163,35 @@ def re_pair(ids: np.ndarray, end_id: int, first: int) -> tuple[np.ndarray, np.nd
             break
         keyed = symbols[at].astype(np.uint64) << np.uint64(SYMBOL_BITS) | symbols[at + 1]
         keyed = np.sort(keyed << np.uint64(PLACE_BITS) | at.astype(np.uint64))
-        chain = np.flatnonzero(np.diff(keyed, prepend=np.uint64(0)) != 1)  # starts of runs such as aaaa, where a pair overlaps itself
-        odd = (np.arange(len(keyed)) - np.repeat(chain, np.diff(chain, append=len(keyed)))) % 2 == 1
-        pair, place = keyed >> np.uint64(PLACE_BITS), (keyed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        head = np.flatnonzero(np.diff(pair, prepend=~pair[:1]) != 0)
-        group = np.repeat(np.arange(len(head)), np.diff(head, append=len(keyed)))
-        n = np.bincount(group[~odd], minlength=len(head))
+        # a pair one place after the same pair overlaps it, as in aaaa: every other one of such a run is passed over
+        chain = np.flatnonzero(keyed[1:] - keyed[:-1] == 1) + 1
+        begin = np.flatnonzero(np.diff(chain, prepend=-1) != 1)
+        passed = chain[(np.arange(len(chain)) - np.repeat(begin, np.diff(begin, append=len(chain)))) % 2 == 0]
+        pair, place = keyed >> np.uint64(PLACE_BITS), (keyed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+        edge = np.empty(len(pair), bool)
+        edge[0] = True
+        np.not_equal(pair[1:], pair[:-1], out=edge[1:])
+        head = np.flatnonzero(edge)
+        size = np.diff(head, append=len(pair)).astype(np.int32)
+        n = size - np.bincount(np.searchsorted(head, passed, "right") - 1, minlength=len(head)).astype(np.int32)
         often = n >= LEAST
         if not often.any():
             break
         rank = np.zeros(len(head), np.int32)
-        rank[np.argsort(n, kind="stable")] = np.arange(1, len(head) + 1)
-        rank[~often] = 0
-        open_[place[~often[group]]] = False
+        some = np.flatnonzero(often)
+        rank[some[np.argsort(n[some], kind="stable")]] = np.arange(1, len(some) + 1)
+        ranked = np.repeat(rank, size)
+        open_[place[ranked == 0]] = False
+        ranked[passed] = 0
         here = np.zeros(len(symbols) + 1, np.int32)  # rank of the pair that begins one place before
-        here[place + 1] = np.where(odd, 0, rank[group])
-        wins = (here[1:-1] > here[:-2]) & (here[1:-1] > here[2:])
-        won = wins[place] & ~odd
-        uses = np.bincount(group[won], minlength=len(head))
+        here[place + 1] = ranked
+        won = ((here[1:-1] > here[:-2]) & (here[1:-1] > here[2:]))[place]
+        won[passed] = False
+        uses = np.add.reduceat(won, head, dtype=np.int32)
         ruled = uses >= LEAST
-        number = np.cumsum(ruled) - 1
-        won &= ruled[group]
-        left, new = place[won], (first + made + number[group[won]]).astype(np.uint32)
+        won &= np.repeat(ruled, size)
+        left = place[won]
+        new = np.repeat(np.arange(ruled.sum(), dtype=np.uint32) + np.uint32(first + made), uses[ruled])
         found = pair[head[ruled]]
         rules.append(np.column_stack([found >> np.uint64(SYMBOL_BITS), found & np.uint64((1 << SYMBOL_BITS) - 1)]).astype(np.uint32))
         made += len(found)
