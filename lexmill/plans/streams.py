@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import hygiene as hy
 from lexmill.operators import retrieval as rt
-from lexmill.plans.registry import query, table
+from lexmill.plans.registry import query
 from lexmill.plans.telemetry import SQL_E, SQL_ROUTES
 from lexmill.session import scratch
 from lexmill.streaming import jobs as sj
@@ -14,9 +14,15 @@ from lexmill.streaming import jobs as sj
 BOUNDS = (1000.0, 5000.0, 10000.0)
 
 
+def stream_of(spark, sf, name):
+    """The stream of a table, kept as one file or as a folder of files."""
+    t = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    one = all(f.endswith(f"/{name}.parquet") for f in t.inputFiles()[:1])
+    return sj.read_stream(spark, sf if one else f"{sf.rstrip('/')}/{name}.parquet", f"{name}.parquet" if one else "*.parquet", t.schema)
+
+
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    e = sj.read_stream(spark, sf, "events.parquet", schema)
+    e = stream_of(spark, sf, "events")
     ts = F.col("ts").cast("timestamp")
     return e.select(
         "event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), "user_id", "event_type", "value", (F.col("value") * 100).alias("ms"),
@@ -106,8 +112,7 @@ SELECT doc_id, chunk_index::INT AS chunk_index, substr(sha256(doc_id || ':' || c
 def st7(spark, sf):
     """scan -> normalise -> chunk -> mask -> upsert by document and chunk; every copy of a text is a document of its own."""
     out, ckpt = scratch(spark, "st7"), scratch(spark, "st7-checkpoint")
-    d = sj.read_stream(spark, sf, "documents.parquet", table(spark, sf, "documents").schema)
-    d = d.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.col("_metadata.file_modification_time").alias("sent"))
+    d = stream_of(spark, sf, "documents").select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.col("_metadata.file_modification_time").alias("sent"))
     d = sj.unsent(d, ["doc_id", "digest"], "sent")
 
     def prepare(batch):
@@ -130,10 +135,7 @@ def document_ingest(spark, sf):
     untrusted source; its chunks inherit the document's risk and are marked for quarantine, not dropped.
     """
     out, ckpt = scratch(spark, "st7-documents"), scratch(spark, "st7-documents-checkpoint")
-    t = table(spark, sf, "documents")
-    one = all(f.endswith("/documents.parquet") for f in t.inputFiles()[:1])  # one file, or a folder of files
-    d = sj.read_stream(spark, sf if one else f"{sf.rstrip('/')}/documents.parquet", "documents.parquet" if one else "*.parquet", t.schema)
-    d = d.select(
+    d = stream_of(spark, sf, "documents").select(
         "doc_id", "text", F.sha2("text", 256).alias("digest"), F.coalesce(F.col("doc_id") % 7 != 0, F.lit(False)).alias("trusted"),
         F.col("_metadata.file_modification_time").alias("sent"))
     d = sj.unsent(d, ["doc_id", "digest"], "sent")

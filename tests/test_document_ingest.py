@@ -60,3 +60,16 @@ def test_registered():
     import __spark_entry__
 
     assert "st7_document_ingest" in __spark_entry__.queries()
+
+
+def test_incremental_ingest_reads_a_folder_of_files(spark, tmp_path):
+    rows = [(1, "one\n\n two  a@b.org"), (2, None), (3, "three"), (4, "four\nfive")]
+    (tmp_path / "documents.parquet").mkdir()
+    for k in (0, 2):
+        ids, texts = zip(*rows[k : k + 2], strict=True)
+        pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet" / f"part-{k}.parquet")
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["st7_incremental_ingest"](spark, str(tmp_path))
+    lines = {(1, 0): "one", (1, 1): "two [EMAIL]", (3, 0): "three", (4, 0): "four", (4, 1): "five"}
+    assert {(r.doc_id, r.chunk_index): r.text_digest for r in got.collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in lines.items()}
