@@ -88,7 +88,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY round(sco
 SELECT item_id, lang, doc_id, rank FROM r WHERE rank <= 5""")
 def p7(spark, sf):
     d, q = docs_items(spark, sf)
-    s = lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    s = lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=5, within=langs).join(langs, "doc_id")
     return rt.top_k_within(s, ["item_id", "lang"], "doc_id", 5).select("item_id", "lang", "doc_id", "rank")
 
 
@@ -136,7 +137,7 @@ ar AS (SELECT * FROM (SELECT role, item_id, s.doc_id, row_number() OVER (PARTITI
 def acl_run(spark, sf, k=3):
     d, q = docs_items(spark, sf)
     seen = ac.visible(acl_docs(spark, sf), ac.principals(spark), ac.pre_filter()).select("role", "doc_id")
-    scores = lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id").where(F.col("score") > 0)
+    scores = lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=k, within=seen).where(F.col("score") > 0)
     run = rt.top_k_within(scores.join(seen, "doc_id"), ["role", "item_id"], "doc_id", k)
     return run, seen, lx.contained_in(d, q, "doc_id", "item_id")
 

@@ -9,11 +9,12 @@ from lexmill.operators import lexical as lx
 from lexmill.operators import retrieval as rt
 from lexmill.plans.lexical import C, SQL_BM25, SQL_DENSE_RUN, SQL_GOLD, docs_items, ranked
 from lexmill.plans.registry import query, table
+from lexmill.session import materialise
 
 
 def two_runs(d, q, k=rt.CANDIDATES_K):
-    dense = rt.as_run(lx.tfidf_cosine(lx.indexed(d, "doc_id"), q, "doc_id", "item_id"), "dense0", "item_id", "doc_id", k)
-    return dense.unionByName(rt.as_run(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id"), "bm25", "item_id", "doc_id", k))
+    dense = rt.as_run(lx.tfidf_cosine(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=k), "dense0", "item_id", "doc_id", k)
+    return dense.unionByName(rt.as_run(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=k), "bm25", "item_id", "doc_id", k))
 
 
 SQL_RUNS = f"""{SQL_DENSE_RUN}, {SQL_BM25},
@@ -68,7 +69,7 @@ def p10(spark, sf):
 SELECT item_id, run.doc_id, rank, lang, source, n_chars, substr(sha256(text), 1, 12) AS checksum FROM run JOIN documents d ON d.doc_id = run.doc_id""")
 def j4(spark, sf):
     d, q = docs_items(spark, sf)
-    run = lx.top_k(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id"), "item_id", "doc_id", 10)
+    run = lx.top_k(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=10), "item_id", "doc_id", 10)
     meta = table(spark, sf, "documents")
     return run.join(meta, "doc_id").select(
         "item_id", "doc_id", "rank", "lang", "source", "n_chars", F.substring(F.sha2("text", 256), 1, 12).alias("checksum"))
@@ -80,8 +81,8 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN rr
 
 
 def funnel(d, q, top_n=rt.FINAL_K):
-    cand = fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K)
-    second = lx.tfidf_overlap(lx.indexed(d, "doc_id"), q, "doc_id", "item_id").select("item_id", "doc_id", F.round("score", 9).alias("rr"))
+    cand = materialise(fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K), "candidates")
+    second = lx.tfidf_overlap(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", pairs=cand).select("item_id", "doc_id", F.round("score", 9).alias("rr"))
     return rt.rerank(cand.join(second, ["item_id", "doc_id"], "left"), "item_id", "doc_id", "rr", top_n)
 
 
@@ -102,7 +103,7 @@ SELECT item_id, run.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coa
 FROM run LEFT JOIN labels l ON l.doc_id = run.doc_id""")
 def t4(spark, sf):
     d, q = docs_items(spark, sf)
-    run = lx.top_k(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id"), "item_id", "doc_id", 20)
+    run = lx.top_k(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=20), "item_id", "doc_id", 20)
     flag = F.coalesce("quality", F.lit(0))
     j = run.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return rt.ordered(j, "item_id", flag.desc(), F.col("rank"), name="judged_rank").select("item_id", "doc_id", "judged_rank")
@@ -149,7 +150,7 @@ FROM benchmark b LEFT JOIN dense_scores s ON s.item_id = b.item_id GROUP BY b.it
 
 
 def top_scores(d, q):
-    best = lx.tfidf_cosine(lx.indexed(d, "doc_id"), q, "doc_id", "item_id").groupBy("item_id").agg(F.max("score").alias("score"))
+    best = lx.tfidf_cosine(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=1).groupBy("item_id").agg(F.max("score").alias("score"))
     gold = lx.contained_in(d, q, "doc_id", "item_id").select("item_id").distinct().withColumn("answerable", F.lit(True))
     return q.select("item_id").join(best, "item_id", "left").join(gold, "item_id", "left").fillna(
         {"score": 0.0, "answerable": False})
@@ -198,7 +199,7 @@ lrun AS (SELECT r.*, doc_id, idx, text FROM (SELECT *, row_number() OVER (PARTIT
 def line_run(spark, sf, k=10):
     d, q = docs_items(spark, sf)
     chunks = rt.lines_of(d)
-    run = lx.top_k(lx.bm25_scores(chunks, q, "chunk_id", "item_id"), "item_id", "chunk_id", k)
+    run = lx.top_k(lx.bm25_scores(chunks, q, "chunk_id", "item_id", best=k), "item_id", "chunk_id", k)
     return run.join(chunks, "chunk_id"), chunks
 
 
@@ -288,7 +289,7 @@ def x5(spark, sf):
     d, q = docs_items(spark, sf)
     out = None
     for name, backend in rt.BACKENDS.items():
-        run = rt.as_run(backend(lx.indexed(d, "doc_id"), q, "doc_id", "item_id"), name, "item_id", "doc_id", rt.CANDIDATES_K)
+        run = rt.as_run(backend(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=rt.CANDIDATES_K), name, "item_id", "doc_id", rt.CANDIDATES_K)
         part = run.groupBy("run", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("run").agg(
@@ -312,7 +313,7 @@ SELECT 'overlap' AS reranker, item_id, doc_id, final_rank FROM fin WHERE final_r
 def x2(spark, sf):
     """The same candidates through two rerankers of the library."""
     d, q = docs_items(spark, sf)
-    cand = fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K)
+    cand = materialise(fused(d, q).where(F.col("pos") <= rt.CANDIDATES_K), "candidates")
     rerankers = {
         "overlap": rt.OverlapReranker(lx.indexed(d, "doc_id"), q, "item_id", "doc_id"),
         "brevity": rt.LengthReranker(table(spark, sf, "documents").select("doc_id", "n_chars"), "item_id", "doc_id"),
