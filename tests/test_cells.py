@@ -64,3 +64,24 @@ def test_candidates_only(spark):
     pairs = spark.createDataFrame([(1, 4), (1, 4), (2, 5), (2, 0), (2, 77)], "item_id long, doc_id long")
     every, few = ({(r.item_id, r.doc_id): round(r.score, 9) for r in lx.tfidf_overlap(docs, asked, "doc_id", "item_id", pairs=p).collect()} for p in (None, pairs))
     assert few == {k: every[k] for k in [(1, 4), (2, 5)]}
+
+
+def test_cooccurrence_is_counted_once_and_similarity_reads_it(spark):
+    texts = ["a b a a. c a", "b a b", "d", None, "e e e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = defaultdict(int)
+    for text in texts:
+        for words in (s.split() for s in (text or "").split(".")):
+            for i, x in enumerate(words):
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(words):
+                        want[x, words[j]] += 1
+    cooc = lx.cooccurrence(docs, "doc_id")
+    assert {(r.word, r.ctx): r.n for r in cooc.collect()} == want
+    plan = lx.cooccurrence(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    vector = {w: {c: n for (x, c), n in want.items() if x == w} for w in {w for w, _ in want}}
+    norm = {w: sum(n * n for n in v.values()) ** 0.5 for w, v in vector.items()}
+    other = {w: min(v, key=lambda c: (-v[c], c)) for w, v in vector.items()}
+    similar = {w: round(sum(n * vector[o].get(c, 0) for c, n in vector[w].items()) / norm[w] / norm[o], 6) for w, o in other.items()}
+    assert {r.word: (r.other, r.similarity) for r in rt.word_similarity(cooc).collect()} == {w: (other[w], similar[w]) for w in vector}
