@@ -33,6 +33,7 @@ TENTH = 0.1
 SLOTS = 1 << 21
 HASHES = 2
 BLOCK = 1 << 20  # code points counted at once
+LOOKED_UP = 1 << 17  # code points looked up at once: every one takes some hundred bytes meanwhile
 PENDING = 1 << 20  # distinct n-grams a task gathers before it hands them on
 UND = "und"
 
@@ -69,13 +70,14 @@ def grams(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
-def blocks(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(texts: list[str | None], overlap: int, size_of_block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Code points of many texts in blocks, with the number of the text that each belongs to.
 
     Texts are set apart by the blanks around them. A long text continues in the next block with ``overlap``
     code points repeated, so every n-gram of a higher order lies in a block; ``grams`` of lower orders would count
     the repeated ones twice, which is why callers pass the order minus one.
     """
+    most = size_of_block or BLOCK
     held, owner, size = [], [], 0
     for i, text in enumerate(texts):
         if not text:
@@ -83,16 +85,16 @@ def blocks(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray,
         points = code_points(text)
         at = 0
         while True:
-            piece = points[at : at + BLOCK]
+            piece = points[at : at + most]
             held.append(piece)
             owner.append(np.full(len(piece), i, np.int64))
             size += len(piece)
-            if size >= BLOCK:
+            if size >= most:
                 yield np.concatenate(held), np.concatenate(owner)
                 held, owner, size = [], [], 0
-            if at + BLOCK >= len(points):
+            if at + most >= len(points):
                 break
-            at += BLOCK - overlap
+            at += most - overlap
     if held:
         yield np.concatenate(held), np.concatenate(owner)
 
@@ -161,7 +163,7 @@ class Model:
         n, k = len(texts), len(self.languages)
         found, total, letters = np.zeros((k, n)), np.zeros(n), np.zeros(n)
         for order in ORDERS:
-            for points, owner in blocks(texts, order - 1):
+            for points, owner in blocks(texts, order - 1, LOOKED_UP):
                 at, h = grams(points, order)
                 inside = _within(at, owner, order)
                 at, h = at[inside], h[inside]
