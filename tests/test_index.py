@@ -37,3 +37,17 @@ def test_an_index_follows_its_files(spark, tmp_path):
 def test_empty_collection(spark):
     index = lx.indexed(spark.createDataFrame([], SCHEMA), "doc_id")
     assert index.n_docs == 0 and all(f(index, asked(spark), "doc_id", "item_id").count() == 0 for f in (lx.bm25_scores, lx.tfidf_cosine, lx.tfidf_overlap))
+
+
+@pytest.mark.parametrize("tokens", [3, 1_000_000])
+def test_terms_are_counted_without_a_shuffle(spark, monkeypatch, tmp_path, tokens):
+    monkeypatch.setattr(lx, "COUNTED", tokens)
+    rows = [*DOCS, (None, "a a b"), (None, "b a c"), (None, "b"), (7, "a b a"), (7, "a b b"), (7, "a"), (8, "x " * 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    assert "Exchange" not in lx.counted(stored, "doc_id", lx.tx.words)._jdf.queryExecution().executedPlan().toString()
+    index = lx.indexed(stored, "doc_id")
+    for tokenizer in lx.Index.KINDS:
+        want = lx.postings(docs, "doc_id", tokenizer).select("doc_id", "dl", "term", "tf").collect()
+        assert sorted(map(str, index.of(tokenizer).collect())) == sorted(map(str, want)) != []
