@@ -208,6 +208,10 @@ class Codec:
                 self.young[text] = got
         return got
 
+    def forget(self) -> None:
+        """Drops the older generations: a worker that waits for its next task holds the younger ones only."""
+        self.before, self.old = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens joined by one space, as they stand in the vocabulary."""
         return " ".join([self.strings[i] for i in ids])
@@ -288,5 +292,6 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                     texts.append(decoded)
                 arrays = [*rows.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=kind.names)
+        c.forget()
 
     return docs.mapInArrow(run, kind)

@@ -67,9 +67,18 @@ class Pieces(dict):
         self.code = code
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise Unparted
-        got = self[piece] = self.code.piece(piece)
+        code = self.code
+        got = code.old.get(piece)
+        if got is None:
+            if piece.isalpha():
+                got = code.letters(code.blank + piece if piece.isascii() else code.written(" " + piece))
+            elif piece[-1:] in PUNCTUATION and piece[:-1].isalpha():
+                got = self[piece[:-1]] + code.word(piece[-1])
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                raise Unparted
+            else:
+                got = code.first(" " + piece)
+        self[piece] = got
         return got
 
 
@@ -92,30 +101,23 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
+    def written(self, word: str) -> str:
+        """A word in the letters that stand for its bytes."""
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_level)
+
+    def letters(self, letters: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
+
+    def word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
             got = self.before.get(word)
             if got is None:
-                if word[0] == " " and word.isascii() and word[1:].isalpha():
-                    letters = self.blank + word[1:]  # ASCII letters stand for themselves
-                else:
-                    letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_level)
-                packed = self.packed
-                got = b"".join([packed[t.id] for t in self.model.tokenize(letters)])
+                got = self.letters(self.written(word))
             self.known[word] = got
         return got
 
-    def piece(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is not None:
-            return got
-        if piece.isalpha():
-            return self._word(" " + piece)
-        if piece[-1] in PUNCTUATION and piece[:-1].isalpha():
-            return self._word(" " + piece[:-1]) + self._word(piece[-1])
-        return self._first(" " + piece)
-
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
@@ -125,7 +127,7 @@ class Encoder:
             try:
                 if rest and first[-1:].isspace():
                     raise Unparted
-                yield b"".join([self._first(first), *map(self.young.__getitem__, rest)])
+                yield b"".join([self.first(first), *map(self.young.__getitem__, rest)])
             except Unparted:
                 yield self.whole([text])[0]
             if len(self.young) > REMEMBERED:
@@ -133,11 +135,11 @@ class Encoder:
             if len(self.known) > REMEMBERED:
                 self.before, self.known = self.known, {}
 
-    def _first(self, piece: str) -> bytes:
+    def first(self, piece: str) -> bytes:
         for s in self.special:
             if s in piece:
                 return self.whole([piece])[0]
-        return b"".join([self._word(w) for w in self.words.findall(piece)])
+        return b"".join([self.word(w) for w in self.words.findall(piece)])
 
 
 @lru_cache(maxsize=1)
