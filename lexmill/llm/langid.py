@@ -32,7 +32,7 @@ MIN_RATE = 2e-5
 TENTH = 0.1
 SLOTS = 1 << 21
 HASHES = 2
-BLOCK = 1 << 20  # code points counted at once
+BLOCK = 1 << 18  # code points counted at once: every one takes up to a hundred bytes meanwhile
 LOOKED_UP = 1 << 17  # code points looked up at once: every one takes some hundred bytes meanwhile
 PENDING = 1 << 20  # distinct n-grams a task gathers before it hands them on
 UND = "und"
@@ -107,10 +107,21 @@ def _counts(languages: list[str]):
     index = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def added() -> int:
+            for key, parts in held.items():
+                if len(parts) > 1:
+                    h, c = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(h)
+                    h = h[order]
+                    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                    held[key] = [(h[first], np.add.reduceat(c[order], first))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
         def out():
-            for (lang, order), (h, c) in held.items():
+            for (lang, order), [(h, c)] in held.items():
                 yield pd.DataFrame({"lang": np.int32(lang), "ord": np.int32(order), "gram": h.view(np.int64), "n": c})
 
         for batch in batches:
@@ -121,14 +132,15 @@ def _counts(languages: list[str]):
                     for points, owner in blocks(texts, order - 1):
                         at, h = grams(points, order)
                         h, c = np.unique(h[_within(at, owner, order)], return_counts=True)
-                        if (lang, order) in held:
-                            h0, c0 = held[lang, order]
-                            h, inv = np.unique(np.concatenate([h0, h]), return_inverse=True)
-                            c = np.bincount(inv, np.concatenate([c0, c])).astype(np.int64)
-                        held[lang, order] = (h, c)
-            if sum(len(h) for h, _ in held.values()) > PENDING:
-                yield from out()
-                held = {}
+                        if len(h):
+                            held.setdefault((lang, order), []).append((h, c))
+                            size += len(h)
+                        if size > PENDING:  # added up first, handed on if they are that many different ones
+                            size = added()
+                            if size > PENDING // 2:
+                                yield from out()
+                                held, size = {}, 0
+        added()
         yield from out()
 
     return run
