@@ -70,8 +70,7 @@ SELECT item_id, run.doc_id, rank, lang, source, n_chars, substr(sha256(text), 1,
 def j4(spark, sf):
     d, q = docs_items(spark, sf)
     run = lx.top_k(lx.bm25_scores(lx.indexed(d, "doc_id"), q, "doc_id", "item_id", best=10), "item_id", "doc_id", 10)
-    meta = table(spark, sf, "documents")
-    return run.join(meta, "doc_id").select(
+    return rt.hydrated(run, table(spark, sf, "documents"), "doc_id").select(
         "item_id", "doc_id", "rank", "lang", "source", "n_chars", F.substring(F.sha2("text", 256), 1, 12).alias("checksum"))
 
 
@@ -116,7 +115,7 @@ us AS (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY pos) AS
 
 def hit_blocks(spark, sf, k=8):
     d, q = docs_items(spark, sf)
-    hits = fused(d, q).where(F.col("pos") <= k).join(table(spark, sf, "documents"), "doc_id")
+    hits = rt.hydrated(fused(d, q).where(F.col("pos") <= k), table(spark, sf, "documents"), "doc_id")
     head = F.concat(F.lit("[#"), F.col("pos"), F.lit("] doc "), F.col("doc_id"), F.lit(" | "), F.col("source"))
     return rt.blocks(hits, "pos", F.col("text"), head).select("item_id", "pos", "block")
 
@@ -174,7 +173,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS r FROM
 SELECT item_id, 'no answer found. Nearest topics: ' || string_agg(source, ', ' ORDER BY r) || '.' AS answer FROM n WHERE r <= 3 GROUP BY 1""")
 def f16(spark, sf):
     d, q = docs_items(spark, sf)
-    hits = fused(d, q).where(F.col("pos") <= 20).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    hits = rt.hydrated(fused(d, q).where(F.col("pos") <= 20), table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     first = hits.groupBy("item_id", "source").agg(F.min("pos").alias("pos"))
     three = rt.ordered(first, "item_id", F.col("pos"), name="r", k=3)
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "source"))), lambda x: x["source"]), ", ")
@@ -199,8 +198,8 @@ lrun AS (SELECT r.*, doc_id, idx, text FROM (SELECT *, row_number() OVER (PARTIT
 def line_run(spark, sf, k=10):
     d, q = docs_items(spark, sf)
     chunks = rt.lines_of(d)
-    run = lx.top_k(lx.bm25_scores(chunks, q, "chunk_id", "item_id", best=k), "item_id", "chunk_id", k)
-    return run.join(chunks, "chunk_id"), chunks
+    run = lx.top_k(lx.bm25_scores(lx.indexed(chunks, "chunk_id"), q, "chunk_id", "item_id", best=k), "item_id", "chunk_id", k)
+    return rt.hydrated(run, chunks, "chunk_id"), chunks
 
 
 @query("w2_diversify_per_document", f"""WITH {SQL_LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY rank) AS n FROM lrun)

@@ -49,6 +49,18 @@ def test_best_of_each_class(spark, best):
     assert {(r.item_id, r.lang, r.doc_id, r["rank"]) for r in got} == {(*k, d, i) for k, v in want.items() for i, (_, d) in enumerate(sorted(v)[:best], 1)}
 
 
+@pytest.mark.parametrize("terms", [4, 500_000])
+def test_norms_travel_to_the_cell(spark, monkeypatch, terms):
+    monkeypatch.setattr(lx, "CELL_TERMS", terms)
+    posts, asked, p, q = tables(spark, 7)
+    norm = {d: d % 4 + 0.5 for d in range(9)} | {9: 0.0}  # 10 and 11 have none
+    norms = spark.createDataFrame([*norm.items(), (None, 2.0), (99, 3.0)], "doc_id long, dn double")
+    scores = lx.cell_scores(p, q, "doc_id", "item_id", len(posts), norms=norms)
+    want = {(str(q), d, round(s / norm[d], 9)) for (q, d), s in plain(posts, asked).items() if norm.get(d)}
+    assert sorted((str(r.item_id), r.doc_id, round(r.score, 9)) for r in scores.collect()) == sorted(want) != []
+    assert "Join" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_cell_hands_on_its_best_only(spark):
     docs = spark.createDataFrame([(i, f"alpha w{i % 7}") for i in range(400)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "alpha w3"), (2, "alpha alpha w5 w6")], "item_id long, text string")
