@@ -11,12 +11,14 @@ on classes of equal sets, in regions around pivots:
    classes (distances to 32 pivots that part the universe, whose differences add up) must not differ by more than the
    symmetric difference may be. Then sets are intersected.
 3. *Components* of the links so far. A region whose classes all belong to one component is finished: further links
-   in it cannot change the result.
+   in it cannot change the result. Regions left that share their least class, by key and then by a hash, are taken together
+   wherever that makes no more pairs, so that near copies are compared once and not around each shingle they share.
 4. *Voronoi recursion.* A large region with several components draws ``PIVOTS`` of its classes; every class gets its distances to
    them and goes to the cell of the nearest, and to each cell whose pivot is at most ``2 e`` farther. Classes at least ``1 - 2 e``
    from all pivots form a cell of their own, as if around a pivot at distance 1 from everything; farther classes stay out of other
    cells unless within ``1 - e``. Cells are regions again. A cell that keeps most of its region is not drawn again.
-5. *Leaves.* In small regions, pairs of different components are compared, through the same windows.
+5. *Leaves.* In small regions, pairs of different components are compared, through the same windows. In regions that stay large,
+   sets meet block by block, as in :func:`counted`, and a block hands on links that connect what it links.
 
 Each document gets the least id of its component. Sets are exact up to equality of 64-bit hashes; classes are told apart by 128 bits.
 
@@ -79,7 +81,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
-    """The columns to keep, class, class key, set size, and shingles per hash class."""
+    """The columns to keep, a hash of the text (``t``), class, class key, set size, and shingles per hash class."""
 
     def one(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -96,7 +98,7 @@ def features(docs: DataFrame, keep: list[str], text_col: str, width: int) -> Dat
         for texts in batches:
             yield one(texts)
 
-    return docs.select(*keep, run(F.col(text_col)).alias("_f")).select(*keep, "_f.*")
+    return docs.select(*keep, F.xxhash64(text_col).alias("t"), run(F.col(text_col)).alias("_f")).select(*keep, "t", "_f.*")
 
 
 def sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -188,8 +190,13 @@ class Join:
         return written(met.select("a", "b", "n_a", "n_b", _shared("h_a", "h_b").alias("common")), f"jaccard-{name}-measured")
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """The sets of the wanted classes, computed from the texts again: few are ever needed."""
+        """The sets of the wanted classes, computed again from texts with the hashes of theirs: few are ever needed."""
         width = self.width
+        small = wanted.count() <= BROADCAST_CLASSES
+        docs = self.docs.select(F.col(self.text_col).alias("text"))
+        if small:
+            hashes = self.classes.join(wanted.select("cls"), "cls", "left_semi").select(F.col("t").alias("_t")).distinct()
+            docs = docs.join(F.broadcast(hashes), F.xxhash64("text") == F.col("_t"), "left_semi")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[bytes] = set()
@@ -210,8 +217,7 @@ class Join:
                 if out:
                     yield pd.DataFrame(out, columns=["cls", "h"])
 
-        sets = self.docs.select(F.col(self.text_col).alias("text")).mapInPandas(run, "cls binary, h binary")
-        small = wanted.count() <= BROADCAST_CLASSES
+        sets = docs.mapInPandas(run, "cls binary, h binary")
         sets = sets.join(F.broadcast(wanted.select("cls")) if small else wanted.select("cls"), "cls", "left_semi")
         return written(sets.dropDuplicates(["cls"]), "jaccard-sets")
 
@@ -236,6 +242,23 @@ def _mixed_regions(regions: DataFrame, links: DataFrame) -> DataFrame:
     return written(rooted.join(several.select("s", "size"), "s"), "jaccard-mixed")
 
 
+def _merged(regions: DataFrame, by: Column, name: str) -> DataFrame:
+    """Mixed regions (s, k, first, root, size), those with the same least member by ``by`` taken together wherever that makes no more pairs.
+
+    Near copies meet around each shingle that they share; a pair of them is then looked at once, not once a shingle. ``first`` stays a class
+    that the row's own class was compared with.
+    """
+    least = regions.groupBy("s").agg(F.min_by("k", by).alias("g"))
+    placed = written(regions.join(least, "s"), f"jaccard-placed-{name}")
+    members = written(placed.groupBy("g", "k").agg(F.min("first").alias("first"), F.min("root").alias("root")), f"jaccard-members-{name}")
+    apart = placed.where("k = g").groupBy("g").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    whole = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).join(apart, "g").where("size * size <= apart").drop("apart")
+    whole = written(whole, f"jaccard-whole-{name}")
+    together = members.join(whole, "g").select(F.xxhash64("g", F.lit(name)).alias("s"), "k", "first", "root", "size")
+    rest = placed.join(whole.select("g"), "g", "left_anti").select("s", "k", "first", "root", "size")
+    return written(together.unionByName(rest), f"jaccard-merged-{name}")
+
+
 def _voronoi(join: Join, regions: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Links found at the pivots of large regions, and the members of the cells, with the ``parent``'s size."""
     e, slack = 1 - join.percent / 100, 1e-9
@@ -256,7 +279,7 @@ def _voronoi(join: Join, regions: DataFrame, level: int) -> tuple[DataFrame, Dat
 
 
 def _leaf_pairs(join: Join, regions: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a region and pass the windows; those with the region's first class are known."""
+    """Pairs of different components that meet in a region and pass the windows; those of a class and its first are known."""
     # most of a group of near copies is one component by now; every pair that counts has a member outside the region's largest one
     parts = regions.groupBy("s", "root").agg(F.count(F.lit(1)).alias("members"))
     largest = parts.groupBy("s").agg(F.max_by("root", F.struct("members", "root")).alias("main"))
@@ -267,9 +290,10 @@ def _leaf_pairs(join: Join, regions: DataFrame) -> DataFrame:
     a = a.where("roota <> main").drop("main")
     # a linked set's size class is at most one away
     a = a.withColumn("z", F.explode(F.sequence(F.floor(F.col("x") - 1 - 1e-9), F.floor(F.col("x") + 1 + 1e-9)))).drop("x")
-    b = b.withColumn("z", F.floor("x")).drop("x", "first")
+    a, b = a.withColumnRenamed("first", "firsta"), b.withColumnRenamed("first", "firstb")
+    b = b.withColumn("z", F.floor("x")).drop("x")
     once = (F.col("rootb") == F.col("main")) | (F.col("ka") < F.col("kb"))
-    known = F.coalesce((F.col("ka") == F.col("first")) | (F.col("kb") == F.col("first")), F.lit(False))
+    known = F.col("ka").eqNullSafe(F.col("firstb")) | F.col("kb").eqNullSafe(F.col("firsta"))
     met = a.join(b, ["s", "z"]).where(once & (F.col("roota") != F.col("rootb")) & ~known & join.fits("a", "b"))
     pairs = met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     return join.unwindowed(pairs)
@@ -354,14 +378,50 @@ def _in_cells(join: Join, rows: DataFrame, roots: DataFrame) -> DataFrame:
     higher = cells("up", lambda o: (z, z + 1, own, o, F.lit(0)))
     lower = cells("down", lambda o: (z - 1, z, o, own, F.lit(1)))
     placed = placed.select("cls", "weight", "root", F.explode(F.concat(same, higher, lower)).alias("c")).select("cls", "weight", "root", "c.*")
-    sets = join._sets(members.select("cls"))
+    sets = join._sets(members.select("cls").distinct())
     return placed.join(sets, "cls").repartition(*CELL).sortWithinPartitions(*CELL)
 
 
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) of the matrix that connect all that it links: fewer than its rows and columns."""
+    rows, columns, out = linked.any(axis=1), linked.any(axis=0), []
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        rows[start] = False
+        waiting = [(start, True)]
+        while waiting:
+            at, is_row = waiting.pop()
+            free = columns if is_row else rows
+            new = np.flatnonzero((linked[at] if is_row else linked[:, at]) & free).tolist()
+            free[new] = False
+            out += [(at, x) if is_row else (x, at) for x in new]
+            waiting += [(x, not is_row) for x in new]
+    return out
+
+
+def _block_links(join: Join, regions: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked in large regions: their sets meet block by block, and no pair of theirs is a row."""
+    percent = join.percent
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cls, _, _, left, right, linked, _, _ in _met(batches, percent):
+            keys = np.array([_key(c) for c in cls], np.int64)
+            rows, columns = np.array(_forest(linked), np.int64).T
+            yield pd.DataFrame({"a": keys[left[rows]], "b": keys[right[columns]]})
+
+    places = written(regions.select("s", "k"), "jaccard-large")
+    if places.isEmpty():
+        return places.select(F.col("k").alias("a"), F.col("k").alias("b"))
+    members = places.join(join.classes.select("k", "cls"), "k").select("cls", F.col("s").alias("root"))
+    cells = _in_cells(join, join.classes, members).select(*CELL, "side", "cls", "weight", "h")
+    return written(cells.mapInPandas(run, "a bigint, b bigint").distinct(), "jaccard-block-links")
+
+
 def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their classes (``cls``, ``n``), and the component ``root`` of each class."""
     rows = written(features(docs, keep, text_col, width), "jaccard-features")
-    classes = rows.where("cls is not null").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("k", "n", "counts")])
+    classes = rows.where("cls is not null").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("k", "t", "n", "counts")])
     classes = written(classes, "jaccard-classes")
     join = Join(docs, classes, text_col, width, percent)
     members = written(pivots_of(docs, text_col, width, percent, sketch(docs, text_col, width)), "jaccard-pivots")
@@ -369,7 +429,7 @@ def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percen
     regions = written(_different(written(members.join(shared, "s").distinct(), "jaccard-meetings")), "jaccard-regions")
     star = regions.where("k <> first").select(F.least("k", "first").alias("a"), F.greatest("k", "first").alias("b")).distinct()
     links = join.measured(join.windowed(star), "star").where(join.linked()).select("a", "b")
-    mixed = _mixed_regions(regions, links)
+    mixed = _merged(_merged(_mixed_regions(regions, links), F.col("k"), "first"), F.xxhash64("k"), "hash")
     leaves = [mixed.where(F.col("size") <= LEAF)]
     large = mixed.where(F.col("size") > LEAF)
     for level in range(DEPTH):
@@ -385,7 +445,8 @@ def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percen
     rest = leaves[0]
     for more in leaves[1:]:
         rest = rest.unionByName(more)
-    links = links.unionByName(join.measured(_leaf_pairs(join, rest), "leaves").where(join.linked()).select("a", "b"))
+    links = links.unionByName(join.measured(_leaf_pairs(join, rest.where(F.col("size") <= LEAF)), "leaves").where(join.linked()).select("a", "b"))
+    links = links.unionByName(_block_links(join, rest.where(F.col("size") > LEAF)))
     roots = components(links).select(F.col("node").alias("k"), "root")
     return rows, written(classes.select("cls", "k").join(roots, "k", "left").select("cls", F.coalesce("root", "k").alias("root")), "jaccard-roots")
 

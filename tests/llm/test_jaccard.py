@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexmill.llm import jaccard
@@ -158,3 +159,53 @@ def test_links_equal_sql(spark, sf):
     cur = con.execute(sql.JACCARD_LINKS)
     cols = [d[0] for d in cur.description]
     assert Counter(tuple(r) for r in queries.op2_jaccard_links(spark, sf).select(*cols).collect()) == Counter(cur.fetchall())
+
+
+def leaf_sizes(spark, monkeypatch, rows):
+    """Sizes of the regions whose pairs are joined, and the result."""
+    sizes = []
+    plainly = jaccard._leaf_pairs
+
+    def spied(join, regions):
+        sizes.extend(r["count"] for r in regions.groupBy("s").count().collect())
+        return plainly(join, regions)
+
+    monkeypatch.setattr(jaccard, "_leaf_pairs", spied)
+    return got(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90)), sizes
+
+
+def test_near_copies_meet_once_and_not_around_each_shingle(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = list(enumerate(family(rng, 40, 120, 40)))  # too far apart to be linked, with many shingles in common
+    result, sizes = leaf_sizes(spark, monkeypatch, rows)
+    assert result == plain(rows, 3, 90)
+    assert sizes and sum(n * n for n in sizes) <= 4 * 40 * 40
+
+
+def test_large_regions_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 10)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 8)
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(400)}" for _ in range(100))
+    rows = list(enumerate(f"{base} " + " ".join(f"x{i}y{k}" for k in range(10 + i % 3)) for i in range(60)))
+    rows += [(100 + i, f"{t} z") for i, t in rows[::7]]
+    result, sizes = leaf_sizes(spark, monkeypatch, rows)
+    assert result == plain(rows, 3, 90)
+    assert max(sizes, default=0) <= 10
+
+
+def test_forest_connects_what_is_linked():
+    rng = random.Random(7)
+    for _ in range(30):
+        linked = np.array([[rng.random() < 0.12 for _ in range(9)] for _ in range(12)])
+        kept = np.zeros_like(linked)
+        for a, b in jaccard._forest(linked):
+            assert linked[a, b] and not kept[a, b]
+            kept[a, b] = True
+
+        def reach(m):
+            both = np.block([[np.eye(12, dtype=bool), m], [m.T, np.eye(9, dtype=bool)]])
+            return np.linalg.matrix_power(both.astype(float), 21) > 0
+
+        assert (reach(linked) == reach(kept)).all() and kept.sum() < 21
