@@ -429,7 +429,8 @@ def classify(docs: DataFrame, keep: list[str], text_col: str, width: int, percen
     regions = written(_different(written(members.join(shared, "s").distinct(), "jaccard-meetings")), "jaccard-regions")
     star = regions.where("k <> first").select(F.least("k", "first").alias("a"), F.greatest("k", "first").alias("b")).distinct()
     links = join.measured(join.windowed(star), "star").where(join.linked()).select("a", "b")
-    mixed = _merged(_merged(_mixed_regions(regions, links), F.col("k"), "first"), F.xxhash64("k"), "hash")
+    mixed = _mixed_regions(regions, links).where("size > 2")  # of two classes one is the first: they have met
+    mixed = _merged(_merged(mixed, F.col("k"), "first"), F.xxhash64("k"), "hash")
     leaves = [mixed.where(F.col("size") <= LEAF)]
     large = mixed.where(F.col("size") > LEAF)
     for level in range(DEPTH):
