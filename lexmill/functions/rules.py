@@ -42,6 +42,21 @@ INJECTION_RULES = (
      r"(вызови|выполни|запусти)\s+(инструмент|функцию|команду|http|curl)|(call\s+the\s+tool|execute\s+the\s+following)"),
     ("base64_blob", 2, r"\b[A-Za-z0-9+/]{120,}={0,2}\b"),
 )
+# What a match of a rule holds, in lower case: all words of one of its groups. A text without them is not searched for the rule.
+INJECTION_HINTS = {
+    "ignore_previous": (("игнорируй",), ("забудь",), ("обращай",), ("ignore",), ("disregard",)),
+    "role_override": (
+        ("больше", "ты"), ("теперь", "ты"), ("момента", "ты"), ("веди", "себя"), ("you", "are", "now"), ("you", "are", "longer"),
+        ("act", "as", "dan"), ("act", "as", "developer"), ("act", "as", "jailbroken"), ("новая", "рол")),
+    "fake_system_block": (("system",), ("систем",), ("im_start",), ("endoftext",), ("instruction",)),
+    "instruction_to_assistant": (("инструкц",), ("указан",), ("команд",), ("для", "ассистент"), ("для", "бота"), ("для", "модели"), ("для", "llm"), ("instruction",)),
+    "secrecy_request": (
+        ("говори",), ("упоминай",), ("скрой",), ("сообщай",), ("tell", "not", "do"), ("mention", "not", "do"), ("reveal", "not", "do"), ("secret", "keep")),
+    "credential_bait": (("пароль",), ("password",), ("скачайт",), ("запустит",), ("отправ",)),
+    "exfiltration_link": (("://",),),
+    "prompt_leak_request": (("промпт",), ("инструкц",), ("prompt",), ("instructions",)),
+    "tool_abuse": (("вызови",), ("выполни",), ("запусти",), ("tool", "call"), ("execute",)),
+}
 HIDDEN_COMMENT_WEIGHT = 3
 RISK_MEDIUM, RISK_HIGH = 3, 6
 
@@ -68,6 +83,8 @@ PII_PATTERNS = (
     ("PASSPORT_RU", r"(?<!\d)\d{2}\s?\d{2}\s?\d{6}(?!\d)"),
     ("IP", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"),
 )
+# What every match after EMAIL holds: ten digits with at most three signs between two of them, or three groups of an address.
+PII_DIGITS = r"[0-9](?:(?:[\s()\-]{0,3}[0-9]){9}|\.[0-9]{1,3}\.[0-9])"
 PRIVATE_IP = r"^(10\.|192\.168\.|127\.|172\.16\.|172\.17\.|172\.18\.)"
 
 # Secrets.

@@ -26,7 +26,7 @@ def let(value: Column, use) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return s.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
 def tidy(text: Column) -> Column:
@@ -43,25 +43,45 @@ def normalise(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, nfkc(F.col(text))).withColumn(text, tidy(F.col(text)))
 
 
-def injection_report(text: Column) -> Column:
-    """struct(score, rules, sample, risk) of a normalised text."""
-    hits = [
-        F.when(
-            F.regexp_like(text, F.lit(ru.HTML_COMMENT)),
-            F.struct(F.lit("hidden_html_comment").alias("rule"), F.lit(ru.HIDDEN_COMMENT_WEIGHT).alias("w"),
-                     F.substring(F.regexp_extract(text, ru.HTML_COMMENT, 0), 1, 160).alias("sample")),
-        )
-    ]
-    for name, weight, pattern in ru.INJECTION_RULES:
-        p = f"(?iU){pattern}"
-        hits.append(
+def folded(text: Column) -> Column:
+    """Lower case as the rules' patterns ignore case: a sign that they take for a letter becomes that letter."""
+    return F.lower(F.replace(F.upper(text), F.lit("\u0130"), F.lit("I")))  # Spark would shorten lower(upper(text)) to lower(text)
+
+
+def _hinted(low: Column, name: str) -> Column:
+    """Whether a folded text may match a rule: a search for words costs a fraction of one for a pattern."""
+    out = F.lit(False)
+    for words in ru.INJECTION_HINTS[name]:
+        every = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            every = every & F.contains(low, F.lit(w))
+        out = out | every
+    return out
+
+
+def injection_report(text: Column, among: Column | None = None) -> Column:
+    """struct(score, rules, sample, risk) of a normalised text; ``among``: the only rules that can match, if that is known."""
+    able = lambda name: F.lit(True) if among is None else F.array_contains(among, name)
+
+    def found(low: Column) -> Column:
+        hits = [
             F.when(
-                F.regexp_like(text, F.lit(p)),
-                F.struct(F.lit(name).alias("rule"), F.lit(weight).alias("w"),
-                         F.substring(F.regexp_extract(text, p, 0), 1, 160).alias("sample")),
+                able("hidden_html_comment") & F.contains(text, F.lit("<!--")) & F.regexp_like(text, F.lit(ru.HTML_COMMENT)),
+                F.struct(F.lit("hidden_html_comment").alias("rule"), F.lit(ru.HIDDEN_COMMENT_WEIGHT).alias("w"),
+                         F.substring(F.regexp_extract(text, ru.HTML_COMMENT, 0), 1, 160).alias("sample")),
             )
-        )
-    found = F.array_compact(F.array(*hits))
+        ]
+        for name, weight, pattern in ru.INJECTION_RULES:
+            p = f"(?iU){pattern}"
+            hint = _hinted(low, name) if name in ru.INJECTION_HINTS else F.lit(True)
+            hits.append(
+                F.when(
+                    able(name) & hint & F.regexp_like(text, F.lit(p)),
+                    F.struct(F.lit(name).alias("rule"), F.lit(weight).alias("w"),
+                             F.substring(F.regexp_extract(text, p, 0), 1, 160).alias("sample")),
+                )
+            )
+        return F.array_compact(F.array(*hits))
 
     def report(h: Column) -> Column:
         score = F.aggregate(h, F.lit(0), lambda a, x: a + x["w"])
@@ -72,7 +92,8 @@ def injection_report(text: Column) -> Column:
             F.when(score >= ru.RISK_HIGH, 2).when(score >= ru.RISK_MEDIUM, 1).otherwise(0).alias("risk"),
         )
 
-    return let(found, report)
+    low = folded(text) if among is None else F.when(F.size(among) > 0, folded(text)).otherwise(F.lit(""))
+    return let(let(low, found), report)
 
 
 def chunk_risk(chunk: Column, doc: Column, trusted: Column) -> Column:
@@ -134,22 +155,17 @@ def strip_untrusted(text: Column, strip_urls: bool) -> Column:
 def _replace_each(text: Column, pattern: str, new) -> Column:
     """struct(t, n): every match m replaced by new(m); n counts matches that changed."""
     def go(p: Column) -> Column:
-        # p.parts has one more element than p.found
+        # there is one more part than there are matches
+        parts = F.split(text, pattern, -1)
         masked = F.transform(p["found"], lambda m: F.struct(m.alias("old"), new(m).alias("new")))
         return F.struct(
-            F.array_join(
-                F.zip_with(p["parts"], masked, lambda a, m: F.concat(a, F.coalesce(m["new"], F.lit("")))), ""
-            ).alias("t"),
+            F.when(F.size(p["found"]) > 0, F.array_join(
+                F.zip_with(parts, masked, lambda a, m: F.concat(a, F.coalesce(m["new"], F.lit("")))), ""
+            )).otherwise(text).alias("t"),
             F.size(F.filter(masked, lambda m: m["old"] != m["new"])).alias("n"),
         )
 
-    return let(
-        F.struct(
-            F.split(text, pattern, -1).alias("parts"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
-        ),
-        go,
-    )
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), go)
 
 
 def _mask(entity: str, pseudonymise: bool):
@@ -171,19 +187,37 @@ def _mask(entity: str, pseudonymise: bool):
 
 
 def mask_pii(text: Column, pseudonymise: bool = True, only: tuple[str, ...] = ()) -> Column:
-    """struct(t, counts): personal data replaced type by type, counts in the order of the rules."""
-    state = F.struct(text.alias("t"), F.array().cast("array<int>").alias("counts"))
-    for entity, pattern in ru.PII_PATTERNS:
-        if only and entity not in only:
-            continue
-
-        def step(s: Column, entity=entity, pattern=pattern) -> Column:
-            return let(
-                F.struct(_replace_each(s["t"], pattern, _mask(entity, pseudonymise)).alias("r"), s["counts"].alias("c")),
-                lambda x: F.struct(x["r"]["t"].alias("t"), F.concat(x["c"], F.array(x["r"]["n"])).alias("counts")),
-            )
+    """struct(t, counts): personal data replaced type by type, counts in the order of the rules.
 
-        state = let(state, step)
+    A text without an at sign is not searched for addresses, nor one without ``PII_DIGITS`` for the types that hold digits: as long as
+    none of them matches, the text stays as it is.
+    """
+    def masked(state: Column, rules) -> Column:
+        for entity, pattern in rules:
+
+            def step(s: Column, entity=entity, pattern=pattern) -> Column:
+                return let(
+                    F.struct(_replace_each(s["t"], pattern, _mask(entity, pseudonymise)).alias("r"), s["counts"].alias("c")),
+                    lambda x: F.struct(x["r"]["t"].alias("t"), F.concat(x["c"], F.array(x["r"]["n"])).alias("counts")),
+                )
+
+            state = let(state, step)
+        return state
+
+    state = F.struct(text.alias("t"), F.array().cast("array<int>").alias("counts"))
+    wanted = [r for r in ru.PII_PATTERNS if not only or r[0] in only]
+    for rules, may in (
+        ([r for r in wanted if r[0] == "EMAIL"], lambda t: F.contains(t, F.lit("@"))),
+        ([r for r in wanted if r[0] != "EMAIL"], lambda t: F.regexp_like(t, F.lit(ru.PII_DIGITS))),
+    ):
+        if rules:
+            none = F.array(*[F.lit(0)] * len(rules))
+
+            def part(s: Column, rules=rules, may=may, none=none) -> Column:
+                as_it_is = F.struct(s["t"].alias("t"), F.concat(s["counts"], none).alias("counts"))
+                return F.when(may(s["t"]) | s["t"].isNull(), masked(s, rules)).otherwise(as_it_is)
+
+            state = let(state, part)
     return state
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as tx
 from lexmill.operators import hygiene as hy
 from lexmill.operators import retrieval as rt
 from lexmill.plans.registry import query
@@ -128,6 +129,33 @@ def st7(spark, sf):
     return sj.ingested(spark, out, "doc_id").select("doc_id", "chunk_index", "chunk_id", "digest", "n_chars", "masked", "text_digest")
 
 
+def chunked(batch):
+    """The chunks of (doc_id, text, digest, trusted) as :func:`document_ingest` stores them."""
+    # each step is worked out once: plain projections around a Python function are folded into one, which repeats a step in every use of it
+    known = ["doc_id", "digest", "trusted"]
+    untouched = F.struct(F.col("text").alias("t"), F.array().cast("array<string>").alias("removed"))
+    stripped = F.when(F.col("trusted"), untouched).otherwise(hy.strip_untrusted(F.col("text"), False))
+    c = tx.once(hy.normalise(batch), known, text=F.col("text"))
+    c = tx.once(c, [*known, "text"], d=hy.injection_report(F.col("text")), s=stripped)
+    c = tx.once(c, [*known, "text", "d", "s"], m=hy.mask_pii(F.col("s.t")))
+    known += ["removed", "pii", "whole", "d"]
+    c = hy.normalise(c.select(*known[:3], F.col("s.removed").alias("removed"), F.col("m.counts").alias("pii"), F.col("text").alias("whole"), "d", F.col("m.t").alias("text")))
+    c = tx.once(c, known, text=F.col("text"))
+    # a rule that matches a line matches the text that it is a line of
+    able = F.when(F.col("text") == F.col("whole"), F.col("d.rules")).otherwise(hy.injection_report(F.col("text"))["rules"])
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    known = [*known[:5], "doc_risk", "able"]
+    c = tx.once(c, known[:5], doc_risk=F.col("d.risk"), able=able, lines=lines)
+    c = c.select(*known, F.posexplode("lines").alias("chunk_index", "text"))
+    c = tx.once(c, [*known[:6], "chunk_index", "text"], r=hy.injection_report(F.col("text"), F.col("able")))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.col("digest"))), "chunk_index")
+    return c.select(
+        key.alias("key"), "doc_id", "chunk_index", F.substring(F.sha2(key, 256), 1, 32).alias("chunk_id"), "digest", "text",
+        F.array_join("removed", ",").alias("removed"), F.array_join("pii", ",").alias("pii"),
+        hy.chunk_risk(F.col("r.risk"), F.col("doc_risk"), F.col("trusted")).alias("risk"),
+        F.array_join("r.rules", ",").alias("rules"), (~F.col("trusted")).alias("quarantined"))
+
+
 def document_ingest(spark, sf):
     """scan -> normalise -> injection report -> strip (untrusted) -> mask all types -> normalise -> chunk -> chunk risk -> upsert.
 
@@ -140,25 +168,7 @@ def document_ingest(spark, sf):
         F.col("_metadata.file_modification_time").alias("sent"))
     d = sj.unsent(d, ["doc_id", "digest"], "sent")
 
-    def prepare(batch):
-        known = ["doc_id", "digest", "trusted"]
-        c = hy.normalise(batch).select(
-            *known, "text", hy.injection_report(F.col("text"))["risk"].alias("doc_risk"), hy.strip_untrusted(F.col("text"), False).alias("s"))
-        known += ["doc_risk", "removed"]
-        c = c.withColumn("removed", F.when(F.col("trusted"), F.array().cast("array<string>")).otherwise(F.col("s.removed")))
-        c = c.select(*known, hy.mask_pii(F.when(F.col("trusted"), F.col("text")).otherwise(F.col("s.t"))).alias("m"))
-        c = hy.normalise(c.select(*known, F.col("m.t").alias("text"), F.col("m.counts").alias("pii")))
-        lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-        c = c.select(*known, "pii", F.posexplode(lines).alias("chunk_index", "text"))
-        c = c.withColumn("r", hy.injection_report(F.col("text")))
-        key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.col("digest"))), "chunk_index")
-        return c.select(
-            key.alias("key"), "doc_id", "chunk_index", F.substring(F.sha2(key, 256), 1, 32).alias("chunk_id"), "digest", "text",
-            F.array_join("removed", ",").alias("removed"), F.array_join("pii", ",").alias("pii"),
-            hy.chunk_risk(F.col("r.risk"), F.col("doc_risk"), F.col("trusted")).alias("risk"),
-            F.array_join("r.rules", ",").alias("rules"), (~F.col("trusted")).alias("quarantined"))
-
-    sj.ingest(d, prepare, "doc_id", out, ckpt).awaitTermination()
+    sj.ingest(d, chunked, "doc_id", out, ckpt).awaitTermination()
     return sj.ingested(spark, out, "doc_id").select(
         "doc_id", "chunk_index", "chunk_id", "digest", "text", "removed", "pii", "risk", "rules", "quarantined")
 
