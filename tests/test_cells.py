@@ -97,3 +97,28 @@ def test_cooccurrence_is_counted_once_and_similarity_reads_it(spark):
     other = {w: min(v, key=lambda c: (-v[c], c)) for w, v in vector.items()}
     similar = {w: round(sum(n * vector[o].get(c, 0) for c, n in vector[w].items()) / norm[w] / norm[o], 6) for w, o in other.items()}
     assert {r.word: (r.other, r.similarity) for r in rt.word_similarity(cooc).collect()} == {w: (other[w], similar[w]) for w in vector}
+
+
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_similarity_of_words_that_come_in_many_parts(spark, monkeypatch, most):
+    """Pairs travel as strings of a word's contexts, few at a time, and neighbours of many words are met in parts."""
+    monkeypatch.setattr(lx, "PAIRED", most)
+    texts = [f"the w{i} w{i % 7} the. w{i % 3} of the w{i % 11}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = defaultdict(int)
+    for text in texts:
+        for words in (s.split() for s in text.split(".")):
+            for i, x in enumerate(words):
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(words):
+                        want[x, words[j]] += 1
+    rows, whole = lx.cooccurrence(docs, "doc_id"), lx.cooccurrence(docs, "doc_id", whole=True)
+    assert {(r.word, r.ctx): r.n for r in rows.collect()} == want
+    got = whole.collect()
+    assert {(r.word, c): int(n) for r in got for c, n in zip(r.ctx.split(), r.n.split(), strict=True)} == want and len(got) == len({x for x, _ in want})
+    vector = {w: {c: n for (x, c), n in want.items() if x == w} for w in {w for w, _ in want}}
+    norm = {w: sum(n * n for n in v.values()) ** 0.5 for w, v in vector.items()}
+    other = {w: min(v, key=lambda c: (-v[c], c)) for w, v in vector.items()}
+    similar = {w: round(sum(n * vector[o].get(c, 0) for c, n in vector[w].items()) / norm[w] / norm[o], 6) for w, o in other.items()}
+    for cooc in (rows, whole):
+        assert {r.word: (r.other, round(r.similarity, 6)) for r in rt.word_similarity(cooc).collect()} == {w: (other[w], similar[w]) for w in vector}
