@@ -9,14 +9,16 @@ distance, ``r = sqrt(2 - 2 cos)``, a metric. Equal vectors are one class with a
 2. *Boundary.* The triangle inequality says where else it may have partners: around pivots with ``d <= d_home + 2 r``, in the rings from
    ``(d - r) / r`` to ``(d + r) / r``. A class is copied to those of these cells that come before its own in order, so a pair meets in
    exactly one cell, that of its earlier member. Cells without a home class go.
-3. *Recursion.* Cells that are home to many and smaller than their region are regions again. Each level marks copies with a bit; two rows with a bit in
+3. *Gain.* Cells are counted before any vector is copied. Where they would not compare ``GAIN`` times fewer pairs (unrelated vectors lie in most
+   rings), the region stays whole.
+4. *Recursion.* Cells that are home to many and smaller than their region are regions again. Each level marks copies with a bit; two rows with a bit in
    common meet in another cell.
-4. *Cells.* Rows of a cell lie in blocks by their marks and a hash; every two blocks without a common mark meet in a task of their
-   own, as one product of matrices. A block pair returns, per class, the weight of its partners and one link to a representative of its
+5. *Cells.* Rows of a cell lie in blocks by their marks and a hash; every two blocks without a common mark meet in a task of their
+   own, as products of matrices. A product returns, per class, the weight of its partners and one link to a representative of its
    connected part, so a group of m near copies gives m rows and not m squares.
 
 Then weights are summed and components found from those links. Nothing but pivots (at most ``PIVOTS`` per region) is sent to several
-blocks, and a task holds two blocks.
+blocks, and a task holds two blocks. Blocks grow with their cell from ``SPLIT`` of them on, up to ``LARGEST`` times ``BLOCK``.
 
 Defined cases: a row whose label is null or whose vector is null, empty, zero, or holds null or non-finite components has no links and
 is a component of its own; vectors of other lengths never link; a null id counts as a row but is never the least id unless the whole
@@ -43,7 +45,10 @@ PIVOTS = 32
 SAMPLE = 512  # classes that pivots are drawn from
 DENSE = 4  # sample members around a pivot that is drawn first
 DEPTH = 3
-BLOCK = 4096  # mean classes of a block
+GAIN = 2  # times fewer pairs for which a region is parted
+BLOCK = 4096  # mean classes of a block, and classes on a side of one product
+SPLIT = 8  # blocks of a cell from which on they grow
+LARGEST = 4  # mean blocks in one that has grown
 TILE = 512  # rows multiplied at once
 SLACK = 1e-9
 REGION = ["label", "dim", "path"]
@@ -114,9 +119,9 @@ def _assign(r: float):
     return run
 
 
-def _parted(rows: DataFrame, r: float, level: int) -> DataFrame:
-    """Regions cut into cells: rows (label, dim, path, parent, c, v, w, marks), copies included."""
-    order = Window.partitionBy(*REGION).orderBy(F.xxhash64("c", F.lit(level)), "c")
+def _homes(rows: DataFrame, r: float) -> DataFrame:
+    """Per class (``cc``) the cell where it is at home and those that it is copied to."""
+    order = Window.partitionBy(*REGION).orderBy(F.xxhash64("c"), "c")
     sample = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= SAMPLE).select(*REGION, "homes", "c", "v")
     drawn = sample.groupBy(*REGION).applyInPandas(_draw(r, TARGET), _schema(rows, [*REGION, "v"], "pivot int"))
     drawn = written(drawn, "neardup-pivots")
@@ -128,16 +133,29 @@ def _parted(rows: DataFrame, r: float, level: int) -> DataFrame:
     cells = dealt.select(*keys, "c", "v").groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(
         _assign(r), "c binary, home bigint, cells array<bigint>",
     )
-    cells = written(cells.withColumnRenamed("c", "cc"), "neardup-homes")
-    met = rows.join(cells, F.col("c") == F.col("cc"))
-    copies = met.withColumn("cell", F.explode(F.concat(F.array("home"), "cells")))
-    own = F.col("cell") == F.col("home")
-    out = copies.select(
+    return written(cells.withColumnRenamed("c", "cc"), "neardup-homes")
+
+
+def _placed(rows: DataFrame, homes: DataFrame) -> DataFrame:
+    met = rows.join(homes, F.col("c") == F.col("cc"))
+    return met.withColumn("cell", F.explode(F.concat(F.array("home"), "cells"))).withColumn("own", F.col("cell") == F.col("home"))
+
+
+def _worth(rows: DataFrame, homes: DataFrame) -> DataFrame:
+    """Regions whose cells compare ``GAIN`` times fewer pairs than they do whole."""
+    sizes = _placed(rows.select(*REGION, "size", "c"), homes).groupBy(*REGION, "size", "cell")
+    sizes = sizes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("own").alias("at_home")).where("at_home > 0")
+    pairs = sizes.groupBy(*REGION, "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    return written(pairs.where(F.col("pairs") * GAIN <= F.col("size") * F.col("size").cast("double")).select(*REGION), "neardup-worth")
+
+
+def _parted(rows: DataFrame, homes: DataFrame, level: int) -> DataFrame:
+    """Regions cut into cells: rows (label, dim, path, parent, c, v, w, marks), copies included."""
+    out = _placed(rows, homes).select(
         "label", "dim", F.concat("path", F.col("cell").cast("string"), F.lit(".")).alias("path"), F.col("size").alias("parent"), "c", "v", "w",
-        (F.col("marks") + F.when(own, 0).otherwise(1 << level)).alias("marks"), own.alias("own"),
+        (F.col("marks") + F.when(F.col("own"), 0).otherwise(1 << level)).alias("marks"), "own",
     )
-    out = written(out, "neardup-cells")
-    return out
+    return written(out, "neardup-cells")
 
 
 def _schema(df: DataFrame, names: list[str], *more: str) -> str:
@@ -160,8 +178,16 @@ def cells(classes: DataFrame, r: float) -> DataFrame:
         if todo.isEmpty():
             break
         done.append(rows.where(~large))
-        rows = _sized(_named(_parted(_single(todo.drop("parent")), r, level)))
-    done.append(rows)
+        single = _single(todo.drop("parent"))
+        homes = _homes(single, r)
+        worth = _worth(single, homes)
+        done.append(todo.join(worth, REGION, "left_anti"))
+        if worth.isEmpty():
+            rows = None
+            break
+        rows = _sized(_named(_parted(single.join(worth, REGION, "left_semi"), homes, level)))
+    if rows is not None:
+        done.append(rows)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -179,7 +205,9 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def _meetings(rows: DataFrame) -> DataFrame:
     """Rows in every pair of blocks where they meet others: (label, dim, path, unit, side)."""
-    blocks = rows.groupBy(*REGION, "marks").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    n = F.count(F.lit(1))
+    nb = F.least(F.ceil(n / BLOCK), F.greatest(F.lit(SPLIT), F.ceil(n / (LARGEST * BLOCK))))
+    blocks = rows.groupBy(*REGION, "marks").agg(nb.cast("int").alias("nb"))
     blocks = written(blocks, "neardup-blocks")
     others = blocks.select(*REGION, F.col("marks").alias("marks2"), F.col("nb").alias("nb2"))
     met = rows.join(blocks, [*REGION, "marks"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
@@ -222,16 +250,10 @@ def _parts(linked: np.ndarray, itself: bool) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def _join_unit(unit: pd.DataFrame, bound: float) -> pd.DataFrame | None:
-    side = unit["side"].to_numpy()
-    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if len(unit) < 2 or not len(a) or not len(b):
-        return None
-    v, w, c = _unit(unit["v"]), unit["w"].to_numpy(), unit["c"].to_numpy()
+def _product(v: np.ndarray, w: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, itself: bool, bound: float) -> pd.DataFrame | None:
     linked = np.zeros((len(a), len(b)), bool)
     for at in range(0, len(a), TILE):
         linked[at : at + TILE] = v[a[at : at + TILE]] @ v[b].T >= bound
-    itself = side[0] == 2
     if itself:
         np.fill_diagonal(linked, False)
     some_a, some_b = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
@@ -239,19 +261,34 @@ def _join_unit(unit: pd.DataFrame, bound: float) -> pd.DataFrame | None:
         return None
     linked = linked[np.ix_(some_a, some_b)]
     a, b = a[some_a], b[some_b]
-    got = np.zeros(len(unit), np.int64)
+    got = np.zeros(len(v), np.int64)
     got[a] += linked @ w[b]
     if not itself:
         got[b] += w[a] @ linked
     part_a, part_b = _parts(linked, itself)
     heads = np.empty(part_a.max() + 1, object)
     heads[part_a[::-1]] = c[a[::-1]]
-    head = np.empty(len(unit), object)
+    head = np.empty(len(v), object)
     head[b], head[a] = heads[part_b], heads[part_a]
     some = np.union1d(a, b)
     return pd.DataFrame({"c": c[some], "n": got[some], "head": head[some]})
 
 
+def _join_unit(unit: pd.DataFrame, bound: float) -> pd.DataFrame | None:
+    """Two blocks, or one with itself, by products of at most ``BLOCK`` classes on a side."""
+    side = unit["side"].to_numpy()
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if len(unit) < 2 or not len(a) or not len(b):
+        return None
+    v, w, c = _unit(unit["v"]), unit["w"].to_numpy(), unit["c"].to_numpy()
+    itself, out = side[0] == 2, []
+    for i in range(0, len(a), BLOCK):
+        for j in range(i if itself else 0, len(b), BLOCK):
+            out.append(_product(v, w, c, a[i : i + BLOCK], b[j : j + BLOCK], itself and i == j, bound))
+    out = [x for x in out if x is not None]
+    return pd.concat(out) if out else None
+
+
 def _units(batches: Iterator[pd.DataFrame], bound: float) -> Iterator[pd.DataFrame]:
     """Units come one after the other, each ordered together; each is joined when whole."""
     held: list[pd.DataFrame] = []

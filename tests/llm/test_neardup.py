@@ -106,3 +106,49 @@ def test_each_pair_meets_once():
         if i != j and d[i, j] <= r:
             (hi, ci), (hj, cj) = cells[i], cells[j]
             assert (hi == hj) + (hi in cj) + (hj in ci) == 1
+
+
+def classes_of(spark, n, dim):
+    rnd = np.random.default_rng(9)
+    rows = [(1, dim, i.to_bytes(16, "big"), [float(x) for x in rnd.standard_normal(dim)], 1) for i in range(n)]
+    return spark.createDataFrame(rows, "label int, dim int, c binary, v array<double>, w long")
+
+
+def test_a_region_that_cells_do_not_thin_out_is_not_copied(spark, monkeypatch):
+    """Unrelated vectors of many dimensions lie in most rings around most pivots: copies would multiply rows and spare no pair."""
+    monkeypatch.setattr(neardup, "TARGET", 100)
+    assert neardup.cells(classes_of(spark, 600, 64), 0.374).count() == 600
+    assert neardup.cells(classes_of(spark, 600, 2), 0.05).select("path").distinct().count() > 1  # here they do
+
+
+@pytest.mark.parametrize("gain", [0, 2, 1e9])
+def test_parted_or_whole_the_result_is_the_same(spark, monkeypatch, gain):
+    for name, value in (("TARGET", 20), ("BLOCK", 32), ("SPLIT", 2), ("LARGEST", 2), ("GAIN", gain)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = made(500, 4)
+    assert sorted(str(tuple(r)) for r in neardup.join(table(spark, rows)).collect()) == plain(rows)
+
+
+def test_blocks_grow_with_their_cell(spark, monkeypatch):
+    for name, value in (("BLOCK", 10), ("SPLIT", 2), ("LARGEST", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = classes_of(spark, 400, 3).selectExpr("*", "'' as path", "0L as marks", "400L as size", "400L as homes")
+    met = neardup._meetings(rows)
+    assert met.count() == 400 * 10 and met.select("ia", "ib").distinct().count() == 55  # 40 blocks of 10 would send every row 40 times
+    assert neardup._join_unit(met.where("ia = 0 and ib = 0").toPandas(), -1.0)["n"].sum() % 2 == 0
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_a_unit_in_pieces(monkeypatch, block):
+    import pandas as pd
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    v = np.random.default_rng(3).standard_normal((50, 3))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= 0.8
+    for itself in (True, False):
+        side = np.full(50, 2) if itself else np.arange(50) % 2
+        unit = pd.DataFrame({"side": side, "c": [str(i) for i in range(50)], "v": list(v), "w": np.arange(50) + 1})
+        got = neardup._join_unit(unit, 0.8).groupby("c")["n"].sum()
+        meets = near & ~np.eye(50, dtype=bool) if itself else near & (side[:, None] != side[None, :])
+        assert {c: n for c, n in got.items() if n} == {str(i): n for i in range(50) if (n := int(meets[i] @ unit["w"]))}
